@@ -76,3 +76,38 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "retrieval_results")
     url = F.coalesce(F.nullif(F.col("document_url"), F.lit("")), F.col("chunk_document_url"))
     return top_n_per_group(hits, url, "score", "hit_id", 3, group_as="document_url").select("document_url", "hit_id")
+
+
+# --- 8: evaluation texts in training texts
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold twelve or more consecutive words of an evaluation item, and the item."""
+    from gleanery.llm.leakage import find_leaks
+
+    return find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+# --- 10: text statistics
+
+
+def _statistics(spark: SparkSession, d: str) -> DataFrame:
+    from gleanery.llm.quality import text_statistics
+
+    common = {r.word for r in table(spark, d, "common_words").select("word").distinct().collect()}
+    return text_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", common)
+
+
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly no natural prose."""
+    from gleanery.llm.quality import not_prose
+
+    return not_prose(_statistics(spark, d)).select("doc_id").dropDuplicates()
+
+
+@query()
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of every document."""
+    return _statistics(spark, d).dropDuplicates(["doc_id"])
