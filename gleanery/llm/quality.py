@@ -22,12 +22,25 @@ _MOJI = re.compile(r"[�\x00-\x08\x0b-\x1f\x7f-\x9f]|Ã.|Â.|â€|Ð.|ï»")
 _SEGMENT = 320
 
 
-def segments(text: str) -> list[str]:
-    """Lines with text; a line beyond the segment length is cut at white space into several, so no text goes unlabelled."""
-    out = []
+def _reflowed(text: str):
+    """Lines with text, runs of five or more lines of one or two words joined: prose may stand one word a line."""
+    run: list[str] = []
     for line in text.split("\n"):
         if not line.strip():
             continue
+        if len(line) < 60 and len(line.split()) <= 2:
+            run.append(line)
+            continue
+        yield from ([" ".join(x.strip() for x in run)] if len(run) > 4 else run)
+        run = []
+        yield line
+    yield from ([" ".join(x.strip() for x in run)] if len(run) > 4 else run)
+
+
+def segments(text: str) -> list[str]:
+    """Lines with text; a line beyond the segment length is cut at white space into several, so no text goes unlabelled."""
+    out = []
+    for line in _reflowed(text):
         while len(line) > _SEGMENT * 1.5:
             cut = line.rfind(" ", _SEGMENT // 2, _SEGMENT)
             cut = cut if cut > 0 else _SEGMENT
@@ -65,6 +78,10 @@ def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
     key = " ".join(w)[:200]
     again = seen.get(key, 0)
     seen[key] = again + 1
+    grams = list(zip(w, w[1:], w[2:]))
+    fresh = sum(1 for g in grams if g not in seen)
+    seen.update(dict.fromkeys(grams, 1))
+    stale = 1 - fresh / len(grams) if grams else 0.0
     odd = sum(1 for x in w if len(x) > 20 or (len(x) > 3 and not _VOWEL.search(x)) or (x.isalnum() and not x.isalpha() and not x.isdigit())) / n if n else 1.0
     return (
         _bin(share, 0, 0.08, 0.2) if share or n < 7 else 4 if n < 12 else 5,
@@ -74,13 +91,13 @@ def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
         _bin((solid - letters) / max(1, solid), 0.06, 0.15, 0.4),
         shape,
         _bin(again, 0, 2),
-        0 if n < 8 or len(set(w)) > 0.45 * n else 1,
+        _bin(stale, 0.35, 0.75) if n < 8 or len(set(w)) > 0.45 * n else 3,
         _bin(odd, 0.05, 0.3),
         1 if len(_MOJI.findall(line)) > 2 else 0,
     )
 
 
-_SIZES = (6, 3, 4, 4, 4, 5, 3, 2, 3, 2)
+_SIZES = (6, 3, 4, 4, 4, 5, 3, 4, 3, 2)
 #: Words of the training lines, of our own choosing; they only need to have the shapes of words.
 _NOUNS = "garden lamp river market teacher window bread mountain ticket orange cabinet engine village paper ladder station curtain bottle pianist meadow".split()
 _NAMES = "Aldo Berit Corvin Dunya Estel Fabro Gunda Hilmar Isolde Jurek".split()
