@@ -95,8 +95,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.llm.quality import text_statistics
 
-    common = {r.word for r in table(spark, d, "common_words").select("word").distinct().collect()}
-    return text_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", common)
+    return text_statistics(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _common(spark, d))
 
 
 @query()
@@ -111,3 +110,36 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every document."""
     return _statistics(spark, d).dropDuplicates(["doc_id"])
+
+
+# --- 7: template residue and error pages
+
+
+def _common(spark: SparkSession, d: str) -> set[str]:
+    """The function words: a fixed table of a few hundred rows."""
+    return {w for ws in _by_language(spark, d).values() for w in ws}
+
+
+def _by_language(spark: SparkSession, d: str) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for r in table(spark, d, "common_words").select("lang", "word").where("word is not null").collect():
+        out.setdefault(r.lang or "", set()).add(r.word.lower())
+    return out
+
+
+def _excluded(spark: SparkSession, d: str) -> DataFrame:
+    from gleanery.llm.residue import residue
+
+    return residue(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body", _by_language(spark, d))
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fetches to exclude."""
+    return _excluded(spark, d).select("fetch_id")
+
+
+@query()
+def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """Fetches to exclude and why."""
+    return _excluded(spark, d)
