@@ -143,3 +143,27 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p7_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Fetches to exclude and why."""
     return _excluded(spark, d)
+
+
+# --- 9: mixing sources
+
+
+def _mix(spark: SparkSession, d: str):
+    import public_tokenizers
+
+    from gleanery.llm.mixture import mix
+
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mix(docs, "doc_id", "text", "source", table(spark, d, "source_targets"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query()
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture, each with its number of repeats."""
+    return _mix(spark, d)[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _mix(spark, d)[1]
