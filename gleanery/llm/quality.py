@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 STATES = ("prose", "list", "table", "junk")
 _WORD = re.compile(r"[^\W_]+")
-_END = re.compile(r"[.!?…。！？:;][\"')\]»”’]*\s*$")
-_COMMA = re.compile(r"[,\-–—]\s*$")
+_CLOSING = "\"')]»”’ \t\r"
+_END = frozenset(".!?…。！？:;")
+_COMMA = frozenset(",-–—")
+_DIGIT = re.compile(r"\d+")
 _BULLET = re.compile(r"\s*(?:[-*•·–+o]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s")
-_LEADER = re.compile(r"\.{4,}|(?:\. ){4,}|_{4,}")
-_RECORD = re.compile(r"^\s*[{\[\"<].*[:=].*[}\]\">],?\s*$|\w+://|^\s*\w+(?:\.\w+)+/|\w+@\w+\.\w|^\s*[\w.\-]{1,30}\s*=\s*\S+\s*$")
-_VOWEL = re.compile(r"[aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿœ0-9]", re.I)
+_LEADERS = ("....", ". . . .", "____")
+_RECORD = re.compile(r"[{\[\"<].*[:=].*[}\]\">],?\s*$|[\w.\-]{1,30}\s*=\s*\S+\s*$|\w+(?:\.\w+)+/\S*$")
+_ODD = re.compile(r"\b(?:[b-df-hj-np-tv-xz]{4,}|\w{21,}|[^\W\d_]+\d\w*|\d+[^\W\d_]\w*)\b")
 _MOJI = re.compile(r"[�\x00-\x08\x0b-\x1f\x7f-\x9f]|Ã.|Â.|â€|Ð.|ï»")
 _SEGMENT = 320
 
@@ -61,31 +63,33 @@ def _bin(x: float, *edges: float) -> int:
 def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
     """Line statistics in bins. ``seen`` counts the masked lines of the document so far."""
     line = line.lstrip("> ")
-    w = _WORD.findall(line.lower())
+    low = line.lower()
+    w = _WORD.findall(low)
     n, solid = len(w), len(line) - line.count(" ")
     letters = sum(map(len, w))
-    share = sum(x in common for x in w) / n if n else 0.0
-    digits = sum(c.isdigit() for c in line)
+    share = len([x for x in w if x in common]) / n if n else 0.0
+    digits = sum(map(len, _DIGIT.findall(line)))
     cells = line.count("\t") + line.count("|")
     commas = line.count(",") + line.count(";")
     shape = 1 if _BULLET.match(line) else 0
-    if _LEADER.search(line) or cells >= 2 or (cells and n <= 6):
+    if any(x in line for x in _LEADERS) or cells >= 2 or (cells and n <= 6):
         shape = 2
     elif commas >= 3 and n <= 2.2 * (commas + 1):
         shape = 3
-    elif _RECORD.search(line):
+    elif "://" in line or (n < 7 and "@" in line) or _RECORD.match(line.lstrip()):
         shape = 4
     key = " ".join(w)[:200]
     again = seen.get(key, 0)
     seen[key] = again + 1
     grams = list(zip(w, w[1:], w[2:]))
-    fresh = sum(1 for g in grams if g not in seen)
+    fresh = len([g for g in grams if g not in seen])
     seen.update(dict.fromkeys(grams, 1))
     stale = 1 - fresh / len(grams) if grams else 0.0
-    odd = sum(1 for x in w if len(x) > 20 or (len(x) > 3 and not _VOWEL.search(x)) or (x.isalnum() and not x.isalpha() and not x.isdigit())) / n if n else 1.0
+    odd = len(_ODD.findall(low)) / n if n else 1.0
+    last = line.rstrip(_CLOSING)[-1:]
     return (
         _bin(share, 0, 0.08, 0.2) if share or n < 7 else 4 if n < 12 else 5,
-        0 if _END.search(line) else 1 if _COMMA.search(line) else 2,
+        0 if last in _END else 1 if last in _COMMA else 2,
         _bin(n, 0, 2, 6),
         _bin(digits / max(1, solid), 0.02, 0.12, 0.35),
         _bin((solid - letters) / max(1, solid), 0.06, 0.15, 0.4),
@@ -242,8 +246,8 @@ def describe(text: str, common: frozenset, model) -> tuple:
         n,
         letters / n if n else None,
         (solid - letters) / solid,
-        sum(1 for x in real if _END.search(x)) / len(real),
-        sum(x in common for x in w) / n if n else None,
+        len([x for x in real if x.rstrip(_CLOSING)[-1:] in _END]) / len(real),
+        len([x for x in w if x in common]) / n if n else None,
         len(set(w)) / n if n else None,
         len(real),
         *(x / total for x in size),
