@@ -167,3 +167,27 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source."""
     return _mix(spark, d)[1]
+
+
+# --- 5: main content of pages
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that show text but are no main content; excluded fetches are left out."""
+    from gleanery.llm.boilerplate import label_lines
+
+    fetches = label_lines(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body")
+    fetches = fetches.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").select(F.lit("body").alias("field_name"), F.col("fetch_id").alias("record_id"), "line_no")
+    texts = label_lines(spread(table(spark, d, "cached_assessments").select("assessment_id", "full_text")), "assessment_id", "full_text")
+    texts = texts.select(F.lit("full_text").alias("field_name"), F.col("assessment_id").alias("record_id"), "line_no")
+    return fetches.unionByName(texts).dropDuplicates(["field_name", "record_id", "line_no"])
+
+
+@query()
+def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Each fetched page with its main body only."""
+    from gleanery.llm.boilerplate import main_bodies
+
+    pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body")
+    return pages.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").dropDuplicates(["fetch_id"])
