@@ -191,3 +191,34 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
 
     pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body")
     return pages.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").dropDuplicates(["fetch_id"])
+
+
+# --- 1: near-duplicates
+
+
+def _similar(spark: SparkSession, d: str, name: str, key: str, text: str, bits: int, threshold: float, shingle: int, least: int):
+    from gleanery.llm.neardup import similar
+
+    return similar(spread(table(spark, d, name).select(key, text)), key, text, threshold, shingle, least, bits)
+
+
+#: Field, table, id and bits of parity: about seven a word of a usual record, as many as bound its distance well.
+FIELDS = (("snippet", "search_results", "result_id", 64), ("body", "cached_fetches", "fetch_id", 256))
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of records of which 0.7 of all their words are shared, of at least 20 words each."""
+    from gleanery.llm.neardup import record_pairs
+
+    parts = [record_pairs(*_similar(spark, d, name, key, field, bits, 0.7, 1, 20)).select(F.lit(field).alias("field_name"), "id_a", "id_b") for field, name, key, bits in FIELDS]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of records whose five-word runs are 0.8 alike or more, with each record's number of links."""
+    from gleanery.llm.neardup import groups
+
+    parts = [groups(*_similar(spark, d, name, key, field, 256, 0.8, 5, 1)).select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), "links") for field, name, key, _ in FIELDS]
+    return parts[0].unionByName(parts[1])
