@@ -222,3 +222,19 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
     parts = [groups(*_similar(spark, d, name, key, field, 256, 0.8, 5, 1)).select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), "links") for field, name, key, _ in FIELDS]
     return parts[0].unionByName(parts[1])
+
+
+# --- 4: free-entered values
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The entry meant by every free-entered value, 0 for none."""
+    from gleanery.llm.canonical import map_values
+
+    ref = table(spark, d, "canonical_values")
+    parts = []
+    for name, key, column in (("fact_claims", "claim_id", "candidate_value"), ("synthesis_results", "synthesis_id", "normalized_value")):
+        found = map_values(spread(table(spark, d, name).select(key, "field_name", column)), key, "field_name", column, ref)
+        parts.append(found.select(F.lit(column).alias("field_name"), F.col(key).alias("record_id"), "value_id"))
+    return parts[0].unionByName(parts[1])
