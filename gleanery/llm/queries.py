@@ -238,3 +238,30 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
         found = map_values(spread(table(spark, d, name).select(key, "field_name", column)), key, "field_name", column, ref)
         parts.append(found.select(F.lit(column).alias("field_name"), F.col(key).alias("record_id"), "value_id"))
     return parts[0].unionByName(parts[1])
+
+
+# --- 3: personal details
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every different detail of each text, as written."""
+    from gleanery.llm.pii import find_details
+
+    parts = []
+    for name, key, column in (("cached_assessments", "assessment_id", "text"), ("fact_claims", "claim_id", "supporting_excerpt")):
+        found = find_details(spread(table(spark, d, name).select(key, column)), key, column)
+        parts.append(found.select(F.lit(column).alias("field_name"), F.col(key).alias("record_id"), "pii_type", "pii_text"))
+    return parts[0].unionByName(parts[1]).dropDuplicates()
+
+
+@query()
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    from gleanery.llm.pii import redacted
+
+    parts = []
+    for name, key, column in (("cached_assessments", "assessment_id", "text"), ("fact_claims", "claim_id", "supporting_excerpt")):
+        clean = redacted(spread(table(spark, d, name).select(key, column)), key, column)
+        parts.append(clean.select(F.lit(column).alias("field_name"), F.col(key).alias("record_id"), F.col(column).alias("redacted")))
+    return parts[0].unionByName(parts[1]).dropDuplicates(["field_name", "record_id"])
