@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from gleanery.sources.tables import checkpoint
 
 _WORD = re.compile(r"[^\W_]+")
-_TOP = 1 << 61
 
 
 def shingles(text: str, size: int) -> set[str]:
@@ -56,7 +55,7 @@ def _document_counts(size: int, least: int):
     def run(batches):
         import pyarrow as pa
 
-        h, counts, n = _Hash(), Counter(), 0
+        h, counts = _Hash(), Counter()
 
         def out():
             keys = np.fromiter(counts.keys(), np.int64, len(counts))
@@ -66,19 +65,22 @@ def _document_counts(size: int, least: int):
             for t in b.column(1).to_pylist():
                 s = shingles(t, size)
                 if len(s) >= least:
-                    n += 1
                     counts.update([h[w] for w in s])
             if len(counts) > 1_000_000:
                 yield out()
                 counts.clear()
-        counts[-1] = n
         yield out()
 
     return run
 
 
 def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
-    """Rows (key, cls, id, n, parity...): one for the class of equal sets, one for each region of the record's window."""
+    """Rows (key, cls, id, n, parity...): one for the class of equal sets, one for each region of the record's window.
+
+    The words of the smaller record of a pair that may come first among the shared ones are
+    fewer: where a record comes only as the larger one, n is negative. Rows of that kind
+    are not compared with each other.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -88,23 +90,24 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
         h, seen, mask = _Hash(), set(), 64 * words - 1
 
         def regions(w, n):
-            """Keys of the pivots the record is replicated to."""
-            p = n - math.ceil(t * n) + 1
-            keys = []
+            """Keys of the pivots the record is replicated to; True where a record may meet larger ones there."""
+            p = n - math.ceil(t * n) + 1  # towards any record
+            q = n - math.ceil(2 * t / (1 + t) * n) + 1  # towards one at least as large
+            keys = {}
 
-            def extend(start, key, size, depth):
-                # the depth-th shared word stands at most at place p + depth - 1
+            def extend(start, key, size, depth, own):
+                # the depth-th shared word stands at most depth - 1 places beyond the window
                 for a in range(start, min(n, p + depth)):
                     x = w[a]
-                    share = ranks[x][1] if x in ranks else small
-                    k = x if depth == 0 else (key * 0x9E3779B97F4A7C15 + x) & 0xFFFFFFFFFFFFFFFF
+                    k = x if depth == 0 else (key * 0x9E3779B97F4A7C15 + x) & 0x7FFFFFFFFFFFFFFF
+                    smaller = own and a < q + depth
+                    share = ranks[x][1] if x in ranks else 0.0
                     if size * share > cap and depth < 5 and a + 1 < min(n, p + depth + 1):
-                        extend(a + 1, k, size * share, depth + 1)
+                        extend(a + 1, k, size * share, depth + 1, smaller)
                     else:
-                        keys.append(k)
+                        keys[k] = smaller or keys.get(k, False)
 
-            small = cap / max(total, cap)
-            extend(0, 0, float(total), 0)
+            extend(0, 0, float(total), 0, True)
             return keys
 
         for b in batches:
@@ -132,12 +135,12 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
                 for x in nums:
                     parity ^= 1 << (x & mask)
                 order = [x for x in nums if x not in ranks] + sorted([x for x in nums if x in ranks], key=lambda x: ranks[x])
-                keys = dict.fromkeys(k & 0x7FFFFFFFFFFFFFFF for k in regions(order, n))
+                keys = regions(order, n)
                 m = len(keys)
                 cols[0] += keys
                 cols[1] += [cls] * m
                 cols[2] += [i] * m
-                cols[3] += [n] * m
+                cols[3] += [n if smaller else -n for smaller in keys.values()]
                 bits += [parity] * m
             raw = b"".join(x.to_bytes(8 * words, "little") for x in bits)
             planes = np.frombuffer(raw, np.int64).reshape(-1, words)
@@ -148,18 +151,6 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
     return run
 
 
-def _close(n, bits, a, b, t: float):
-    """Which pairs of rows may be within the threshold by size and by parity."""
-    na, nb = n[a], n[b]
-    ok = np.minimum(na, nb) >= t * np.maximum(na, nb) - 1e-9
-    a, b = a[ok], b[ok]
-    diff = np.zeros(len(a), np.int64)
-    for plane in bits:
-        diff += np.bitwise_count((plane[a] ^ plane[b]).view(np.uint64))
-    ok = diff <= (1 - t) / (1 + t) * (n[a] + n[b]) + 1e-9
-    return a[ok], b[ok]
-
-
 def _region_pairs(t: float, words: int, cap: int, blocks: bool):
     """Join the rows of each region, rows being sorted by key. Out: kind 0 a candidate pair, 1 a member of a class of equal
     sets, 2 a row of a region beyond ``cap``, kept for the next round. With blocks, rows of side 0 meet those of side 1."""
@@ -174,48 +165,58 @@ def _region_pairs(t: float, words: int, cap: int, blocks: bool):
             arrays = [np.full(m, kind, np.int32), a, b, i, j, np.zeros(m, np.int32) if n is None else n, *([zero] * words if bits is None else bits)]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=names)
 
-        def pairs(r, pa_, pb):
-            """Candidates among index pairs, the smaller class first."""
-            differ = r["cls"][pa_] != r["cls"][pb]
-            pa_, pb = pa_[differ], pb[differ]
-            if blocks:
-                differ = (r["side"][pa_] == 0) & (r["side"][pb] == 1) | (r["side"][pa_] == 2) & (r["side"][pb] == 2)
-                pa_, pb = pa_[differ], pb[differ]
-            pa_, pb = _close(r["n"].astype(np.int64), r["bits"], pa_, pb, t)
-            swap = r["cls"][pa_] > r["cls"][pb]
-            pa_, pb = np.where(swap, pb, pa_), np.where(swap, pa_, pb)
-            return pa_, pb
+        def near(x, y, bits_x, bits_y):
+            """Whether parity leaves the distance within the threshold; x and y are the sizes times (1 - t) / (1 + t)."""
+            diff = np.bitwise_count(bits_x[0] ^ bits_y[0])
+            for p, q in zip(bits_x[1:], bits_y[1:]):
+                diff = diff.astype(np.uint16) + np.bitwise_count(p ^ q)
+            return diff <= x + y
 
         def join(r):
-            """All regions of sorted rows, small ones together by distance in the order, larger ones one by one."""
-            key = r["key"]
-            n = len(key)
+            """All regions of sorted rows: small ones together, row against the row so many places on; larger ones as tables."""
+            key, n = r["key"], len(r["key"])
             edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
             size = np.diff(edge)
-            whole = np.repeat(size, size)
+            bits = [p.view(np.uint64) for p in r["bits"]]
+            count = np.abs(r["n"])
+            lead = r["n"] > 0
+            room = (count * ((1 - t) / (1 + t)) + 1e-6).astype(np.float32)
             found = []
-            small = whole <= 48
-            for lag in range(1, 48):
-                if lag >= n:
-                    break
-                at = np.flatnonzero((key[lag:] == key[:-lag]) & small[:-lag])
-                if not len(at):
-                    break
-                found.append(pairs(r, at, at + lag))
-                if blocks:
-                    found.append(pairs(r, at + lag, at))
-            for k in np.flatnonzero(size > 48):
+            small = np.flatnonzero((size > 1) & (size <= 24))
+            if len(small):
+                small = small[np.argsort(size[small], kind="stable")]
+                length = size[small]
+                starts = np.cumsum(length) - length
+                at = np.repeat(edge[small] - starts, length) + np.arange(length.sum())
+                own, part_bits, part_room, part_lead = np.repeat(np.arange(len(small)), length), [p[at] for p in bits], room[at], lead[at]
+                for lag in range(1, int(length[-1])):
+                    lo = starts[np.searchsorted(length, lag, side="right")]
+                    ok = (own[lo:-lag] == own[lo + lag :]) & (part_lead[lo:-lag] | part_lead[lo + lag :]) & near(part_room[lo:-lag], part_room[lo + lag :], [p[lo:-lag] for p in part_bits], [p[lo + lag :] for p in part_bits])
+                    k = np.flatnonzero(ok) + lo
+                    found.append((at[k], at[k + lag]))
+            for k in np.flatnonzero(size > 24):
                 lo, hi = edge[k], edge[k + 1]
                 if hi - lo > cap and not blocks:
                     continue
-                for row in range(lo, hi, 512):
-                    end = min(hi, row + 512)
-                    first = lo if blocks else row
-                    x, y = np.meshgrid(np.arange(row, end), np.arange(first, hi), indexing="ij")
-                    up = slice(None) if blocks else (y > x)
-                    found.append(pairs(r, x[up].ravel(), y[up].ravel()))
+                step = max(1, 200_000 // (hi - lo))
+                first = np.flatnonzero(lead[lo:hi]) + lo
+                for row in range(0, len(first), step):
+                    i = first[row : row + step]
+                    ok = near(room[i, None], room[None, lo:hi], [p[i, None] for p in bits], [p[None, lo:hi] for p in bits])
+                    x, y = np.nonzero(ok)
+                    x, y = i[x], y + lo
+                    up = (x != y) & ((y > x) | ~lead[y])
+                    found.append((x[up], y[up]))
             if found:
                 x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+                nx, ny = count[x], count[y]
+                ok = (np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9) & (r["cls"][x] != r["cls"][y])
+                if blocks:
+                    sx, sy = r["side"][x], r["side"][y]
+                    ok &= (sx + sy == 1) | (sx == 2) & (sy == 2)
+                x, y = x[ok], y[ok]
+                swap = r["cls"][x] > r["cls"][y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
                 if len(x):
                     a, b = r["cls"][x], r["cls"][y]
                     code = np.lexsort((b, a))
@@ -242,7 +243,7 @@ def _region_pairs(t: float, words: int, cap: int, blocks: bool):
 
         def unique(r):
             """Sorted rows, a class once per region (and side)."""
-            keys = (r["id"], r["cls"], r["side"], r["key"]) if blocks else (r["id"], r["cls"], r["key"])
+            keys = (r["id"], -r["n"], r["cls"], r["side"], r["key"]) if blocks else (r["id"], -r["n"], r["cls"], r["key"])
             order = np.lexsort(keys)
             r = part(r, order)
             same = (r["key"][1:] == r["key"][:-1]) & (r["cls"][1:] == r["cls"][:-1])
@@ -301,7 +302,7 @@ def _token_arrays(size: int):
     return run
 
 
-def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, least: int = 1, bits: int = 256, frequent: float = 0.001, cap: int = 512, overflow: int = 8192, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, least: int = 1, bits: int = 256, frequent: float = 0.001, cap: int = 16384, overflow: int = 65536, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sets, and the pairs of classes whose Jaccard similarity reaches the threshold. Exact.
 
     Sets are of the different words of the lower-cased text (maximal runs of letters and
@@ -324,10 +325,9 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     words = max(1, bits // 64)
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     counts = docs.mapInArrow(_document_counts(shingle, least), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.where("h = -1").select(F.col("n").alias("total")))
-    often = counts.join(total).where((F.col("n") >= F.greatest(F.col("total") * frequent, F.lit(2))) | (F.col("h") == -1)).select("h", "n").collect()
-    n = next((r.n for r in often if r.h == -1), 0)
-    ranks = {r.h: (r.n, r.n / max(n, 1), r.h) for r in often if r.h != -1}
+    n = docs.count()
+    often = counts.where(F.col("n") >= max(2.0, n * frequent)).collect()
+    ranks = {r.h: (r.n, r.n / max(n, 1), r.h) for r in often}
     stats = spark.sparkContext.broadcast(({h: (k, v[1]) for k, (h, v) in enumerate(sorted(ranks.items(), key=lambda x: (x[1][0], x[0])))}, n))
 
     planes = "".join(f", b{k} bigint" for k in range(words))

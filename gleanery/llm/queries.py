@@ -202,8 +202,8 @@ def _similar(spark: SparkSession, d: str, name: str, key: str, text: str, bits:
     return similar(spread(table(spark, d, name).select(key, text)), key, text, threshold, shingle, least, bits)
 
 
-#: Field, table, id and bits of parity: about seven a word of a usual record, as many as bound its distance well.
-FIELDS = (("snippet", "search_results", "result_id", 64), ("body", "cached_fetches", "fetch_id", 256))
+#: Field, table, id and bits of parity: two to four for a word of a usual record, as many as bound its distance well.
+FIELDS = (("snippet", "search_results", "result_id", 128), ("body", "cached_fetches", "fetch_id", 512))
 
 
 @query()
