@@ -23,7 +23,7 @@ def _flat(fragment: str) -> str:
 
 def _paragraphs(fragment: str) -> list[str]:
     """Paragraphs of a stretch without tables and headings: block tags and line ends part them."""
-    text = html.unescape(_TAG.sub(" ", _BREAK.sub("\n\n", _SCRIPT.sub(" ", fragment))))
+    text = html.unescape(_TAG.sub(" ", _BREAK.sub("\n\n", fragment)))
     lines = (re.sub(r" {2,}", " ", x).strip() for x in text.splitlines())
     return [x for x in lines if x]
 
@@ -60,7 +60,7 @@ def blocks_of(body: str, least: int = 80) -> Iterator[tuple[str, str]]:
                 yield from flush()
         yield from flush()
 
-    at = 0
+    body, at = _SCRIPT.sub(" ", body), 0
     for m in _STRUCTURE.finditer(body):
         yield from stretch(body[at : m.start()])
         kind = m.lastgroup
