@@ -81,7 +81,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 # --- 8: evaluation texts in training texts
 
 
-@query()
+@query(
+    """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),
+g as (select item_id, w, unnest(range(1, greatest(1, len(w) - 10))) as k from i), e as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as run from g),
+h as (select doc_id, w, unnest(range(1, greatest(1, len(w) - 10))) as k from d)
+select distinct h.doc_id, e.item_id from h join e on e.run = array_to_string(h.w[h.k:h.k + 11], ' ')
+"""
+)
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of an evaluation item, and the item."""
     from gleanery.llm.leakage import find_leaks
@@ -206,7 +214,18 @@ def _similar(spark: SparkSession, d: str, name: str, key: str, text: str, bits:
 FIELDS = (("snippet", "search_results", "result_id", 128), ("body", "cached_fetches", "fetch_id", 512))
 
 
-@query()
+_PAIRS = """
+{0} as (select distinct {1} as id, list_sort(list_distinct(regexp_extract_all(lower({2}), '[\\p{{L}}\\p{{N}}]+'))) as w from {3} where {2} is not null),
+{0}s as (select id, w, len(w) as n from {0} where len(w) >= 20),
+{0}p as (select a.id as id_a, b.id as id_b, a.n + b.n as total, len(list_intersect(a.w, b.w)) as shared from {0}s a join {0}s b on a.id < b.id and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n)
+"""
+
+
+@query(
+    "with "
+    + ", ".join(_PAIRS.format(a, key, field, name) for a, (field, name, key, _) in zip("xy", FIELDS))
+    + " select 'snippet' as field_name, id_a, id_b from xp where 10 * shared >= 7 * (total - shared) union all select 'body', id_a, id_b from yp where 10 * shared >= 7 * (total - shared)"
+)
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records of which 0.7 of all their words are shared, of at least 20 words each."""
     from gleanery.llm.neardup import record_pairs
