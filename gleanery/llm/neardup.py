@@ -39,15 +39,24 @@ def shingles(text: str, size: int) -> set[str]:
     return set(w) if size == 1 else {" ".join(w[a : a + size]) for a in range(len(w) - size + 1)}
 
 
+#: Numbers from here on are those of frequent words, in the order of their frequency.
+_FREQUENT = 1 << 61
+
+
 class _Hash(dict):
-    """Word to a number below 2**61; the dictionary is emptied when it has grown large."""
+    """Word to its number: a hash below 2**61, or for a frequent word its rank beyond that. Emptied when it has grown large."""
+
+    def __init__(self, ranks: dict[int, int] | None = None):
+        super().__init__()
+        self.ranks = ranks or {}
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word) >> 3
+        h = xxhash.xxh64_intdigest(word) >> 3
+        h = self[word] = self.ranks.get(h, h)
         return h
 
 
@@ -86,8 +95,10 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
         import pyarrow as pa
         import xxhash
 
-        ranks, total = stats.value  # number of a frequent word -> (order, share)
-        h, seen, mask = _Hash(), set(), 64 * words - 1
+        ranks, shares, total = stats.value
+        h, seen, mask = _Hash(ranks), set(), 64 * words - 1
+        wide = [k for k, share in enumerate(shares) if total * share > cap]
+        first_wide = _FREQUENT + wide[0] if wide else 1 << 63
 
         def regions(w, n):
             """Keys of the pivots the record is replicated to; True where a record may meet larger ones there."""
@@ -101,52 +112,46 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
                     x = w[a]
                     k = x if depth == 0 else (key * 0x9E3779B97F4A7C15 + x) & 0x7FFFFFFFFFFFFFFF
                     smaller = own and a < q + depth
-                    share = ranks[x][1] if x in ranks else 0.0
+                    share = shares[x - _FREQUENT] if x >= _FREQUENT else 0.0
                     if size * share > cap and depth < 5 and a + 1 < min(n, p + depth + 1):
                         extend(a + 1, k, size * share, depth + 1, smaller)
                     else:
                         keys[k] = smaller or keys.get(k, False)
 
+            if w[p - 1] < first_wide:
+                return dict(zip(w[:p], [True] * q + [False] * (p - q)))
             extend(0, 0, float(total), 0, True)
             return keys
 
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            bits: list[int] = []
+            keys, sizes, docs, marks = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(text, size)
                 n = len(s)
                 if n < least:
                     continue
-                nums = [h[x] for x in s]
-                nums.sort()
-                cls = xxhash.xxh64_intdigest(np.array(nums, np.int64).tobytes()) >> 1
-                cols[0].append(-1 - cls)
-                cols[1].append(cls)
-                cols[2].append(i)
-                cols[3].append(n)
-                bits.append(0)
-                if cls in seen:
-                    continue
-                if len(seen) > 2_000_000:
-                    seen.clear()
-                seen.add(cls)
+                w = sorted([h[x] for x in s])
+                cls = xxhash.xxh64_intdigest(np.array(w, np.int64).tobytes()) >> 1
                 parity = 0
-                for x in nums:
-                    parity ^= 1 << (x & mask)
-                order = [x for x in nums if x not in ranks] + sorted([x for x in nums if x in ranks], key=lambda x: ranks[x])
-                keys = regions(order, n)
-                m = len(keys)
-                cols[0] += keys
-                cols[1] += [cls] * m
-                cols[2] += [i] * m
-                cols[3] += [n if smaller else -n for smaller in keys.values()]
-                bits += [parity] * m
-            raw = b"".join(x.to_bytes(8 * words, "little") for x in bits)
-            planes = np.frombuffer(raw, np.int64).reshape(-1, words)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.int32())]
-            arrays += [pa.array(np.ascontiguousarray(planes[:, k])) for k in range(words)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "cls", "id", "n", *[f"b{k}" for k in range(words)]])
+                keys.append(-1 - cls)
+                sizes.append(n)
+                m = 1
+                if cls not in seen:
+                    if len(seen) > 2_000_000:
+                        seen.clear()
+                    seen.add(cls)
+                    for x in w:
+                        parity ^= 1 << (x & mask)
+                    own = regions(w, n)
+                    keys += own
+                    sizes += [n if smaller else -n for smaller in own.values()]
+                    m += len(own)
+                docs.append((cls, i, m))
+                marks.append(parity.to_bytes(8 * words, "little"))
+            cls, ids, m = (np.array([d[k] for d in docs], np.int64) for k in range(3))
+            planes = np.frombuffer(b"".join(marks), np.int64).reshape(-1, words)
+            arrays = [np.array(keys, np.int64), np.repeat(cls, m), np.repeat(ids, m), np.array(sizes, np.int32), *[np.repeat(planes[:, k], m) for k in range(words)]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key", "cls", "id", "n", *[f"b{k}" for k in range(words)]])
 
     return run
 
@@ -165,13 +170,23 @@ def _region_pairs(t: float, words: int, cap: int, blocks: bool):
             arrays = [np.full(m, kind, np.int32), a, b, i, j, np.zeros(m, np.int32) if n is None else n, *([zero] * words if bits is None else bits)]
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in arrays], names=names)
 
+        half = max(1, words // 2)
+
         def near(x, y, bits_x, bits_y):
-            """Whether parity leaves the distance within the threshold; x and y are the sizes times (1 - t) / (1 + t)."""
+            """Whether half the parity leaves the distance within the threshold; x and y are the sizes times (1 - t) / (1 + t)."""
             diff = np.bitwise_count(bits_x[0] ^ bits_y[0])
-            for p, q in zip(bits_x[1:], bits_y[1:]):
+            for p, q in zip(bits_x[1:half], bits_y[1:half]):
                 diff = diff.astype(np.uint16) + np.bitwise_count(p ^ q)
             return diff <= x + y
 
+        def nearer(x, y, room, bits):
+            """Those of the index pairs which all of the parity leaves."""
+            diff = np.zeros(len(x), np.uint16)
+            for p in bits:
+                diff += np.bitwise_count(p[x] ^ p[y])
+            ok = diff <= room[x] + room[y]
+            return x[ok], y[ok]
+
         def join(r):
             """All regions of sorted rows: small ones together, row against the row so many places on; larger ones as tables."""
             key, n = r["key"], len(r["key"])
@@ -193,7 +208,7 @@ def _region_pairs(t: float, words: int, cap: int, blocks: bool):
                     lo = starts[np.searchsorted(length, lag, side="right")]
                     ok = (own[lo:-lag] == own[lo + lag :]) & (part_lead[lo:-lag] | part_lead[lo + lag :]) & near(part_room[lo:-lag], part_room[lo + lag :], [p[lo:-lag] for p in part_bits], [p[lo + lag :] for p in part_bits])
                     k = np.flatnonzero(ok) + lo
-                    found.append((at[k], at[k + lag]))
+                    found.append(nearer(at[k], at[k + lag], room, bits))
             for k in np.flatnonzero(size > 24):
                 lo, hi = edge[k], edge[k + 1]
                 if hi - lo > cap and not blocks:
@@ -206,7 +221,7 @@ def _region_pairs(t: float, words: int, cap: int, blocks: bool):
                     x, y = np.nonzero(ok)
                     x, y = i[x], y + lo
                     up = (x != y) & ((y > x) | ~lead[y])
-                    found.append((x[up], y[up]))
+                    found.append(nearer(x[up], y[up], room, bits))
             if found:
                 x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 nx, ny = count[x], count[y]
@@ -327,8 +342,8 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     counts = docs.mapInArrow(_document_counts(shingle, least), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     n = docs.count()
     often = counts.where(F.col("n") >= max(2.0, n * frequent)).collect()
-    ranks = {r.h: (r.n, r.n / max(n, 1), r.h) for r in often}
-    stats = spark.sparkContext.broadcast(({h: (k, v[1]) for k, (h, v) in enumerate(sorted(ranks.items(), key=lambda x: (x[1][0], x[0])))}, n))
+    often.sort(key=lambda r: (r.n, r.h))
+    stats = spark.sparkContext.broadcast(({r.h: _FREQUENT + k for k, r in enumerate(often)}, [r.n / max(n, 1) for r in often], n))
 
     planes = "".join(f", b{k} bigint" for k in range(words))
     entries = docs.mapInArrow(_entries(shingle, least, t, words, stats, cap), f"key bigint, cls bigint, id bigint, n int{planes}")
