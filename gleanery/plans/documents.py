@@ -358,3 +358,48 @@ def detail_scan(spark: SparkSession, d: str) -> DataFrame:
     """E-mail addresses by pattern, and the excerpt of every assessed text."""
     t = rows.once(table(spark, d, "cached_assessments").where("text is not null"), "assessment_id", "text")
     return t.select("assessment_id", fx.detail_counts(F.col("text"))[0].alias("emails"), F.left("text", F.lit(500)).alias("excerpt"))
+
+
+@query(
+    """
+with c as (select distinct chunk_id, content from chunks where content is not null),
+h as (select chunk_id, list_transform(range(1, 9), lambda k: (instr('0123456789abcdef', substr(sha256(content), k, 1)) - 1) / 15.0) as v from c)
+select chunk_id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as first, round(v[8] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as last from h
+"""
+)
+def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in vectors of every chunk: their first and last parts."""
+    from gleanery.functions.tables import hash_vector
+
+    t = table(spark, d, "chunks").where("content is not null").select("chunk_id", hash_vector(F.col("content")).alias("v")).dropDuplicates(["chunk_id"])
+    return t.select("chunk_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
+
+
+@query()
+def migration(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's chunks joined and cut anew: chunks before and after."""
+    t = rows.once(table(spark, d, "chunks").where("content is not null"), "chunk_id", "document_url", "index", "content")
+    old = chunking.reassemble(t, "document_url", "index", "content")
+    new = chunking.flat_chunks(old, "document_url", "text", size=1600, overlap=320).groupBy(F.col("document").alias("document_url")).agg(F.count("*").alias("n_new"))
+    return old.select("document_url", "n_chunks").join(new, "document_url", "left").select("document_url", "n_chunks", F.coalesce("n_new", F.lit(0)).alias("n_new"))
+
+
+@query(
+    """
+with recursive c as (select distinct chunk_id, document_url, section_id, parent_section_id, section_path_str as path from chunks where section_id is not null),
+p as (select document_url, bool_or(coalesce(parent_section_id, '') <> '') as by_parent from c group by document_url),
+e as (select distinct c.document_url, section_id, parent_section_id from c join p on p.document_url = c.document_url where by_parent),
+t as (select distinct document_url, section_id as ancestor, section_id as descendant from e union select t.document_url, t.ancestor, e.section_id from t join e on e.document_url = t.document_url and e.parent_section_id = t.descendant where e.section_id <> t.descendant),
+x as (select distinct c.document_url, section_id, path from c join p on p.document_url = c.document_url where not by_parent and path is not null and path <> ''),
+u as (select * from t union select distinct document_url, parent_section_id, section_id from e where parent_section_id <> '' union select a.document_url, a.section_id, b.section_id from x a join x b on a.document_url = b.document_url and (b.path = a.path or starts_with(b.path, a.path || '|')))
+select document_url, count(*) as n_pairs from u group by document_url
+"""
+)
+def section_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sections by parent where a document has any parents, else by path."""
+    c = table(spark, d, "chunks").where("section_id is not null").select("document_url", "section_id", "parent_section_id", "section_path_str").distinct()
+    kind = c.groupBy("document_url").agg(F.bool_or(F.coalesce("parent_section_id", F.lit("")) != "").alias("by_parent"))
+    c = c.join(kind, "document_url")
+    tree = rows.closure(c.where("by_parent"), ["document_url"], "section_id", "parent_section_id")
+    path = rows.prefix_closure(c.where("not by_parent"), ["document_url"], "section_path_str", "section_id")
+    return tree.unionByName(path).groupBy("document_url").agg(F.count("*").alias("n_pairs"))

@@ -613,3 +613,60 @@ def refine_loop(spark: SparkSession, d: str) -> DataFrame:
         return pairs.groupBy("query_id").agg(F.round(F.avg(F.size(F.array_intersect("q", "w")) / F.size("q")), 6).alias("quality"))
 
     return rt.refine(queries, "entity_id", "title", search, 0.4, 3, SUFFIXES)
+
+
+@query(
+    """
+select user_id, cast(epoch_us(date_trunc('day', ts)) as bigint) as day_us, count(*) as n_spans, round(sum(value), 4) as total, round(max(value), 4) as longest, arg_max(event_type, (ts, event_id)) as last_type, count(*) filter (where event_type = 'error') as n_errors from events group by 1, 2
+"""
+)
+def span_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of every user and day: number, total, longest, the last one's kind and the errors."""
+    t = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
+    g = t.groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"))
+    out = g.agg(F.count("*").alias("n_spans"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 4).alias("longest"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+    return out.select("user_id", F.unix_micros("day").alias("day_us"), "n_spans", "total", "longest", "last_type", "n_errors")
+
+
+@query(
+    """
+with c as (select distinct chunk_id, document_url, token_count, content from chunks)
+select document_url, cast(sum(coalesce(token_count, length(content) // 4)) as bigint) as tokens, count(*) filter (where coalesce(token_count, 0) > 0) as n_counted, bool_and(token_count is not null) as all_counted from c group by document_url
+"""
+)
+def token_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document, counted where they were recorded and estimated elsewhere."""
+    t = table(spark, d, "chunks").select("chunk_id", "document_url", "token_count", fx.token_floor(F.col("content")).alias("guess")).dropDuplicates(["chunk_id"])
+    return t.groupBy("document_url").agg(F.sum(F.coalesce(F.col("token_count").cast("bigint"), F.col("guess"))).alias("tokens"), F.count_if(F.coalesce("token_count", F.lit(0)) > 0).alias("n_counted"), F.bool_and(F.col("token_count").isNotNull()).alias("all_counted"))
+
+
+@query(
+    """
+with h as (select distinct hit_id, query_id, chunk_id, coalesce(case when isfinite(score) then score end, 0) as score from retrieval_results where chunk_id is not null), c as (select distinct chunk_id, document_url from chunks),
+b as (select c.document_url, h.chunk_id, max(h.score) as score from h join c on c.chunk_id = h.chunk_id group by all),
+r as (select *, row_number() over (partition by document_url order by score desc, chunk_id) as k from b),
+d as (select distinct document_url from c)
+select d.document_url, string_agg(r.chunk_id, ',' order by r.k) as chunk_ids, count(r.chunk_id) as n from d left join r on r.document_url = d.document_url and r.k <= 3 group by d.document_url
+"""
+)
+def retrieved_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its three best retrieved chunks, in order; documents without a hit stay."""
+    c = rows.once(table(spark, d, "chunks"), "chunk_id", "document_url")
+    best = _hits(spark, d).groupBy("chunk_id").agg(F.max("score").alias("score")).join(c, "chunk_id")
+    top = rows.top_k(best, ["document_url"], 3, F.col("score").desc(), F.col("chunk_id"), name="k")
+    listed = top.groupBy("document_url").agg(F.array_sort(F.collect_list(F.struct("k", "chunk_id"))).alias("a"))
+    out = c.select("document_url").distinct().join(listed, "document_url", "left")
+    return out.select("document_url", F.nullif(F.array_join(F.col("a.chunk_id"), ","), F.lit("")).alias("chunk_ids"), F.coalesce(F.size("a"), F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(
+    """
+with s as (select source, sum(n) as n from (select lower(replace(trim(source), '-', '_')) as source, count(*) as n from documents where source is not null group by all) group by source)
+select t.source, t.target_share, coalesce(s.n, 0) as n_documents, round(coalesce(s.n, 0) / (select count(*) from documents), 6) as share from source_targets t left join s on s.source = t.source
+"""
+)
+def lookup_default(spark: SparkSession, d: str) -> DataFrame:
+    """A reference list with what was counted for each entry, 0 where nothing was."""
+    t = table(spark, d, "documents").groupBy(F.lower(F.replace(F.trim("source"), F.lit("-"), F.lit("_"))).alias("source")).agg(F.count("*").alias("n"))
+    share = t.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per source
+    return table(spark, d, "source_targets").join(share, "source", "left").select("source", "target_share", F.coalesce("n", F.lit(0)).alias("n_documents"), F.round(F.coalesce("share", F.lit(0.0)), 6).alias("share"))

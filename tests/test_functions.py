@@ -75,3 +75,19 @@ def test_small_ones(spark):
     assert one(spark, fx.detail_counts(F.col("v"))[0], v="a@b.test, c@d.test") == 2
     assert one(spark, fx.detail_counts(F.col("v"))[2], v="AB123456C") == 1
     assert len(one(spark, fx.short_id(F.col("v")), v="x")) == 16
+
+
+def test_functions_for_sql(spark):
+    from gleanery.functions import tables
+
+    assert set(tables.register(spark)) == {"chunk_windows", "page_blocks", "host_of", "tokens_of", "hybrid_score"}
+    got = spark.sql("select w.position, w.content from values ('aaaa bbbb cccc') as t(x), lateral chunk_windows(x, 6, 0, 1) w order by 1").collect()
+    assert [r.content for r in got] == ["aaaa", "bbbb", "cccc"]
+    assert spark.sql("select b.kind from lateral page_blocks('<h1>A</h1><p>b</p>', 80) b order by b.position").collect()[0].kind == "heading"
+    r = spark.sql("select host_of('https://www.a.test/x') h, tokens_of('12345') t, hybrid_score(1, 0.5, null) s").first()
+    assert (r.h, r.t) == ("a.test", 2) and abs(r.s - 0.8) < 1e-9
+    v = one(spark, tables.hash_vector(F.col("v")), v="x")
+    assert len(v) == 8 and abs(sum(x * x for x in v) - 1) < 1e-9
+    assert tables.collection_name("ev", 2, "a b/c") == "ev_v2_a_b_c"
+    with pytest.raises(ValueError):
+        tables.collection_name("ev", 3, "a")
