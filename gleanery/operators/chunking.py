@@ -10,42 +10,32 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import short_id
 
 
+def _stretch(text: str, at: int, size: int) -> int:
+    """End of a stretch of at most ``size`` characters: the last space within it, else its full length."""
+    full = at + size
+    if full >= len(text):
+        return len(text)
+    space = text.rfind(" ", at + 1, full)
+    return full if space < 0 else space
+
+
 def windows(text: str, size: int = 1500, overlap: int = 200, least: int = 80) -> Iterator[str]:
     """Windows of a text that end at a space where they can, each beginning ``overlap`` before the end of the last.
 
     Stripped windows below ``least`` are left out. A window always begins after the one
     before, also where its only space stands near its start.
     """
-    if len(text) <= size:
-        if len(text.strip()) >= least:
-            yield text.strip()
-        return
-    at, n = 0, len(text)
-    while at < n:
-        end = at + size
-        if end < n:
-            space = text.rfind(" ", at, end)
-            end = space if space > at else end
-        piece = text[at:end].strip()
-        if len(piece) >= least:
+    begin = end = 0
+    while end < len(text):
+        end = _stretch(text, begin, size)
+        if len(piece := text[begin:end].strip()) >= least:
             yield piece
-        if end >= n:
-            return
-        at = end - overlap if end - overlap > at else end
+        begin = end - overlap if end - overlap > begin else end
 
 
 def parts(text: str, size: int) -> Iterator[str]:
     """Parts of at most ``size`` characters that end at a space where they can, without overlap."""
-    at, n = 0, len(text)
-    while at < n:
-        end = at + size
-        if end < n:
-            space = text.rfind(" ", at, end)
-            end = space if space > at else end
-        piece = text[at:end].strip()
-        if piece:
-            yield piece
-        at = end
+    yield from windows(text, size, overlap=0, least=1)
 
 
 def _chunker(size, overlap, least, table_size):
