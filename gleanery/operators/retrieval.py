@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.functions.text import cosine, finite
+from gleanery.functions.text import finite
 from gleanery.operators.rows import top_k
 from gleanery.sources.tables import checkpoint
 
@@ -28,16 +28,44 @@ def hybrid(vector: Column, keyword: Column, boost: Column, weights: tuple[float,
     return v * a + k * b + t * c
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, scope: str, query_id: str, item_id: str, vector: str, k: int) -> DataFrame:
-    """The k items nearest to each query within its scope, by cosine in double arithmetic.
+def vector_topk(queries: DataFrame, items: DataFrame, scope: str, query_id: str, item_id: str, vector: str, k: int, block: int = 50_000) -> DataFrame:
+    """The k items nearest to each query within its scope, by cosine in double arithmetic: exact, of all items.
 
-    Queries are joined to the items of their own scope by equality, and each item batch
-    keeps k per query before the shuffle (a limit within the window's sort).
+    The items of a scope are dealt into blocks of about ``block`` (their number is counted
+    first), so a scope of a third of all rows is many tasks; each block meets the scope's
+    queries once, as one matrix product that keeps k per query. A window picks the k best
+    of the blocks. Null vectors are left out; a vector without length has cosine 0.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), scope, F.col(vector).alias("_q"))
-    pairs = items.select(F.col(item_id).alias("item_id"), scope, F.col(vector).alias("_v")).join(q, scope).where("query_id <> item_id")
-    scored = pairs.select("query_id", scope, "item_id", F.round(cosine(F.col("_q"), F.col("_v")), 9).alias("score"))
-    return top_k(scored, ["query_id"], k, F.col("score").desc(), F.col("item_id"))
+    blocks = max(1, -(-items.count() // block))
+    q = queries.where(F.col(vector).isNotNull()).select(scope, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("_v"))
+    i = items.where(F.col(vector).isNotNull()).select(scope, F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_block"), F.col(item_id).cast("bigint").alias("item_id"), F.col(vector).cast("array<double>").alias("_v"))
+
+    def nearest(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(t):
+            v = t.column("_v").combine_chunks()
+            m = np.asarray(v.flatten()).reshape(len(v), -1)
+            n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return m / np.where(n > 0, n, 1.0)
+
+        ids, found, scores = np.asarray(right.column("item_id")), [], []
+        own = np.asarray(left.column("query_id"))
+        if len(own) and len(ids):
+            vectors, rows = matrix(right), matrix(left)
+            for a in range(0, len(own), 256):
+                s = np.round(rows[a : a + 256] @ vectors.T, 9)
+                for r, x in zip(own[a : a + 256], s):
+                    x[ids == r] = -np.inf
+                    top = np.lexsort((ids, -x))[:k] if len(x) <= 4 * k else (lambda c: c[np.lexsort((ids[c], -x[c]))][:k])(np.flatnonzero(x >= np.partition(x, -k)[-k]))  # noqa: B023
+                    top = top[np.isfinite(x[top])]
+                    found += [(r, ids[j]) for j in top]
+                    scores += x[top].tolist()
+        return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "item_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array(scores, pa.float64())})
+
+    best = q.groupBy(scope, "_block").cogroup(i.groupBy(scope, "_block")).applyInArrow(nearest, "query_id bigint, item_id bigint, score double")
+    return top_k(best, ["query_id"], k, F.col("score").desc(), F.col("item_id"))
 
 
 def select_sections(hits: DataFrame, keys: list[str], section: str, score: str, order: Column, k: int, least: float) -> DataFrame:

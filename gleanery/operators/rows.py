@@ -9,8 +9,12 @@ from gleanery.sources.tables import checkpoint
 
 
 def once(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """Rows of the columns, copies under one id counting once. Select what is needed: all of it is shuffled with the id."""
-    return df.select(key, *columns).dropDuplicates([key])
+    """Rows of the columns, exact copies counting once.
+
+    Select what is needed: all of it is shuffled. Copies are whole, so all columns are the
+    grouping key; that aggregates by hash, where keeping the first text per id would sort twice.
+    """
+    return df.select(key, *columns).distinct()
 
 
 def first_seen(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -121,3 +121,20 @@ def test_refine_keeps_the_best_round(spark):
     found = retrieval.refine(q, "id", "q", lambda o: o.select("query_id", F.when(F.col("query") == "good", 0.9).when(F.contains("query", F.lit("alpha")), 0.3).otherwise(0.1).alias("quality")), 0.4, 3, ("alpha beta", "gamma"))
     got = {r.query_id: (r.best_round, r.rounds, r.quality) for r in found.collect()}
     assert got == {1: (0, 1, 0.9), 2: (1, 3, 0.3)}
+
+
+def test_vector_topk_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors = [(i, int(i % 3 == 0), rng.normal(size=5).round(1).tolist()) for i in range(80)] + [(90, 0, None), (91, 0, [0.0] * 5)]
+    items = spark.createDataFrame(vectors, "id bigint, s int, v array<double>")
+    unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in vectors if v}
+    for block in (1000, 9):
+        got = retrieval.vector_topk(items.where("id % 10 = 0"), items, "s", "id", "id", "v", 4, block)
+        want = []
+        for i, s, v in vectors:
+            if i % 10 == 0 and v:
+                near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j, t, w in vectors if w and t == s and j != i)[:4]
+                want += [(i, k + 1, j) for k, (_, j) in enumerate(near)]
+        assert sorted(tuple(r) for r in got.select("query_id", "rank", "item_id").collect()) == sorted(want)
