@@ -60,21 +60,47 @@ class _Hash(dict):
         return h
 
 
+class _Sets:
+    """The set of a text as numbers: of its words, or of its runs of words, each run's number made of those of its words."""
+
+    def __init__(self, size: int, ranks: dict[int, int] | None = None):
+        self.size, self.ranks = size, ranks or {}
+        self.words = _Hash(self.ranks if size == 1 else None)
+
+    def __call__(self, text: str) -> list[int]:
+        h, w = self.words, _WORD.findall(text.lower())
+        if self.size == 1:
+            return [h[x] for x in set(w)]
+        n = len(w) - self.size + 1
+        if n < 1:
+            return []
+        a = np.array([h[x] for x in w], np.uint64)
+        runs = a[:n].copy()
+        for k in range(1, self.size):
+            runs *= np.uint64(0x9E3779B97F4A7C15)
+            runs ^= runs >> np.uint64(29)
+            runs += a[k : k + n]
+        runs *= np.uint64(0xBF58476D1CE4E5B9)
+        out = np.unique(runs >> np.uint64(3)).astype(np.int64).tolist()
+        return [self.ranks.get(x, x) for x in out] if self.ranks else out
+
+
 def _document_counts(size: int, least: int):
     def run(batches):
         import pyarrow as pa
 
-        h, counts = _Hash(), Counter()
+        numbers, counts = _Sets(size), Counter()
 
         def out():
-            keys = np.fromiter(counts.keys(), np.int64, len(counts))
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], names=["h", "n"])
+            # a run of words met once among a task's records is not sent: it can't be a frequent one
+            sent = [x for x in counts.items() if x[1] > 1] if size > 1 else list(counts.items())
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int64())], names=["h", "n"])
 
         for b in batches:
             for t in b.column(1).to_pylist():
-                s = shingles(t, size)
+                s = numbers(t)
                 if len(s) >= least:
-                    counts.update([h[w] for w in s])
+                    counts.update(s)
             if len(counts) > 1_000_000:
                 yield out()
                 counts.clear()
@@ -96,7 +122,7 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
         import xxhash
 
         ranks, shares, total = stats.value
-        h, seen, mask = _Hash(ranks), set(), 64 * words - 1
+        numbers, seen, mask = _Sets(size, ranks), set(), 64 * words - 1
         wide = [k for k, share in enumerate(shares) if total * share > cap]
         first_wide = _FREQUENT + wide[0] if wide else 1 << 63
 
@@ -126,11 +152,11 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
         for b in batches:
             keys, sizes, docs, marks = [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = shingles(text, size)
-                n = len(s)
-                if n < least:
+                w = numbers(text)
+                n = len(w)
+                if not n or n < least:
                     continue
-                w = sorted([h[x] for x in s])
+                w.sort()
                 cls = xxhash.xxh64_intdigest(np.array(w, np.int64).tobytes()) >> 1
                 parity = 0
                 keys.append(-1 - cls)
@@ -309,9 +335,9 @@ def _token_arrays(size: int):
     def run(batches):
         import pyarrow as pa
 
-        h = _Hash()
+        numbers = _Sets(size)
         for b in batches:
-            sets = [[h[w] for w in shingles(t, size)] for t in b.column(1).to_pylist()]
+            sets = [numbers(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "w"])
 
     return run
@@ -322,7 +348,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
 
     Sets are of the different words of the lower-cased text (maximal runs of letters and
     digits), or of runs of ``shingle`` words. Records with fewer than ``least`` of them, a
-    null key or a null text are in no class. Copies of a row, and other records with the
+    null key or a null or wordless text are in no class. Copies of a row, and other records with the
     same set, are members of one class, however many; pairs stand between classes.
     Words are told apart by 61-bit hashes, classes by 63-bit ones.
 

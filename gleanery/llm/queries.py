@@ -236,10 +236,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of records whose five-word runs are 0.8 alike or more, with each record's number of links."""
+    """Groups of records whose five-word runs are 0.8 alike or more, one row per record with its number of links; records of fewer than five words have no group."""
     from gleanery.llm.neardup import groups
 
-    parts = [groups(*_similar(spark, d, name, key, field, 256, 0.8, 5, 1)).select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), "links") for field, name, key, _ in FIELDS]
+    parts = []
+    for field, name, key, _ in FIELDS:
+        own = groups(*_similar(spark, d, name, key, field, 256, 0.8, 5, 1))
+        every = table(spark, d, name).select(F.col(key).alias("id")).where("id is not null").distinct()
+        parts.append(every.join(own, "id", "left").select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")))
     return parts[0].unionByName(parts[1])
 
 
