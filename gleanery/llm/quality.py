@@ -95,13 +95,13 @@ def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
         _bin((solid - letters) / max(1, solid), 0.06, 0.15, 0.4),
         shape,
         _bin(again, 0, 2),
-        _bin(stale, 0.35, 0.75) if n < 8 or len(set(w)) > 0.45 * n else 3,
+        _bin(stale, 0.35, 0.75) if n < 8 or len(set(w)) > 0.3 * n else 3 if stale < 0.8 else 4,
         _bin(odd, 0.05, 0.3),
         1 if len(_MOJI.findall(line)) > 2 else 0,
     )
 
 
-_SIZES = (6, 3, 4, 4, 4, 5, 3, 4, 3, 2)
+_SIZES = (6, 3, 4, 4, 4, 5, 3, 5, 3, 2)
 #: Words of the training lines, of our own choosing; they only need to have the shapes of words.
 _NOUNS = "garden lamp river market teacher window bread mountain ticket orange cabinet engine village paper ladder station curtain bottle pianist meadow".split()
 _NAMES = "Aldo Berit Corvin Dunya Estel Fabro Gunda Hilmar Isolde Jurek".split()
@@ -154,11 +154,12 @@ def _examples(rng: random.Random):
 
     def junk():
         letters = "abcdefghijklmnopqrstuvwxyz"
-        kind = rng.randint(0, 5)
+        kind = rng.choice((0, 1, 1, 2, 3, 4, 5))
         if kind == 0:
             return [rng.choice((noun(), f"{noun()} {noun()}", f"the {noun()} of {name()}"))] * rng.randint(8, 40)
         if kind == 1:
-            return segments(" ".join([rng.choice((noun(), f"{name()} {noun()}", f"to the {noun()}"))] * rng.randint(40, 120)))
+            phrase = rng.choice((noun(), f"{name()} {noun()}", f"to the {noun()}", f"a {noun()} and {noun()} {noun()}", f"the {noun()} in {name()}", f"its {noun()} {noun()}", f"some {noun()} of the {noun()} {noun()}"))
+            return segments(rng.choice((" ", ", ")).join([phrase] * rng.randint(40, 140)))
         if kind == 2:
             return segments(" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 16))) for _ in range(rng.randint(40, 150))))
         if kind == 3:
