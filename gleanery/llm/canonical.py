@@ -145,7 +145,7 @@ class Matcher:
         flat = query.replace(".", "").strip()
         if not flat:
             return None
-        found = trie.within(flat, allowed(len(flat))) or trie.shortened(query)
+        found = trie.within(flat, allowed(len(flat) + 1)) or trie.shortened(query)
         if not found:
             return None
         spelt = value.casefold()
