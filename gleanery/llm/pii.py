@@ -64,7 +64,7 @@ def _number_segments(text: str, out: dict) -> None:
         if e:
             ends.append(m.start() + e.start())
         # a run of digit groups may hold two numbers
-        gaps = [g for g in re.finditer(r" (?=[+(\d])", whole)] if len(whole) > 17 else []
+        gaps = list(re.finditer(r" (?=[+(\d])", whole))
         starts += [m.start() + g.end() for g in gaps]
         ends += [m.start() + g.start() for g in gaps]
         for a in dict.fromkeys(starts):
@@ -290,7 +290,7 @@ def _generated(rng: random.Random):
     job = lambda: rng.choice(("treasurer", "auditor", "head of sales", "site manager", "press officer", "chairman"))
     P, E, T, N, S = (("person_name", person), ("email", email), ("phone", phone), ("id_number", number), ("street_address", street))
     frames = (
-        lambda: [title(), P, f", the {job()}, said the plan was sound."], lambda: ["Signed: ", title(), P], lambda: ["Please ask for ", title(), P, " on ", T, "."], lambda: ["Call ", T, " for more."], lambda: ["tel ", T],
+        lambda: [title(), P, f", the {job()}, said the plan was sound."], lambda: ["Signed: ", title(), P], lambda: ["Please ask for ", title(), P, " on ", T, "."], lambda: ["Call ", T, " for more."], lambda: ["tel ", T], lambda: ["tel ", T, f" {rng.randint(11, 999)} {stem().lower()} people came, and {d(2)} left."],
         lambda: ["Write to ", S, f", {stem()}, or to ", E, "."], lambda: ["The shares were held in the name of ", title(), P, "."], lambda: ["Mail ", E, " or ring ", T, "."], lambda: [title(), P, f" joined {firm()} as {job()} in 19{d(2)}."],
         lambda: ["ID ", N, " was shown."], lambda: ["The national number ", N, " belongs to ", title(), P, "."], lambda: ["Holder ", N, "; home ", S, "."], lambda: ["Claimant: ", title(), P, ", ", S, ", ID ", N, ", phone ", T, ", mail ", E],
         lambda: ["Parcels go to ", S, " only."], lambda: ["Residence: ", S, ". ", f"{stem()} stayed."], lambda: ["They live at ", S, "."], lambda: ["“We agree,” said ", title(), P, f", the {job()}."], lambda: [f"The {job()}, ", title(), P, ", can be reached at ", E, "."], lambda: ["The writ was served on ", title(), P, " at ", S, f", {stem()}."],
