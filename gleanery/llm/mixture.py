@@ -76,7 +76,7 @@ def largest_total(shares: dict[str, Fraction], caps: dict[str, int]) -> int:
     return max(1, int(min(Fraction(caps[s]) * total / w for s, w in live.items())))
 
 
-def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, tokenizer: str, pattern: str, block_tokens: int = 4_000, shard_tokens: int = 20_000_000, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, tokenizer: str, pattern: str, block_tokens: int = 2_000, shard_tokens: int = 20_000_000, seed: int = 17) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A mixture of documents near the target shares, by tokens.
 
     Documents of one source are dealt into shards by a seeded hash of their key (as many as
@@ -122,17 +122,20 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     caps = {s: have.get(s, 0) * goal[s][1] for s in goal}
     quota = apportion(shares, caps, largest_total(shares, caps))
     plan = []
+    by_source: dict[str, dict[int, int]] = {}
+    for (s, k), n in sizes.items():
+        by_source.setdefault(s, {})[k] = n
     for s, q in quota.items():
-        own = {k: n for (x, k), n in sizes.items() if x == s}
+        own = by_source.get(s, {})
         if not own:
             continue
         parts = apportion({str(k): Fraction(n) for k, n in own.items()}, {str(k): n * goal[s][1] for k, n in own.items()}, q)
         plan += [(s, int(k), v, own[int(k)]) for k, v in parts.items()]
     quotas = spark.createDataFrame(plan, "source string, shard bigint, quota bigint, blocks bigint")
-    pick = laid.select("source", "shard", "block").distinct().join(F.broadcast(quotas), ["source", "shard"])
+    # all blocks by number, also those in which no document begins: the mean of all is the block size
+    pick = quotas.select("source", "shard", "quota", F.col("blocks").alias("n_blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     rank = Window.partitionBy("source", "shard").orderBy(F.xxhash64("block", F.lit(seed + 2)), "block")
-    present = Window.partitionBy("source", "shard")
-    pick = pick.withColumn("n_blocks", F.count("*").over(present)).withColumn("k", F.row_number().over(rank) - 1)
+    pick = pick.withColumn("k", F.row_number().over(rank) - 1)
     pick = pick.withColumn("repeats", (F.floor(F.col("quota") / F.col("n_blocks")) + F.when(F.col("k") < F.col("quota") % F.col("n_blocks"), 1).otherwise(0)).cast("int"))
     cap = F.coalesce(*[F.when(F.col("source") == s, F.lit(r)) for s, (_, r) in goal.items()], F.lit(1)) if goal else F.lit(1)
     pick = pick.withColumn("repeats", F.least("repeats", cap)).where("repeats > 0").select("source", "shard", "block", "repeats")
@@ -140,9 +143,10 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
 
     taken = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens_taken"), F.max("repeats").alias("repeats_used"))
     facts = spark.createDataFrame([(s, float(w), sums.get(s, 0), quota.get(s, 0), r) for s, (w, r) in goal.items()], "source string, target_share double, tokens_available bigint, blocks bigint, max_repeats int")
-    whole = taken.agg(F.sum("tokens_taken").alias("whole"))
-    report = facts.join(taken, "source", "left").crossJoin(F.broadcast(whole)).select(
-        "source", "target_share", "tokens_available", "blocks", F.coalesce("tokens_taken", F.lit(0)).alias("tokens_taken"),
-        F.round(F.coalesce(F.col("tokens_taken") / F.col("whole"), F.lit(0.0)), 6).alias("share_reached"), "max_repeats", F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"),
+    got = F.coalesce("tokens_taken", F.lit(0))
+    whole = F.sum(got).over(Window.partitionBy())  # one row per target
+    report = facts.join(taken, "source", "left").select(
+        "source", "target_share", "tokens_available", "blocks", got.alias("tokens_taken"),
+        F.round(F.when(whole > 0, got / whole).otherwise(0.0), 6).alias("share_reached"), "max_repeats", F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"),
     )
     return chosen, report, counts
