@@ -48,3 +48,17 @@ def claim_rows(bundles: DataFrame) -> DataFrame:
 
 def synthesis_rows(bundles: DataFrame) -> DataFrame:
     return bundles.where("synthesis is not null").select("bundle", "synthesis.*")
+
+
+def read_context(spark: SparkSession, manifest: DataFrame, folder: str, budget: int) -> DataFrame:
+    """Files named by a manifest (stage, priority, file), each with what its stage's budget of characters leaves for it.
+
+    Files are read whole; of a file beyond the budget only the beginning is taken, without
+    blanks at its end. Files that are missing have no row.
+    """
+    from gleanery.operators.rows import within_budget
+
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.trim("value").alias("text"))
+    rows = manifest.join(files, "file").withColumn("n_chars", F.char_length("text").cast("bigint"))
+    spent = within_budget(rows, ["stage"], ["priority", "file"], "n_chars", budget)
+    return spent.where("taken > 0").select("stage", "priority", "file", F.rtrim(F.left("text", F.col("taken").cast("int"))).alias("text"), "used_before", "budget_left")

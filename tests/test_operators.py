@@ -138,3 +138,19 @@ def test_vector_topk_equals_brute_force(spark):
                 near = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j, t, w in vectors if w and t == s and j != i)[:4]
                 want += [(i, k + 1, j) for k, (_, j) in enumerate(near)]
         assert sorted(tuple(r) for r in got.select("query_id", "rank", "item_id").collect()) == sorted(want)
+
+
+def test_validation(spark):
+    from gleanery.operators import validation as va
+
+    d = spark.createDataFrame(
+        [(1, "money", '```json\n{"total": 100, "rows": [{"v": 60, "p": 60}, {"v": 39, "p": 40}], "year": "x"}\n```'), (2, "money", '{"total": 100, "rows": [{"v": 60, "p": 60}, {"v": 20, "p": null}], "year": 2020}'), (3, "name", '{"first": "A"}'), (4, "money", "none"), (5, None, None)],
+        "id int, tag string, j string",
+    )
+    t = va.tagged(d, "tag", "j", {"money": "total double, year int, rows array<struct<v double, p double>>", "name": "first string"})
+    bad = va.violations(year=(F.col("money.year").between(1900, 2100), "must be a year"), rows__v=(va.sums_agree(F.col("money.rows"), "v", F.col("money.total")), "row sum diverges"), rows__p=(va.percentages_agree(F.col("money.rows"), "p"), "shares don't add up"))
+    got = {r.id: r for r in t.select("*", bad.alias("bad")).select("*", va.message_kinds(F.col("bad"), [("sum", "sum diverges"), ("range", "must be")]).alias("kinds")).collect()}
+    assert got[1].bad == ["year: must be a year"] and got[1].money.total == 100 and got[1].kinds == ["range"]
+    assert got[2].bad == ["rows.v: row sum diverges"] and got[2].kinds == ["sum"]
+    assert got[3].name.first == "A" and got[3].money is None
+    assert len(got[4].bad) == len(got[5].bad) == 3 and got[4].kinds == ["range", "sum", "unknown"]

@@ -38,3 +38,11 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "spans")).count() == 3
     line = sinks.timeline(s, "trace", "o", "name", "ms").where("trace = 't'").first()
     assert line.timeline == "- plan: 1.0 ms\n- fetch: 2.5 ms" and line.total_ms == 3.5
+
+
+def test_context(spark, tmp_path):
+    for name, text in (("a.md", "x" * 60), ("b.md", "y" * 30 + "  " + "z" * 30), ("c.md", "late")):
+        (tmp_path / name).write_text(text)
+    m = spark.createDataFrame([("plan", 2, "b.md"), ("plan", 1, "a.md"), ("plan", 3, "c.md"), ("plan", 4, "gone.md"), ("run", 1, "c.md")], "stage string, priority int, file string")
+    got = {(r.stage, r.file): (r.text, r.used_before, r.budget_left) for r in bundles.read_context(spark, m, str(tmp_path), 92).collect()}
+    assert got == {("plan", "a.md"): ("x" * 60, 0, 32), ("plan", "b.md"): ("y" * 30, 60, 0), ("run", "c.md"): ("late", 0, 88)}
