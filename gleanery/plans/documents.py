@@ -38,7 +38,7 @@ from m group by mime
 )
 def content_types(spark: SparkSession, d: str) -> DataFrame:
     """Pages by type, with the allow list and the size cap of a fetch."""
-    t = table(spark, d, "cached_fetches").select("fetch_id", "content_type", F.octet_length("body").alias("n")).dropDuplicates(["fetch_id"])
+    t = table(spark, d, "cached_fetches").select("fetch_id", "content_type", F.octet_length("body").alias("n")).distinct()
     m = t.select(fx.mime(F.col("content_type")).alias("mime"), F.coalesce("n", F.lit(0)).alias("n"), fx.content_type_allowed(F.col("content_type")).alias("ok"))
     return m.groupBy("mime").agg(F.count("*").alias("n_pages"), F.count_if(F.col("n") <= 5242880).alias("n_within"), F.bool_and("ok").alias("allowed"))
 
@@ -84,7 +84,7 @@ select fetch_id, sha256(trim(regexp_replace(t, '[\\s  - 　]+', ' ', 'g')))
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible text of every page, as a hash."""
     t = table(spark, d, "cached_fetches").where("body is not null")
-    return t.select("fetch_id", F.sha2(fx.html_text(F.col("body")), 256).alias("text_hash")).dropDuplicates(["fetch_id"])
+    return t.select("fetch_id", F.sha2(fx.html_text(F.col("body")), 256).alias("text_hash")).distinct()
 
 
 @query(
@@ -97,7 +97,7 @@ select fetch_id, cast(pos as int) as position, cast(lvl as int) as level, trim(h
 def html_headings(spark: SparkSession, d: str) -> DataFrame:
     """Headings of every page in order, with their level."""
     p = r"(?i)<h([1-6])[^>]*>([^<]*)</h[1-6]>"
-    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", F.regexp_extract_all("body", F.lit(p), F.lit(1)).alias("l"), F.regexp_extract_all("body", F.lit(p), F.lit(2)).alias("h")).dropDuplicates(["fetch_id"])
+    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", F.regexp_extract_all("body", F.lit(p), F.lit(1)).alias("l"), F.regexp_extract_all("body", F.lit(p), F.lit(2)).alias("h")).distinct()
     x = t.select("fetch_id", F.posexplode(F.arrays_zip("l", "h")).alias("position", "z"))
     return x.select("fetch_id", "position", F.col("z.l").cast("int").alias("level"), F.trim("z.h").alias("heading"))
 
@@ -126,7 +126,7 @@ select fetch_id, cast(section as bigint) as section, count(*) as n_lines, cast(m
 )
 def line_sections(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every page by the heading they stand under: a running count of headings."""
-    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", "body").dropDuplicates(["fetch_id"])
+    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", "body").distinct()
     lines = t.select("fetch_id", F.posexplode(F.split("body", "\n")).alias("p", "line"))
     run = Window.partitionBy("fetch_id").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     s = lines.select("fetch_id", "p", F.sum(F.when(F.rlike("line", F.lit(r"(?i)^\s*<h[1-6][ >]")), 1).otherwise(0)).over(run).alias("section"))
@@ -161,7 +161,7 @@ def parse_assembly(spark: SparkSession, d: str) -> DataFrame:
     m = fx.mime(F.col("mime_type"))
     parser = F.when(m.isin("text/html", "application/xhtml+xml"), "html").when(m == "application/pdf", "pdf").otherwise("text")
     out = t.select("assessment_id", F.sha2("full_text", 256).alias("text_hash"), m.alias("mime"), F.char_length("full_text").cast("bigint").alias("n_chars"), fx.document_type(F.col("url")).alias("url_type"), parser.alias("parser"))
-    return out.dropDuplicates(["assessment_id"])
+    return out.distinct()
 
 
 @query(
@@ -342,7 +342,7 @@ from (select distinct chunk_id, table_data from chunks where table_data is not n
 )
 def table_codec(spark: SparkSession, d: str) -> DataFrame:
     """Tables encoded as JSON and decoded again, with their rows, cells and characters."""
-    t = table(spark, d, "chunks").where("table_data is not null").select("chunk_id", F.to_json("table_data", {"ignoreNullFields": "false"}).alias("j")).dropDuplicates(["chunk_id"])
+    t = table(spark, d, "chunks").where("table_data is not null").select("chunk_id", F.to_json("table_data", {"ignoreNullFields": "false"}).alias("j")).distinct()
     x = t.select("chunk_id", F.from_json("j", "array<array<string>>").alias("a"))
     cells = F.flatten("a")
     return x.select("chunk_id", F.size("a").alias("n_rows"), F.aggregate("a", F.lit(0).cast("bigint"), lambda s, r: s + F.size(r)).alias("n_cells"), F.aggregate(cells, F.lit(0).cast("bigint"), lambda s, c: s + F.char_length(F.coalesce(c, F.lit("")))).alias("n_chars"))
@@ -371,7 +371,7 @@ def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Stand-in vectors of every chunk: their first and last parts."""
     from gleanery.functions.tables import hash_vector
 
-    t = table(spark, d, "chunks").where("content is not null").select("chunk_id", hash_vector(F.col("content")).alias("v")).dropDuplicates(["chunk_id"])
+    t = table(spark, d, "chunks").where("content is not null").select("chunk_id", hash_vector(F.col("content")).alias("v")).distinct()
     return t.select("chunk_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 

@@ -330,7 +330,7 @@ select a.provider as provider_a, b.provider as provider_b, count(*) as n_common,
 )
 def scenario_compare(spark: SparkSession, d: str) -> DataFrame:
     """Providers compared in pairs by the domains both found."""
-    t = table(spark, d, "search_results").where("domain is not null").select("result_id", "provider", F.lower(F.trim("domain")).alias("domain")).dropDuplicates(["result_id"])
+    t = table(spark, d, "search_results").where("domain is not null").select("result_id", "provider", F.lower(F.trim("domain")).alias("domain")).distinct()
     p = t.groupBy("provider", "domain").agg(F.count("*").alias("n"))
     # per domain there are as many rows as providers, so the pairs are of providers only
     a, b = p.select("domain", F.col("provider").alias("provider_a"), F.col("n").alias("x")), p.select("domain", F.col("provider").alias("provider_b"), F.col("n").alias("y"))
@@ -474,7 +474,7 @@ select chunk_id, cast(before as bigint) as used_before, cast(greatest(0, least(n
 )
 def char_budget(spark: SparkSession, d: str) -> DataFrame:
     """Characters each chunk gets of its document's budget, in order."""
-    t = table(spark, d, "chunks").where("content is not null").select("chunk_id", "document_url", "index", F.char_length("content").cast("bigint").alias("n")).dropDuplicates(["chunk_id"])
+    t = table(spark, d, "chunks").where("content is not null").select("chunk_id", "document_url", "index", F.char_length("content").cast("bigint").alias("n")).distinct()
     return rows.within_budget(t, ["document_url"], ["index", "chunk_id"], "n", 6000).select("chunk_id", "used_before", F.col("taken").cast("bigint").alias("taken"), "budget_left")
 
 
@@ -636,7 +636,7 @@ select document_url, cast(sum(coalesce(token_count, length(content) // 4)) as bi
 )
 def token_sums(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every document, counted where they were recorded and estimated elsewhere."""
-    t = table(spark, d, "chunks").select("chunk_id", "document_url", "token_count", fx.token_floor(F.col("content")).alias("guess")).dropDuplicates(["chunk_id"])
+    t = table(spark, d, "chunks").select("chunk_id", "document_url", "token_count", fx.token_floor(F.col("content")).alias("guess")).distinct()
     return t.groupBy("document_url").agg(F.sum(F.coalesce(F.col("token_count").cast("bigint"), F.col("guess"))).alias("tokens"), F.count_if(F.coalesce("token_count", F.lit(0)) > 0).alias("n_counted"), F.bool_and(F.col("token_count").isNotNull()).alias("all_counted"))
 
 
