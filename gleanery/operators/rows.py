@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,30 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column, name: str = "r
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str, name: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: str, value: str, name: str, coarse: Callable[[Column], Column] | None = None) -> DataFrame:
     """For every left row the value of the last right row of its key at or before it; null where there is none.
 
-    Both sides meet in one sorted pass per key: a union and a running last value, so no
-    pairs are made and the shuffle is by key only. Right rows at the same place come first;
-    of right rows at one place the greatest value counts.
+    Both sides meet in one sorted pass: a union and a running last value, so no pairs are
+    made and the shuffle is by key only. Right rows at the same place come first; of right
+    rows at one place the greatest value counts. With ``coarse``, which maps a place to a
+    stretch in order (a day, a range of pages), a key is divided into its stretches, and
+    what stands at the end of the stretches before is carried in: a key of a third of all
+    rows is then as many tasks as it has stretches.
     """
     extra = [c for c in left.columns if c not in keys and c != at]
     l = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in extra]).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))  # noqa: E741
     r = right.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    run = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r).withColumn(name, F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
-    return both.select(*keys, F.col("_at").alias(at), *[F.col(f"_row.{c}").alias(c) for c in extra], name)
+    both, parts = l.unionByName(r), list(keys)
+    if coarse:
+        both, parts = both.withColumn("_part", coarse(F.col("_at"))), [*keys, "_part"]
+    run = Window.partitionBy(*parts).orderBy("_at", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    own = both.withColumn(name, F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
+    if coarse:
+        ends = both.groupBy(*parts).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_v"))).alias("_end"))
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*parts, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        own = own.join(carried, parts, "left").withColumn(name, F.coalesce(name, "_carried"))
+    return own.select(*keys, F.col("_at").alias(at), *[F.col(f"_row.{c}").alias(c) for c in extra], name)
 
 
 def nearest_above(df: DataFrame, keys: list[str], order: str, level: str, name: str, depth: int = 8) -> DataFrame:
@@ -88,6 +101,23 @@ def prefix_closure(df: DataFrame, keys: list[str], path: str, node: str) -> Data
     return own.join(nodes.withColumnRenamed("_node", "ancestor"), [*keys, "_path"]).select(*keys, "ancestor", "descendant").distinct()
 
 
+def running_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, coarse: Column) -> DataFrame:
+    """Sum of the values before each row of its key, null for the first.
+
+    A key is divided into stretches (``coarse``, in the order of the rows): sums run within
+    a stretch, and the sum of the stretches before is carried in, one row per stretch, so
+    a hot key is as many tasks as it has stretches.
+    """
+    rows = df.withColumn("_part", coarse)
+    parts = [*keys, "_part"]
+    own = F.sum(value).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = rows.groupBy(*parts).agg(F.sum(value).alias("_sum")).select(*parts, before.alias("_before"))
+    both = rows.withColumn("_own", own).join(carried, parts)
+    total = F.when(F.col("_own").isNull() & F.col("_before").isNull(), None).otherwise(F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    return both.withColumn(name, total).drop("_part", "_own", "_before")
+
+
 def within_budget(df: DataFrame, keys: list[str], order: list, size: str, budget: int) -> DataFrame:
     """Each row's share of a budget spent in order: (used before, taken, left)."""
     before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -187,7 +187,7 @@ def asof_section(spark: SparkSession, d: str) -> DataFrame:
     """Section of every block: that of the last section start at or before its page."""
     s = rows.once(table(spark, d, "chunks").where("page is not null"), "chunk_id", "document_url", "page", "section_id").groupBy("document_url", "page").agg(F.max("section_id").alias("sid"))
     b = rows.once(table(spark, d, "content_blocks").where("page is not null"), "block_id", "document_url", "page")
-    return rows.as_of(b, s, ["document_url"], "page", "page", "sid", "section_id").select("block_id", "section_id")
+    return rows.as_of(b, s, ["document_url"], "page", "page", "sid", "section_id", lambda p: F.floor(p / 64)).select("block_id", "section_id")
 
 
 @query(
@@ -202,7 +202,8 @@ def asof_signup(spark: SparkSession, d: str) -> DataFrame:
     """For every purchase the user's last signup at or before it."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
     s = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup"))
-    return rows.as_of(e.where("event_type = 'purchase'").drop("event_type"), s, ["user_id"], "ts", "ts", "signup", "signup_id").select("event_id", "signup_id")
+    purchases = e.where("event_type = 'purchase'").drop("event_type")
+    return rows.as_of(purchases, s, ["user_id"], "ts", "ts", "signup", "signup_id", lambda t: F.date_trunc("week", t)).select("event_id", "signup_id")
 
 
 @query(

@@ -461,8 +461,8 @@ select event_id, round(sum(value) over (partition by user_id order by ts, event_
 )
 def running_sum(spark: SparkSession, d: str) -> DataFrame:
     """What every user had spent before each event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("before"))
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    return rows.running_before(e, ["user_id"], ["ts", "event_id"], "value", "before", F.date_trunc("week", F.col("ts"))).select("event_id", F.round("before", 4).alias("before"))
 
 
 @query(

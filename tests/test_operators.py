@@ -23,9 +23,10 @@ def test_as_of_equals_brute_force(spark):
     rng = random.Random(4)
     left = [(i, rng.choice("ab"), rng.randint(0, 20)) for i in range(60)]
     right = [(rng.choice("ab"), rng.randint(0, 20), f"v{k:02}") for k in range(25)]
-    got = rows.as_of(spark.createDataFrame(left, "id int, k string, at int"), spark.createDataFrame(right, "k string, since int, v string"), ["k"], "at", "since", "v", "found")
+    sides = spark.createDataFrame(left, "id int, k string, at int"), spark.createDataFrame(right, "k string, since int, v string")
     want = [(i, max(((s, v) for kk, s, v in right if kk == k and s <= at), default=(0, None))[1]) for i, k, at in left]
-    assert out(got.select("id", "found"), "id") == want
+    for coarse in (None, lambda p: F.floor(p / 4), lambda p: p):
+        assert out(rows.as_of(*sides, ["k"], "at", "since", "v", "found", coarse).select("id", "found"), "id") == want
 
 
 def test_nearest_above(spark):
@@ -154,3 +155,12 @@ def test_validation(spark):
     assert got[2].bad == ["rows.v: row sum diverges"] and got[2].kinds == ["sum"]
     assert got[3].name.first == "A" and got[3].money is None
     assert len(got[4].bad) == len(got[5].bad) == 3 and got[4].kinds == ["range", "sum", "unknown"]
+
+
+def test_running_before_equals_brute_force(spark):
+    rng = random.Random(3)
+    data = [(i, rng.choice("ab"), rng.randint(0, 30), rng.choice([1, 2, 5, None])) for i in range(80)]
+    got = rows.running_before(spark.createDataFrame(data, "id int, k string, t int, v int"), ["k"], ["t", "id"], "v", "before", F.floor(F.col("t") / 7))
+    for r in got.collect():
+        earlier = [v for i, k, t, v in data if k == r.k and (t, i) < (r.t, r.id) and v is not None]
+        assert r.before == (sum(earlier) if earlier else None)
