@@ -128,7 +128,8 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
 
         def regions(w, n):
             """Keys of the pivots the record is replicated to; True where a record may meet larger ones there."""
-            p = n - math.ceil(t * n) + 1  # towards any record
+            need = math.ceil(t * n)  # words shared with any partner
+            p = n - need + 1  # towards any record
             q = n - math.ceil(2 * t / (1 + t) * n) + 1  # towards one at least as large
             keys = {}
 
@@ -139,9 +140,10 @@ def _entries(size: int, least: int, t: Fraction, words: int, stats, cap: int):
                     k = x if depth == 0 else (key * 0x9E3779B97F4A7C15 + x) & 0x7FFFFFFFFFFFFFFF
                     smaller = own and a < q + depth
                     share = shares[x - _FREQUENT] if x >= _FREQUENT else 0.0
-                    if size * share > cap and depth < 5 and a + 1 < min(n, p + depth + 1):
+                    longer = size * share > cap and depth < 5 and a + 1 < n
+                    if longer:
                         extend(a + 1, k, size * share, depth + 1, smaller)
-                    else:
+                    if not longer or need <= depth + 1:  # the shared words may end here: a partner can't follow a longer key
                         keys[k] = smaller or keys.get(k, False)
 
             if w[p - 1] < first_wide:

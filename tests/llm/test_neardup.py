@@ -85,3 +85,18 @@ def test_groups_count_links(spark):
     got = {r.id: (r.group, r.links) for r in neardup.groups(*neardup.similar(df, "id", "text", 0.85, 1)).collect()}
     assert got[1][0] == got[2][0] == got[3][0] != got[4][0] == got[5][0]
     assert [got[i][1] for i in (1, 2, 3, 4, 5)] == [1, 2, 1, 0, 0]
+
+
+def test_hot_short_texts_keep_their_links(spark):
+    b = "b1 b2 b3 b4 b5 b6 b7 b8 b9"  # five runs of five words
+    a = b.rsplit(" ", 1)[0]  # the first four of them
+    rows = [(i, b) for i in range(40)] + [(100, a)] + [(200 + i, f"c{i} b5 b6 b7 b8 b9") for i in range(3)] + [(300 + i, f"d{i} e{i} f{i} g{i} h{i}") for i in range(60)]
+    for cap in (1, 2, 16384):
+        assert found(spark, rows, threshold=0.8, shingle=5, least=1, cap=cap) == brute(rows, 0.8, 5, 1)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.7, 0.8])
+def test_short_sets_of_hot_words_equal_all_pairs(spark, t):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample("abcdefghi", rng.randint(1, 8)))) for i in range(150)]
+    assert found(spark, rows, threshold=t, shingle=1, least=1, cap=0) == brute(rows, t, 1, 1)
