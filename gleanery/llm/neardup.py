@@ -34,9 +34,9 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def shingles(text: str, size: int) -> set[str]:
-    """The different words of a text, or its runs of ``size`` words."""
+    """The different words of a text, or its runs of ``size`` words; a text of fewer words is one run of all of them."""
     w = _WORD.findall(text.lower())
-    return set(w) if size == 1 else {" ".join(w[a : a + size]) for a in range(len(w) - size + 1)}
+    return set(w) if size == 1 else {" ".join(w[a : a + size]) for a in range(max(1, len(w) - size + 1))} - {""}
 
 
 #: Numbers from here on are those of frequent words, in the order of their frequency.
@@ -61,7 +61,8 @@ class _Hash(dict):
 
 
 class _Sets:
-    """The set of a text as numbers: of its words, or of its runs of words, each run's number made of those of its words."""
+    """The set of a text as numbers: of its words, or of its runs of words, each run's number made of those of its words.
+    A text of fewer words than a run has one run, of all of them."""
 
     def __init__(self, size: int, ranks: dict[int, int] | None = None):
         self.size, self.ranks = size, ranks or {}
@@ -71,12 +72,13 @@ class _Sets:
         h, w = self.words, _WORD.findall(text.lower())
         if self.size == 1:
             return [h[x] for x in set(w)]
-        n = len(w) - self.size + 1
-        if n < 1:
+        if not w:
             return []
+        size = min(self.size, len(w))
+        n = len(w) - size + 1
         a = np.array([h[x] for x in w], np.uint64)
         runs = a[:n].copy()
-        for k in range(1, self.size):
+        for k in range(1, size):
             runs *= np.uint64(0x9E3779B97F4A7C15)
             runs ^= runs >> np.uint64(29)
             runs += a[k : k + n]
@@ -349,7 +351,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     """Classes of equal word sets, and the pairs of classes whose Jaccard similarity reaches the threshold. Exact.
 
     Sets are of the different words of the lower-cased text (maximal runs of letters and
-    digits), or of runs of ``shingle`` words. Records with fewer than ``least`` of them, a
+    digits), or of runs of ``shingle`` words, a text of fewer words being one run. Records with fewer than ``least`` of them, a
     null key or a null or wordless text are in no class. Copies of a row, and other records with the
     same set, are members of one class, however many; pairs stand between classes.
     Words are told apart by 61-bit hashes, classes by 63-bit ones.

@@ -236,7 +236,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups of records whose five-word runs are 0.8 alike or more, one row per record with its number of links; records of fewer than five words have no group."""
+    """Groups of records whose five-word runs are 0.8 alike or more, one row per record with its number of links; a text of one to four words is one run, one without words has no group."""
     from gleanery.llm.neardup import groups
 
     parts = []

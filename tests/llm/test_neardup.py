@@ -100,3 +100,12 @@ def test_short_sets_of_hot_words_equal_all_pairs(spark, t):
     rng = random.Random(4)
     rows = [(i, " ".join(rng.sample("abcdefghi", rng.randint(1, 8)))) for i in range(150)]
     assert found(spark, rows, threshold=t, shingle=1, least=1, cap=0) == brute(rows, t, 1, 1)
+
+
+def test_texts_shorter_than_a_run_are_one_run(spark):
+    rows = [(1, "Company profile"), (2, "company PROFILE."), (3, "Home"), (4, "home"), (5, "Company profile home"), (6, "profile company"), (7, "..."), (8, "a b c d e"), (9, "A b c d e"), (10, "a b c d"), (11, "a b c d")]
+    assert neardup.shingles("Company profile", 5) == {"company profile"} and neardup.shingles("...", 5) == set()
+    assert found(spark, rows, threshold=0.8, shingle=5) == brute(rows, 0.8, 5, 1) == {(1, 2), (3, 4), (8, 9), (10, 11)}
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    got = {r.id: r.group for r in neardup.groups(*neardup.similar(df, "id", "text", 0.8, 5)).collect()}
+    assert set(got) == {i for i, _ in rows} - {7} and got[1] == got[2] != got[5]
