@@ -37,6 +37,7 @@ _STREETS = (
     ("de", re.compile(rf"(?<!\w)[{_UP}][\w’'\-]*(?:stra(?:ss|ß)e|str\.|straat|weg|gasse|platz|allee|gatan|gate|vej|laan|gracht|plein) \d{{1,5}}(?: ?[a-z](?!\w))?")),
     ("es", re.compile(rf"(?<!\w)(?:Calle|Avenida|Avda\.|Plaza|Paseo|Via|Viale|Corso|Piazza|Rua|Ulica|ul\.) (?:(?:de la|de los|del|de|da|do) )?{_NAME},? \d{{1,5}}(?: ?[a-z](?!\w))?")),
 )
+_RUN = re.compile(rf"(?<!\w)[{_UP}][\w’'\-]*+")
 _FORM = re.compile(r"\d+|[A-Za-z]+|[^\w]")
 
 
@@ -100,6 +101,15 @@ def _name_segments(text: str, out: dict) -> None:
                     out[caps[lo][0], end, "person_name"] = None
 
 
+def _streets(text: str):
+    """Matches of the street forms. Names with the kind in them are tried once per run of word characters, at its first capital, so time stays linear however long a run is."""
+    for form, pattern in _STREETS:
+        if form == "de":
+            yield from filter(None, (pattern.match(text, r.start()) for r in _RUN.finditer(text)))
+        else:
+            yield from pattern.finditer(text)
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Segments that may be a detail, with a type: several boundaries and types for each place, bounded in length."""
     out: dict[tuple[int, int, str], None] = {}
@@ -115,15 +125,14 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             for p in parts[1:]:
                 out[m.start(), m.start() + p.start(), "email"] = None
     _number_segments(text, out)
-    for _, pattern in _STREETS:
-        for m in pattern.finditer(text):
-            out[m.start(), m.end(), "street_address"] = None
-            u = re.match(_UNIT, m.group())
-            if u and len(u.group()) < len(m.group()):
-                out[m.start() + u.end(), m.end(), "street_address"] = None
-            tail = re.search(r" [a-z]$|\.$", m.group())
-            if tail:
-                out[m.start(), m.start() + tail.start(), "street_address"] = None
+    for m in _streets(text):
+        out[m.start(), m.end(), "street_address"] = None
+        u = re.match(_UNIT, m.group())
+        if u and len(u.group()) < len(m.group()):
+            out[m.start() + u.end(), m.end(), "street_address"] = None
+        tail = re.search(r" [a-z]$|\.$", m.group())
+        if tail:
+            out[m.start(), m.start() + tail.start(), "street_address"] = None
     _name_segments(text, out)
     return sorted(out)
 
@@ -340,7 +349,7 @@ def fit(seed: int = 5, texts: int = 3600, epochs: int = 5) -> dict[str, float]:
 
 
 def windows(text: str, size: int = 20_000) -> list[tuple[int, str]]:
-    """A long text in stretches cut at line or sentence ends, so no detail is parted; short texts as they are."""
+    """A long text in stretches cut at line or sentence ends where there are any; short texts as they are. A cut may part a detail, so ``find`` doesn't use it."""
     if len(text) <= size:
         return [(0, text)]
     out, start = [], 0
@@ -356,7 +365,8 @@ def windows(text: str, size: int = 20_000) -> list[tuple[int, str]]:
 
 
 def find(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    return [(o + a, o + b, kind) for o, part in windows(text) for a, b, kind in decode(part, weights)]
+    """The details of a text of any length: candidates and their lattice are those of the whole text, so none is parted."""
+    return decode(text, weights)
 
 
 def redact(text: str, weights: dict[str, float]) -> str:
@@ -373,7 +383,7 @@ def find_details(df: DataFrame, key: str, text: str) -> DataFrame:
 
     The model is fitted once on the driver from generated labelled texts and sent to the
     tasks (a few thousand weights). Null and empty texts have no rows, copies of a row give
-    copies; texts of any length are read whole, in stretches. Rows with a null key are kept.
+    copies; texts of any length are read whole. Rows with a null key are kept.
     """
     weights = df.sparkSession.sparkContext.broadcast(fit())
 

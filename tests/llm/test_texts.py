@@ -279,3 +279,15 @@ def test_stretches_hold_the_text():
     text = "word. " * 20_000
     assert "".join(p for _, p in pii.windows(text)) == text
     assert re.fullmatch("x+", "".join(p for _, p in pii.windows("x" * 50_000)))
+
+
+def test_details_of_long_texts_are_not_parted():
+    w = pii.fit()
+    detail = " Signed: Dr. J. Molström of 17 Mill Street, then mail anna.mol@north.example or call +49 (0)30 23125 260 for more"
+    want = [(kind, detail[a:b]) for a, b, kind in pii.find(detail, w)]
+    assert len(want) == 4 and want[0][1].endswith("J. Molström")
+    for k in range(0, len(detail), 3):  # every place of the text falls on the 20,000th character once
+        text = ("nothing to see " * 2000)[: 20_000 - k] + detail + " nothing to see" * 2000
+        assert [(kind, text[a:b]) for a, b, kind in pii.find(text, w)] == want
+    broken = ("nothing" * 4000)[: 20_000 - 95] + detail + " nothing" * 2000
+    assert [(kind, broken[a:b]) for a, b, kind in pii.find(broken, w)] == want
