@@ -100,6 +100,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 # --- 10: text statistics
 
 
+def _common(spark: SparkSession, d: str) -> set[str]:
+    """The function words: a fixed table of a few hundred rows."""
+    return {r.word.lower() for r in table(spark, d, "common_words").select("word").where("word is not null").collect()}
+
+
 def _statistics(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.llm.quality import text_statistics
 
@@ -123,22 +128,10 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 # --- 7: template residue and error pages
 
 
-def _common(spark: SparkSession, d: str) -> set[str]:
-    """The function words: a fixed table of a few hundred rows."""
-    return {w for ws in _by_language(spark, d).values() for w in ws}
-
-
-def _by_language(spark: SparkSession, d: str) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {}
-    for r in table(spark, d, "common_words").select("lang", "word").where("word is not null").collect():
-        out.setdefault(r.lang or "", set()).add(r.word.lower())
-    return out
-
-
 def _excluded(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.llm.residue import residue
 
-    return residue(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body", _by_language(spark, d))
+    return residue(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body")
 
 
 @query()

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.sources.tables import checkpoint
@@ -42,8 +43,11 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _FIELD = re.compile(PLACEHOLDER)
 _IN_TAG = re.compile(r"<[^<>\x02]*\x02[^<>]*>")
 _ABOUT = re.compile(r"[^.!?\n]*" + MENTION + r"[^.!?\n]*", re.I)
-_MESSAGE, _NOTICE, _FILL = re.compile(MESSAGE), re.compile(NOTICE), re.compile(FILLER)
+_FILL = re.compile(FILLER, re.I)
 _WORDS = re.compile(r"[^\W_]+")
+_STOP = re.compile(r"[.!?…。！？؟।։][\"')\]»”’」]*$")
+#: Letters of scripts written without spaces: two of them count as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
 _MASKS = (
     (re.compile(r"\S+@\S+\.\w+|\w+://\S+|\bwww\.\S+"), "@"),
     (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b"), "#"),
@@ -68,81 +72,184 @@ def unfilled(text: str) -> bool:
     return "\x02" in _IN_TAG.sub(" ", _ABOUT.sub(" ", _FIELD.sub("\x02", text)))
 
 
-def sentence(line: str, common: list[frozenset]) -> int:
-    """Words of a line that may belong to an article, else 0."""
+def units(line: str) -> int:
+    """Words of a line parted by spaces; in scripts without spaces two letters are a word."""
     n = len(line.split())
-    if n < 8:
-        return 0
-    low = line.lower()
-    if _FILL.search(low) or (n <= 40 and (_MESSAGE.search(low) or _NOTICE.search(low))):
+    return n if line.isascii() or len(line) < 2 * n + 8 else max(n, len(_UNSPACED.findall(line)) // 2)
+
+
+def sentence(line: str) -> int:
+    """Words of a line that may be a sentence in whatever language, else 0: eight words with a sentence mark at the end, or eighteen, at least two fifths of them different."""
+    n = units(line)
+    if n < 8 or (n < 18 and not _STOP.search(line)):
         return 0
-    words = set(_WORDS.findall(low))
-    return n if any(len(words & c) >= min(n * 0.12, 8) for c in common) else 0
+    words = line.split()
+    return n if len(words) < 8 or len(set(words)) >= 0.4 * len(words) else 0
 
 
-def summary(body: str | None, common: list[frozenset], least: int) -> tuple[bool, bool, int, list[tuple[str, int]], list[str]]:
-    """(blank, template, words of long sentences, all sentences if these don't suffice, short sentences masked)."""
-    if body is None or not body.strip():
-        return True, False, 0, [], []
-    body = _BLOCK.sub(" ", body)
-    template = unfilled(body)
-    own, short, sure = [], [], 0
+def sentences(body: str) -> list[tuple[str, int]]:
+    """The lines of a page that may be sentences, as they show, with their words."""
+    out = []
     for line in body.split("\n"):
-        if len(line) < 16:
-            continue
         line = html.unescape(_TAG.sub(" ", line)).strip()
-        n = sentence(line, common)
-        if n > 25:
-            sure += n
-            own.append(("", n))
-        elif n:
-            short.append(masked(line))
-            own.append((short[-1], n))
-    return False, template, sure, [] if template or sure >= least else own, short
+        if n := sentence(line):
+            out.append((line, n))
+    return out
 
 
-_SUMMARY = "k bigint, host string, blank boolean, template boolean, sure bigint, own array<struct<m:string,n:int>>, short array<string>"
+def _host(url: str) -> Column:
+    return F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
 
 
-def residue(df: DataFrame, key: str, url: str, body: str, common: dict[str, set[str]], least_words: int = 25, sources: int = 5) -> DataFrame:
-    """Records to exclude, one row per key with the reason: ``blank``, ``template`` or ``no_article``.
+def filler_words(df: DataFrame, url: str, body: str, sources: int = 3, share: float = 0.005) -> frozenset[int]:
+    """Hashes of the words that filler is made of, learnt from lines with a filler phrase.
 
-    A page has an article if its sentences come to ``least_words`` words: lines of eight
-    words or more with an eighth of function words of one language (``common``: language
-    to words, a list of bounded size; eight different ones suffice), that are no message, notice
-    or filler by the phrase rules and, where they have at most 25 words, don't recur in
-    masked form at ``sources`` hosts or more. Sentences of 2.4 times as many words are an
-    article even if they recur, as in copied articles. Most pages are decided row by row;
-    their few figures are kept at the shared checkpoint, and only the short lines of undecided pages are grouped by hash over all pages, each
-    (hash, host) counted once before the shuffle.
+    A word counts if it stands in lines with a filler phrase at ``sources`` hosts or more and
+    in at least ``share`` of such lines, four times as often as in the other lines of the
+    same pages, so words of articles that mention filler drop out. The JVM finds the pages
+    with such a phrase; their words are counted per task before they are shuffled. At most
+    (mean words of such a line) / share come to the driver.
+    """
 
-    Null, empty and blank bodies are ``blank``. Copies of a row count once. A null url is a
-    host of its own. Rows with a null key are left out. Columns out: key, reason.
+    def count(batches):
+        import pyarrow as pa
+        import xxhash
+
+        def out(counts):
+            keys = list(counts)
+            cols = [[k[0] for k in keys], [k[1] for k in keys], [counts[k][0] for k in keys], [counts[k][1] for k in keys]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["h", "host", "f", "o"])
+
+        counts: dict[tuple[int, str], list[int]] = {}
+        for b in batches:
+            for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for line, _ in sentences(_BLOCK.sub(" ", text)):
+                    mine = 0 if _FILL.search(line) else 1
+                    for h in [0, *(xxhash.xxh64_intdigest(w) >> 1 for w in set(_WORDS.findall(line.lower())))]:
+                        counts.setdefault((h, host), [0, 0])[mine] += 1
+            if len(counts) > 500_000:
+                yield out(counts)
+                counts = {}
+        yield out(counts)
+
+    pages = df.where(F.col(body).rlike("(?i)" + FILLER)).select(_host(url).alias("host"), F.col(body).alias("body")).distinct()
+    seen = pages.mapInArrow(count, "h bigint, host string, f bigint, o bigint").groupBy("h", "host").agg(F.sum("f").alias("f"), F.sum("o").alias("o"))
+    words = checkpoint(seen.groupBy("h").agg(F.count_if(F.col("f") > 0).alias("hosts"), F.sum("f").alias("f"), F.sum("o").alias("o")).where(F.col("hosts") >= sources))
+    lines = words.where("h = 0").first()
+    if lines is None:
+        return frozenset()
+    own = (F.col("h") != 0) & (F.col("f") >= share * lines.f) & (F.col("f") * max(lines.o, 1) >= 4 * F.col("o") * lines.f)
+    return frozenset(r.h for r in words.where(own).select("h").collect())
+
+
+def _flagged(lines: list[str]) -> list[bool]:
+    """Which lines hold a phrase of a message or of page furniture."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.match_substring_regex(pa.array([x.lower() for x in lines], pa.string()), f"{MESSAGE}|{NOTICE}").to_pylist() if lines else []
+
+
+class _Filler:
+    """Whether a line is filler: it holds a filler phrase, or three fifths of its words are filler words."""
+
+    def __init__(self, words: frozenset[int]):
+        self.words, self.known = words, {}
+
+    def __call__(self, line: str) -> bool:
+        if _FILL.search(line):
+            return True
+        if not self.words:
+            return False
+        import xxhash
+
+        if len(self.known) > 200_000:
+            self.known.clear()
+        known, hit, own = self.known, 0, set(_WORDS.findall(line.lower()))
+        for w in own:
+            k = known.get(w)
+            if k is None:
+                k = known[w] = xxhash.xxh64_intdigest(w) >> 1 in self.words
+            hit += k
+        return hit >= 0.6 * max(1, len(own))
+
+
+def summaries(bodies: list[str | None], filler: _Filler) -> list[tuple[bool, bool, int, list[tuple[str, int]]]]:
+    """For each page (blank, template, words of sentences that are certainly no residue, masked lines with a phrase and their words)."""
+    out, pages, lines = [], [], []
+    for k, body in enumerate(bodies):
+        if body is None or not body.strip():
+            out.append((True, False, 0, []))
+            continue
+        body = _BLOCK.sub(" ", body)
+        out.append((False, unfilled(body), 0, []))
+        own = [s for s in sentences(body) if not filler(s[0])]
+        pages += [k] * len(own)
+        lines += own
+    sure = [0] * len(bodies)
+    for k, (line, n), flagged in zip(pages, lines, _flagged([x for x, _ in lines])):
+        if flagged:
+            out[k][3].append((masked(line), n))
+        else:
+            sure[k] += n
+    return [(blank, template, n, own) for (blank, template, _, own), n in zip(out, sure)]
+
+
+def read_pages(df: DataFrame, key: str, url: str, body: str, also: Callable[[str], list[int]] | None = None) -> DataFrame:
+    """What ``residue`` needs of every page, without its text: (k, host, blank, template, sure, own, also).
+
+    ``also``: a function of the text whose numbers are kept beside, so that another step
+    reads the pages in the same pass. Written to the shared checkpoint.
     """
-    lists = [frozenset(ws) for _, ws in sorted(common.items()) if ws]
+    filler = df.sparkSession.sparkContext.broadcast(filler_words(df, url, body))
 
-    def summaries(batches):
+    def run(batches):
         import pyarrow as pa
 
-        own = pa.list_(pa.struct([("m", pa.string()), ("n", pa.int32())]))
+        is_filler = _Filler(filler.value)
+        own_type = pa.list_(pa.struct([("m", pa.string()), ("n", pa.int32())]))
         for b in batches:
-            found = [summary(t, lists, least_words) for t in b.column(2).to_pylist()]
-            blank, template, sure, sentences, short = zip(*found) if found else ((),) * 5
-            sentences = [[{"m": m, "n": n} for m, n in x] for x in sentences]
-            arrays = [pa.array(blank, pa.bool_()), pa.array(template, pa.bool_()), pa.array(sure, pa.int64()), pa.array(sentences, own), pa.array(short, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=[x.split()[0] for x in "k host blank template sure own short".split()])
-
-    rows = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit("")).alias("host"), F.col(body).cast("string").alias("body")).where("k is not null")
-    rows = rows.mapInArrow(summaries, _SUMMARY)
-    hashed = lambda m: F.when(m != "", F.xxhash64(m))
-    rows = checkpoint(rows.select("k", "host", "blank", "template", "sure", F.transform("own", lambda s: F.struct(hashed(s["m"]).alias("h"), s["n"].alias("n"))).alias("own"), F.transform("short", lambda m: F.xxhash64(m)).alias("short")))
-    decided = F.col("blank") | F.col("template") | (F.col("sure") >= least_words)
-    done = rows.where(decided & (F.col("blank") | F.col("template"))).select("k", F.when(F.col("blank"), "blank").otherwise("template").alias("reason"))
-
-    open_pages = rows.where(~decided).dropDuplicates(["k"]).select("k", F.explode_outer("own").alias("s")).select("k", F.col("s.n").alias("n"), F.col("s.h").alias("h"))
-    hashes = open_pages.where("h is not null").select("h").distinct()
-    seen = rows.select("host", F.explode("short").alias("h"))
-    often = seen.join(hashes, "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= sources).select("h", F.lit(True).alias("often"))
-    words_left = open_pages.join(often, "h", "left").groupBy("k").agg(F.sum(F.when(F.col("often"), 0).otherwise(F.coalesce("n", F.lit(0)))).alias("own"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    poor = words_left.where((F.col("own") < least_words) & (F.col("n") < 2.4 * least_words)).select("k", F.lit("no_article").alias("reason"))
+            texts = b.column(2).to_pylist()
+            found = summaries(texts, is_filler)
+            blank, template, sure, own = zip(*found) if found else ((),) * 4
+            own = [[{"m": m, "n": n} for m, n in x] for x in own]
+            more = [also(t) if also and t is not None else [] for t in texts]
+            arrays = [pa.array(blank, pa.bool_()), pa.array(template, pa.bool_()), pa.array(sure, pa.int64()), pa.array(own, own_type), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["k", "host", "blank", "template", "sure", "own", "also"])
+
+    rows = df.select(F.col(key).cast("bigint").alias("k"), _host(url).alias("host"), F.col(body).cast("string").alias("body")).where("k is not null")
+    rows = rows.mapInArrow(run, "k bigint, host string, blank boolean, template boolean, sure bigint, own array<struct<m:string,n:int>>, also array<bigint>")
+    return checkpoint(rows.withColumn("own", F.transform("own", lambda s: F.struct(F.xxhash64(s["m"]).alias("h"), s["n"].alias("n")))))
+
+
+def residue_of(pages: DataFrame, key: str, least_words: int = 8, sources: int = 5) -> DataFrame:
+    """The records to exclude among pages read by ``read_pages``: (key, reason)."""
+    done = pages.where(F.col("blank") | F.col("template")).select("k", F.when(F.col("blank"), "blank").otherwise("template").alias("reason"))
+    # decided pages need no look at the hashes, but their lines count towards a message's hosts
+    open_pages = pages.where(~F.col("blank") & ~F.col("template") & (F.col("sure") < least_words)).dropDuplicates(["k"])
+    lines = open_pages.select("k", "sure", F.explode_outer("own").alias("s")).select("k", "sure", F.col("s.n").alias("n"), F.col("s.h").alias("h"))
+    seen = pages.select("host", F.explode(F.transform("own", lambda s: s["h"])).alias("h"))
+    often = seen.join(lines.where("h is not null").select("h").distinct(), "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= sources).select("h", F.lit(True).alias("often"))
+    left = lines.join(often, "h", "left").groupBy("k").agg(F.max("sure").alias("sure"), F.sum(F.when(F.col("often"), 0).otherwise(F.coalesce("n", F.lit(0)))).alias("own"))
+    poor = left.where(F.col("sure") + F.col("own") < least_words).select("k", F.lit("no_article").alias("reason"))
     return done.unionByName(poor).groupBy("k").agg(F.min("reason").alias("reason")).withColumnRenamed("k", key)
+
+
+def residue(df: DataFrame, key: str, url: str, body: str, least_words: int = 8, sources: int = 5) -> DataFrame:
+    """Records to exclude, one row per key with the reason: ``blank``, ``template`` or ``no_article``.
+
+    A page has an article if its sentences come to ``least_words`` words. Sentences are told
+    by form alone, in any language: lines of eight words with a sentence mark or of
+    eighteen words, not of the same words over and over; in scripts without spaces two
+    letters count as a word. A sentence is residue if its masked form recurs at ``sources``
+    hosts or more and it holds a phrase of a message or notice; neither is enough alone, so
+    articles about such things and copied articles stay. Filler is told by its phrases and
+    by the words learnt from lines with them (``filler_words``).
+
+    Lines with a phrase are masked and hashed where they are read, each (hash, host) counted
+    once before the shuffle; a page's few figures are kept at the shared checkpoint.
+
+    Null, empty and blank bodies are ``blank``. Copies of a row count once. A null url is a
+    host of its own. Rows with a null key are left out. Columns out: key, reason.
+    """
+    return residue_of(read_pages(df, key, url, body), key, least_words, sources)
