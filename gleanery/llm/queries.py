@@ -173,14 +173,25 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 # --- 5: main content of pages
 
 
+def _labeller(spark: SparkSession, d: str):
+    """The line model, and what recurs on the pages of both tables."""
+    from gleanery.llm.boilerplate import labeller
+
+    pages = spread(table(spark, d, "cached_fetches").select(F.col("body").alias("text"))).unionByName(spread(table(spark, d, "cached_assessments").select(F.col("full_text").alias("text"))))
+    return labeller(spark, pages, "text")
+
+
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that show text but are no main content; excluded fetches are left out."""
-    from gleanery.llm.boilerplate import label_lines
-
-    fetches = label_lines(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body")
-    fetches = fetches.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").select(F.lit("body").alias("field_name"), F.col("fetch_id").alias("record_id"), "line_no")
-    texts = label_lines(spread(table(spark, d, "cached_assessments").select("assessment_id", "full_text")), "assessment_id", "full_text")
+    """Lines that show text but are no main content; excluded fetches are left out. Fetches are labelled and summarised for that in one pass."""
+    from gleanery.llm.boilerplate import boilerplate_lines, label_lines
+    from gleanery.llm.residue import read_pages, residue_of
+
+    known = _labeller(spark, d)
+    pages = read_pages(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body", lambda text: boilerplate_lines(text, *known.value))
+    fetches = pages.select(F.col("k").alias("fetch_id"), F.explode("also").alias("line_no")).join(residue_of(pages, "fetch_id").select("fetch_id"), "fetch_id", "left_anti")
+    fetches = fetches.select(F.lit("body").alias("field_name"), F.col("fetch_id").alias("record_id"), "line_no")
+    texts = label_lines(spread(table(spark, d, "cached_assessments").select("assessment_id", "full_text")), "assessment_id", "full_text", known)
     texts = texts.select(F.lit("full_text").alias("field_name"), F.col("assessment_id").alias("record_id"), "line_no")
     return fetches.unionByName(texts).dropDuplicates(["field_name", "record_id", "line_no"])
 
@@ -190,7 +201,7 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Each fetched page with its main body only."""
     from gleanery.llm.boilerplate import main_bodies
 
-    pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body")
+    pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body", _labeller(spark, d))
     return pages.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").dropDuplicates(["fetch_id"])
 
 

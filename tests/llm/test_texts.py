@@ -193,26 +193,54 @@ def test_cut_equals_all_labellings():
 
 
 def test_held_out_pages():
-    w = boilerplate.fit()
-    right = total = 0
-    for lines, y in boilerplate._pages(random.Random(123)):
-        p = boilerplate.features(lines) @ w > 0
-        right, total = right + sum(a == (b == 1) for a, b in zip(p, y)), total + len(y)
-    assert right / total > 0.97
+    model = boilerplate.fit()
+    rows, seen = boilerplate.generated(123, 1200)
+    plain = edged = total = 0
+    for lines, y in rows:
+        cost = model.costs(lines, seen)
+        plain += sum((c > 0) == (v == 1) for c, v in zip(cost, y))
+        edged += sum(c == (v == 1) for c, v in zip(boilerplate.cut(cost, model.edges(lines)), y))
+        total += len(y)
+    assert plain / total > 0.97 and edged / total > 0.97
 
 
 def test_visible_lines():
     page = "<html>\n<script>var a = '<p>x</p>';\nmore</script>\n<nav>Home</nav>\n<p style=\"display:none\">no</p>\n<p>Fish &amp; chips</p>\n<!-- a\nb -->\n\nplain < 3\n&nbsp;"
-    assert [(k, t) for k, t, *_ in boilerplate.visible_lines(page)] == [(4, "Home"), (6, "Fish & chips"), (10, "plain < 3")]
+    assert [(x.number, x.text) for x in boilerplate.visible_lines(page)] == [(4, "Home"), (6, "Fish & chips"), (10, "plain < 3")]
+    page = '<p>Real text here <input type="hidden"></p>\n<div style="display:none">\n<p>not seen</p>\n<div>nor this</div>\n</div>\n<p>seen <b hidden>not</b> again</p>\n</div></section>\n<p>end'
+    assert [(x.number, " ".join(x.text.split())) for x in boilerplate.visible_lines(page)] == [(1, "Real text here"), (6, "seen again"), (8, "end")]
+    page = "<section>\n<div>\n<p>a</p>\n</div>\n<div>\n<p>b</p>\n<p>c</p>\n</div>\n</section>\n<p>d</p>"
+    a, b, c, d = (x.path for x in boilerplate.visible_lines(page))
+    assert [boilerplate.distance(*x) for x in ((a, b), (b, c), (c, d))] == [2, 0, 2]
+
+
+@pytest.mark.parametrize("n,share,want", [(2, 0.5, 0), (3, 0.5, 3), (3, 0.9, 0)])
+def test_recurring_forms_are_counted_over_all_pages(spark, n, share, want):
+    texts = [f"Sign up, {name} Daily\n{k} shares of it\nOwn words {chr(97 + k)}" for k, name in zip(range(n), ("Abc Def", "Ghi", "Jkl Mno"))] + [f"Page {chr(97 + k)}{k}x" for k in range(2)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,), ("",)], "text string")
+    seen = boilerplate.recurring(df, "text", share)
+    assert seen.pages == n + 2 and len(seen.of) == (want and 2 + 0)
+    assert all(v[0] == pytest.approx(3 / 5) for v in seen.of.values())
+    assert boilerplate.recurring(df.limit(0), "text").of == {}
 
 
 def test_boilerplate_operator(spark):
-    body = "Home | About us | Contact\nWe use cookies to improve this site. Accept all\nMill sold in Northton\n" + "The mill in Northton was sold to a firm that had run it for years, and the town is glad of it.\n" * 3 + "Read next\nAbout Sunfield Foods\nCopyright 2020 Northton Daily. All rights reserved."
-    df = spark.createDataFrame([(1, body, 0), (1, body, 0), (2, None, 0), (3, "", 0), (None, body, 0)], "id bigint, body string, line_no int")
-    got = {(r.id, r.line_no) for r in boilerplate.label_lines(df, "id", "body").collect()}
-    assert {k for i, k in got if i == 1} == {1, 2, 7, 8, 9} and {i for i, _ in got} == {1, None}
+    towns = [a + b for a in ("North", "Sud", "West", "Ost", "Mill", "Brook", "Stone", "Lang") for b in ("ton", "wick", "ham", "ford", "by", "mouth", "stad")]
+    rng = random.Random(3)
+    uses = ["sold to a firm", "closed for good", "rebuilt by hand", "left to the town", "painted red", "run by two sisters", "moved to the hill"]
+
+    def page(k, town):
+        menu = " | ".join(rng.sample(["Home", "About us", "Contact", "News", "Shop", "Help", "Press"], 4))
+        article = [f"The {rng.choice(('old', 'new', 'red', 'wide'))} {rng.choice(('mill', 'farm', 'school', 'bridge', 'tower'))} in {town} was {rng.choice(uses)} by {rng.choice(towns)} people who had run it for {rng.randint(3, 400)} years, and the town of {town} is {rng.choice(('glad', 'proud', 'tired', 'sure'))} of it now that {rng.choice(uses)} is what {rng.choice(towns)} wants." for _ in range(3)]
+        return "\n".join([menu, "We use cookies to improve this site. Accept all", f"{town}: mill sold", *article, "Read next", f"About {rng.choice(towns)} Foods", f"Copyright 20{10 + k % 9} {rng.choice(towns)} Daily. All rights reserved."])
+
+    rows = [(k, page(k, t), 0) for k, t in enumerate(towns)]
+    df = spark.createDataFrame([*rows, rows[1], (900, None, 0), (901, "", 0), (None, rows[2][1], 0), (902, "x " * 100_000, 0)], "id bigint, body string, line_no int")
+    got = [(r.id, r.line_no) for r in boilerplate.label_lines(df, "id", "body").collect()]
+    want = {(i, n) for i, *_ in [*rows, (None,)] for n in (1, 2, 7, 8, 9)}
+    assert len(set(got) & want) > 0.97 * len(want) and len(set(got) - want) < 0.03 * len(want)
     texts = {r.id: r.main_text for r in boilerplate.main_bodies(df, "id", "body").collect()}
-    assert texts[2] is None and texts[3] == "" and texts[1].startswith("Mill sold") and "cookies" not in texts[1]
+    assert texts[900] is None and texts[901] == "" and texts[5].startswith(f"{towns[5]}: mill") and "cookies" not in texts[5]
     assert boilerplate.label_lines(df.limit(0), "id", "body").count() == 0
 
 
