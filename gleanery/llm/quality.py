@@ -22,6 +22,12 @@ _RECORD = re.compile(r"[{\[\"<].*[:=].*[}\]\">],?\s*$|[\w.\-]{1,30}\s*=\s*\S+\s*
 _ODD = re.compile(r"\b(?:[b-df-hj-np-tv-xz]{4,}|\w{21,}|[^\W\d_]+\d\w*|\d+[^\W\d_]\w*)\b")
 _MOJI = re.compile(r"[�\x00-\x08\x0b-\x1f\x7f-\x9f]|Ã.|Â.|â€|Ð.|ï»")
 _SEGMENT = 320
+#: Runs of letters of scripts written without spaces; two of them are read as a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]{3,}")
+
+
+def _spaced(line: str) -> str:
+    return _UNSPACED.sub(lambda m: " ".join(m.group()[k : k + 2] for k in range(0, len(m.group()), 2)), line)
 
 
 def _reflowed(text: str):
@@ -63,6 +69,8 @@ def _bin(x: float, *edges: float) -> int:
 def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
     """Line statistics in bins. ``seen`` counts the masked lines of the document so far."""
     line = line.lstrip("> ")
+    if not line.isascii():
+        line = _spaced(line)
     low = line.lower()
     w = _WORD.findall(low)
     n, solid = len(w), len(line) - line.count(" ")
@@ -78,7 +86,7 @@ def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
         shape = 3
     elif "://" in line or (n < 7 and "@" in line) or _RECORD.match(line.lstrip()):
         shape = 4
-    key = " ".join(w)[:200]
+    key = " ".join(w)
     again = seen.get(key, 0)
     seen[key] = again + 1
     grams = list(zip(w, w[1:], w[2:]))
