@@ -10,20 +10,41 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def pieces(text: str, pattern, size: int = 1_000_000):
+    """A long text in pieces of about ``size`` characters, cut only where a match of the pre-tokenising pattern begins with a
+    space after a letter or digit: no match reaches or looks across such a place, so the pieces have the tokens of the whole."""
+    if len(text) <= size:
+        yield text
+        return
+    start = 0
+    for m in pattern.finditer(text):
+        at = m.start()
+        if at - start >= size and text[at] == " " and text[at - 1].isalnum() and m.end() > at + 1:
+            yield text[start:at]
+            start = at
+    yield text[start:]
+
+
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str, pattern: str) -> DataFrame:
-    """Tokens of every text by a byte-pair vocabulary given as ranks, in one pass without a shuffle; null texts have 0."""
+    """Tokens of every text by a byte-pair vocabulary given as ranks, in one pass without a shuffle; null texts have 0.
+
+    The vocabulary file is read on the driver and sent to the tasks; its size is that of the vocabulary.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
         import base64
 
         import pyarrow as pa
+        import regex
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        own = regex.compile(pattern)
         for b in batches:
-            n = [0 if t is None else sum(len(enc.encode_ordinary(t[a : a + 1_000_000])) for a in range(0, len(t), 1_000_000)) for t in b.column(1).to_pylist()]
+            n = [0 if t is None else sum(len(enc.encode_ordinary(p)) for p in pieces(t, own)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["id", "source", "tokens"])
 
     return df.mapInArrow(run, "id bigint, source string, tokens bigint")
@@ -84,9 +105,9 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     ``block_tokens`` tokens, so no window spans more than one shard. The number of blocks
     of each source at which all keep their shares within ``max_repeats`` is apportioned by
     Sainte-Laguë, then each source's quota over its shards in proportion to their
-    blocks. A quota beyond the blocks there are takes every block whole times over and the
+    blocks, in a task per source. A quota beyond the blocks there are takes every block whole times over and the
     rest by seeded order; so a document comes at most ``max_repeats`` times. Only sums per
-    source and shard come to the driver.
+    source come to the driver.
 
     Sources are compared in one spelling. Documents with a null or unlisted source are in
     no mixture, those with null or blank text have no tokens and are left out. A target
@@ -114,24 +135,21 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     laid = listed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), number.cast("bigint")))
     laid = laid.withColumn("block", F.floor((F.sum("tokens").over(order) - F.col("tokens")) / block_tokens))
     laid = checkpoint(laid)
-    sizes = {(r.source, r.shard): r.n for r in laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("n")).collect()}
-    have: dict[str, int] = {}
-    for (s, _), n in sizes.items():
-        have[s] = have.get(s, 0) + n
+    sizes = laid.groupBy("source", "shard").agg((F.max("block") + 1).alias("n"))
+    have = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     shares = {s: w for s, (w, _) in goal.items()}
     caps = {s: have.get(s, 0) * goal[s][1] for s in goal}
     quota = apportion(shares, caps, largest_total(shares, caps))
-    plan = []
-    by_source: dict[str, dict[int, int]] = {}
-    for (s, k), n in sizes.items():
-        by_source.setdefault(s, {})[k] = n
-    for s, q in quota.items():
-        own = by_source.get(s, {})
-        if not own:
-            continue
-        parts = apportion({str(k): Fraction(n) for k, n in own.items()}, {str(k): n * goal[s][1] for k, n in own.items()}, q)
-        plan += [(s, int(k), v, own[int(k)]) for k, v in parts.items()]
-    quotas = spark.createDataFrame(plan, "source string, shard bigint, quota bigint, blocks bigint")
+    repeats = {s: r for s, (_, r) in goal.items()}
+
+    def deal(pdf):
+        """A source's quota over its shards: one row per ``shard_tokens`` tokens, so a group stays small."""
+        s = pdf["source"].iloc[0]
+        own = dict(zip(pdf["shard"].tolist(), pdf["n"].tolist()))
+        got = apportion({k: Fraction(n) for k, n in own.items()}, {k: n * repeats[s] for k, n in own.items()}, quota[s])
+        return pdf.assign(quota=[got[k] for k in pdf["shard"]], blocks=pdf["n"])[["source", "shard", "quota", "blocks"]]
+
+    quotas = sizes.groupBy("source").applyInPandas(deal, "source string, shard bigint, quota bigint, blocks bigint")
     # all blocks by number, also those in which no document begins: the mean of all is the block size
     pick = quotas.select("source", "shard", "quota", F.col("blocks").alias("n_blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     rank = Window.partitionBy("source", "shard").orderBy(F.xxhash64("block", F.lit(seed + 2)), "block")
