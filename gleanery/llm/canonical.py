@@ -108,6 +108,10 @@ class Trie:
         return out
 
 
+#: Ranks of a value spelt as an entry, and of one without an entry.
+IDENTICAL, NOTHING = (-1, 0, 0, 0), (1 << 30, 0, 0, 0)
+
+
 class Matcher:
     """Reference entries by field; remembers the values it has seen."""
 
@@ -121,19 +125,26 @@ class Matcher:
             self.names[v] = value.casefold()
             for k, x in enumerate((value, *(aliases or []), code)):
                 if x and (p := plain(x).replace(".", "")):
-                    short = len(p) <= 4 or k > len(aliases or [])
+                    short = len(p) <= EDITS[0] or k > len(aliases or [])
                     trie.add(p, v, exact=short)
                     if k <= len(aliases or []) and " " in p and not short:
                         trie.add(p.replace(" ", ""), v, exact=True)
-        self.seen: dict[tuple[str, str], int | None] = {}
+        self.seen: dict[tuple[str | None, str], tuple[int, int, int, int]] = {}
 
     def __getstate__(self):
         return {**self.__dict__, "seen": {}}
 
     def match(self, field: str | None, value: str | None) -> int | None:
         """The value id meant, 0 for none; None where the value is null, blank or an entry as it is spelt there."""
-        if value is None or not value.strip() or value in self.exact.get(field, ()):
+        rank = self.rank(field, value)
+        return None if rank is None or rank == IDENTICAL else rank[-1]
+
+    def rank(self, field: str | None, value: str | None) -> tuple[int, int, int, int] | None:
+        """The best entry as (reading, edits, unlike letters, value id), so that answers over parts of a list can be compared; None for a null or blank value."""
+        if value is None or not value.strip():
             return None
+        if value in self.exact.get(field, ()):
+            return IDENTICAL
         key = (field, value)
         if key not in self.seen:
             if len(self.seen) > 200_000:
@@ -145,21 +156,25 @@ class Matcher:
         flat = query.replace(".", "").strip()
         if not flat:
             return None
-        found = trie.within(flat, allowed(len(flat) + 1)) or trie.shortened(query)
+        found: list = []
+        most = allowed(len(flat) + 1)
+        for edits in sorted({0, 1, most}):  # fewest edits win, so a wider search is only made where a narrower one finds nothing
+            if edits <= most and (found := trie.within(flat, edits)):
+                break
+        if not found:
+            found = [(len(EDITS) + 1, v, path) for _, v, path in trie.shortened(query)]  # after any entry within the distance
         if not found:
             return None
         spelt = value.casefold()
         return min((e, sum(a != b for a, b in zip(self.names[v], spelt)), v) for e, v, _ in found)
 
-    def _find(self, field, value) -> int:
+    def _find(self, field, value) -> tuple[int, int, int, int]:
         trie = self.tries.get(field)
-        if trie is None:
-            return 0
-        for query in self._readings(value):
-            best = self._best(trie, query, value)
-            if best:
-                return best[2]
-        return 0
+        if trie is not None:
+            for k, query in enumerate(self._readings(value)):
+                if best := self._best(trie, query, value):
+                    return (k, *best)
+        return NOTHING
 
     @staticmethod
     def _readings(value: str):
@@ -194,23 +209,29 @@ def map_values(df: DataFrame, key: str, field: str, value: str, reference: DataF
     are null, blank or spelt as an entry of their field give no row. Case, accents, signs,
     brackets, qualifiers and shortened words are seen through; entries within the edits
     allowed for their length count, of several the one with fewest edits, then the one
-    most alike letter by letter, then the smallest id. Codes and names of up to four
+    most alike letter by letter, then the smallest id. Codes and names of up to three
     letters must be met exactly. Copies of a row give one row. A field without a list
-    gives 0. The list is counted first and taken in blocks of at most ``block`` entries
-    (a field's entries whole), so what is broadcast is bounded; rows are matched where
-    they are, each task remembering the values it has met, without a shuffle.
+    gives 0. The list is counted first and taken in blocks of at most ``block`` entries, so
+    what is broadcast is bounded; a field with more entries is divided by a hash of their
+    ids, and the best answer over its parts counts. Rows are matched where they are, each
+    task remembering the values it has met; only ids and answers are shuffled.
     """
     spark = df.sparkSession
     ref = reference.where("value_id is not null and field_name is not null and canonical_value is not null").select("value_id", "field_name", "canonical_value", "code", "aliases")
     sizes = sorted((r.field_name, r["count"]) for r in ref.groupBy("field_name").count().collect())
-    blocks: list[list[str]] = [[]]
-    room = block
+    blocks: list[tuple[list[str], int, int]] = []  # fields, part, parts
+    names, room = [], block
     for name, n in sizes:
-        if n > room and blocks[-1]:
-            blocks.append([])
-            room = block
-        blocks[-1].append(name)
+        if n > block:
+            parts = -(-n * 5 // (block * 4))  # hashed parts differ a little in size
+            blocks += [([name], k, parts) for k in range(parts)]
+            continue
+        if n > room:
+            blocks.append((names, 0, 1))
+            names, room = [], block
+        names.append(name)
         room -= n
+    blocks.append((names, 0, 1))
     rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(field).alias("field"), F.col(value).alias("value"))
 
     def search(matcher):
@@ -219,16 +240,20 @@ def map_values(df: DataFrame, key: str, field: str, value: str, reference: DataF
 
             m = matcher.value
             for b in batches:
-                found = [(i, v) for i, f, x in zip(*(b.column(k).to_pylist() for k in range(3))) if (v := m.match(f, x)) is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["id", "value_id"])
+                found = [(i, *r) for i, f, x in zip(*(b.column(k).to_pylist() for k in range(3))) if (r := m.rank(f, x)) is not None]
+                cols = list(zip(*found)) if found else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "reading", "edits", "unlike", "value_id"])
 
         return run
 
     parts = []
-    for k, names in enumerate(blocks):
-        entries = [tuple(r) for r in ref.where(F.col("field_name").isin(names)).orderBy("value_id").collect()] if names else []
-        mine = F.col("field").isin(names) if len(blocks) > 1 else F.lit(True)
-        if len(blocks) > 1 and k == 0:  # rows of no listed field go with the first block
-            mine = mine | F.col("field").isNull() | ~F.col("field").isin([n for n, _ in sizes])
-        parts.append(rows.where(mine).mapInArrow(search(spark.sparkContext.broadcast(Matcher(entries))), "id bigint, value_id bigint"))
-    return reduce(DataFrame.union, parts).dropDuplicates(["id"]).withColumnRenamed("id", key)
+    for names, part, of in blocks:
+        own = ref.where(F.col("field_name").isin(names)) if names else ref.limit(0)
+        own = own.where(F.pmod(F.xxhash64("value_id"), F.lit(of)) == part) if of > 1 else own
+        entries = [tuple(r) for r in own.orderBy("value_id").collect()]
+        mine = F.col("field").isin(names) if len(blocks) > 1 and names else F.lit(len(blocks) == 1 or not names)
+        if len(blocks) > 1 and (names, part, of) == blocks[-1]:  # rows of no listed field go with the last block
+            mine = (F.col("field").isin(names) if names else F.lit(False)) | F.col("field").isNull() | ~F.col("field").isin([n for n, _ in sizes])
+        parts.append(rows.where(mine).mapInArrow(search(spark.sparkContext.broadcast(Matcher(entries))), "id bigint, reading bigint, edits bigint, unlike bigint, value_id bigint"))
+    best = reduce(DataFrame.union, parts).groupBy("id").agg(F.min(F.struct("reading", "edits", "unlike", "value_id")).alias("best"))
+    return best.where("best.reading >= 0").select(F.col("id").alias(key), F.col("best.value_id").alias("value_id"))
