@@ -85,14 +85,17 @@ def split_text(text: str, limit: int, overlap: int = 0, least: float = 0.4) -> l
 
     Consecutive pieces share exactly ``overlap`` code points, so the text is the first
     piece followed by every other piece without its first ``overlap`` characters. Each cut
-    lies in the window from ``least`` of the limit to the limit: at the natural boundary
-    whose valley is deepest, kinds of boundary weighing in; else at white space; else at
-    the last place that parts no letter from its marks.
+    lies in the window from ``least`` of the limit to the limit: at the deepest valley among
+    the ends of paragraphs, lines and sentences, the kind of boundary deciding between equal
+    depths; where there are none, at a clause end, else at white space, else at the last
+    place that parts no letter from its marks. An overlap that leaves no room for a new
+    character (``overlap >= limit``) or is negative raises ValueError.
     """
+    if limit < 1 or not 0 <= overlap < limit:
+        raise ValueError(f"no pieces of {limit} characters share {overlap}")
     n = len(text)
     if n <= limit:
         return [(0, n)]
-    overlap = max(0, min(overlap, limit // 2))
     bounds = _boundaries(text)
     strong = sorted(p for p, s in bounds.items() if s >= 1.5)
     edges = [0, *strong, n]
@@ -107,7 +110,7 @@ def split_text(text: str, limit: int, overlap: int = 0, least: float = 0.4) -> l
         best, cut, q = None, 0, p
         while q < len(places) and places[q] <= high:
             x = places[q]
-            score = (bounds[x] + 2.0 * depth.get(x, 0.0), x)
+            score = (round(depth[x], 9) if x in depth else -1.0, bounds[x], x)
             if best is None or score > best:
                 best, cut = score, x
             q += 1
@@ -127,12 +130,16 @@ def table_size(rows) -> int:
     return sum(len(c or "") + 1 for r in rows if r is not None for c in r)
 
 
-def split_table(rows: list, limit: int) -> list[list]:
+def split_table(rows: list, limit: int, overlap: int = 0) -> list[list]:
     """Tables of whole rows, each within the limit, cut at the deepest valley of row similarity in each window.
 
     A row beyond the limit is cut between cells, a cell beyond it like a text. Cells keep
-    their order, and no row, cell or null is lost.
+    their order, and no row, cell or null is lost. Consecutive tables share the last rows
+    of the first, as many as come to at most ``overlap`` and leave room for another row.
+    An overlap that is negative or not below the limit raises ValueError.
     """
+    if limit < 2 or not 0 <= overlap < limit:
+        raise ValueError(f"no tables of {limit} characters share {overlap}")
     units: list = []
     for r in rows:
         if r is None or table_size([r]) <= limit:
@@ -150,17 +157,22 @@ def split_table(rows: list, limit: int) -> list[list]:
     shapes = [Counter(w for c in (r or []) for w in (re.sub(r"\d", "0", t) for t in _WORD.findall((c or "").lower()))) for r in units]
     depth = [0.0, *valleys(shapes)]
     sizes = [table_size([r]) for r in units]
-    out, start = [], 0
-    while start < len(units):
+    out, start, fresh = [], 0, 0  # fresh: the first row not yet in a table
+    while fresh < len(units):
         end, size = start, 0
         while end < len(units) and size + sizes[end] <= limit:
             size += sizes[end]
             end += 1
         if end < len(units):
-            low = start + max(1, int((end - start) * 0.4))
+            low = max(fresh + 1, start + max(1, int((end - start) * 0.4)))
             end = max(range(low, end + 1), key=lambda i: (round(depth[i], 9), i)) if low < end else end
         out.append(units[start:end])
-        start = end
+        start = fresh = end
+        if fresh < len(units):
+            shared = 0
+            while overlap and start > 0 and shared + sizes[start - 1] <= min(overlap, limit - sizes[fresh]) and len(out[-1]) > fresh - start + 1:
+                start -= 1
+                shared += sizes[start]
     return out
 
 
@@ -176,7 +188,7 @@ def _pieces(limits: dict[str, tuple[int, int]]):
                     rows += [(kind, item, k, text[a:b], None, a, b - a) for k, (a, b) in enumerate(split_text(text, limit, overlap))]
                 else:
                     cells = [None if r is None else [None if c is None else str(c) for c in r] for r in data]
-                    rows += [(kind, item, k, None, t, None, table_size(t)) for k, t in enumerate(split_table(cells, limit))]
+                    rows += [(kind, item, k, None, t, None, table_size(t)) for k, t in enumerate(split_table(cells, limit, overlap))]
             yield pd.DataFrame(rows, columns=["item_kind", "item_id", "piece_no", "content", "table_data", "start_char", "n_chars"]).astype({"start_char": "Int64"})
 
     return run
@@ -192,7 +204,7 @@ def split_oversized(sources: list[tuple[DataFrame, str, str, str]], limits: dict
     be a string or an array of arrays of strings. ``limits``: kind to (largest size,
     overlap). Items within their limit, null and empty ones give no rows. Copies under one
     id count once; of different contents under one id any one counts. Rows with a null id
-    are kept as one item per kind. Overlap applies to texts, tables are cut between rows.
+    are kept as one item per kind. Texts share exactly the overlap, tables whole rows within it.
     The JVM measures sizes and passes only oversized items on to Python.
     """
     parts = []

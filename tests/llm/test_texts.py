@@ -63,6 +63,19 @@ def test_kinds_of_documents():
         assert share(junk) < 0.5, junk[:30]
 
 
+def test_prose_of_any_script():
+    common = frozenset(EN)
+    for name, text in ARTICLES.items():
+        assert quality.describe(text, common, quality.fit(common))[7] > 0.5, name
+
+
+def test_lines_that_begin_alike_are_no_repeats():
+    head = " ".join(f"word{k}" for k in range(60))
+    seen: dict = {}
+    first, second = (quality.observe(f"{head} {tail}", frozenset(EN), seen) for tail in ("one", "two"))
+    assert len(head) > 200 and first[6] == second[6] == 0
+
+
 def test_statistics_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (4, "x" * 200_000, "x"), (5, "The end of it. ", "x"), (5, "The end of it. ", "x"), (None, "a", "x")], "doc_id bigint, text string, n_words string")
     got = {r.doc_id: r for r in quality.text_statistics(df, "doc_id", "text", EN).collect()}
@@ -109,6 +122,32 @@ def test_mixture(spark):
     assert mixture.mix(d, "doc_id", "text", "source", goals.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[0].count() == 0
 
 
+def test_long_texts_are_counted_as_a_whole():
+    import base64
+
+    import public_tokenizers as P
+    import regex
+    import tiktoken
+
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc, pattern = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), regex.compile(P.PATTERN)
+    rng = random.Random(3)
+    for size in (1, 7, 50, 400):
+        text = "".join(rng.choice(("word", " other", "  ", "\n", "!", " 12", "é", "日本語", "'s", "x" * 30, " \n ")) for _ in range(1500))
+        parts = list(mixture.pieces(text, pattern, size))
+        assert "".join(parts) == text and len(parts) > 1
+        assert sum(len(enc.encode_ordinary(p)) for p in parts) == len(enc.encode_ordinary(text))
+
+
+def test_shares_of_the_mixture_are_near_their_targets(spark, sf):
+    from gleanery.llm.queries import QUERIES
+
+    rows = [r for r in QUERIES["p9_shares"](spark, sf.replace("sf0.001", "sf0.1")).collect() if r.tokens_available]
+    whole = sum(r.target_share for r in rows)
+    assert rows and all(abs(r.share_reached - r.target_share / whole) < 0.02 and r.repeats_used <= r.max_repeats for r in rows)
+
+
 # --- 7
 
 
@@ -285,9 +324,14 @@ def test_automaton_equals_edit_distance():
 def test_map_values(spark):
     ref = spark.createDataFrame(REF + [(None, "city", "x", None, None), (9, "city", None, None, None)], "value_id bigint, field_name string, canonical_value string, code string, aliases array<string>")
     df = spark.createDataFrame([(1, "city", "sudhaven", "a"), (1, "city", "sudhaven", "a"), (2, None, "x", "a"), (3, "city", None, "a"), (None, "city", "x", "a"), (4, "title", "Quality Asurance Lead", "a"), (5, "gone", "x", "a")], "id bigint, f string, v string, value_id string")
-    for block in (100_000, 1):
+    for block in (100_000, 2, 1):
         assert {tuple(r) for r in canonical.map_values(df, "id", "f", "v", ref, block).collect()} == {(1, 2), (2, 0), (4, 4), (5, 0)}
     assert {r.value_id for r in canonical.map_values(df, "id", "f", "v", ref.limit(0)).collect()} == {0}
+    towns = spark.createDataFrame([(k, "city", n, None, None) for k, n in enumerate(("Oslo", "Osla", "Rome", "Romford", "Norwich", "Northwick"), 1)], "value_id bigint, field_name string, canonical_value string, code string, aliases array<string>")
+    typed = spark.createDataFrame([(1, "city", "Osko"), (2, "city", "rmoe"), (3, "city", "Northwich"), (4, "city", "Norwich"), (5, "city", "Romfrod"), (6, "city", "Xyzzy"), (7, "city", "Os")], "id bigint, f string, v string")
+    want = {(1, 1), (2, 3), (3, 6), (5, 4), (6, 0), (7, 0)}
+    for block in (100_000, 3, 1):  # a field in one part, in some, in many
+        assert {tuple(r) for r in canonical.map_values(typed, "id", "f", "v", towns, block).collect()} == want
     assert canonical.map_values(df.limit(0), "id", "f", "v", ref).count() == 0
 
 
