@@ -1,16 +1,18 @@
-"""Near-duplicate records: an exact join in the metric space of Jaccard distance.
-
-Pivots are small word sets. The distance of a record to a one-word pivot is 1 - 1/n if it
-holds the word and 1 if not, so the regions around such pivots are the records holding
-them, and the nearest pivot of a record is its rarest word. A record A with a partner at
-distance 1 - t or less shares ceil(t * n) words with it; by the triangle inequality its
-partner lies in the region of one of A's n - ceil(t * n) + 1 rarest words. That window is
-what a record is replicated to, and it is all the exact join needs. (Pivots drawn from
-the records themselves don't split such data: unlike texts are all at a distance of 0.9 or
-more from each other, wider than any window.) A region of a frequent word is divided by
-pivots of two, three or more words, the k-th taken from one place further down the record,
-until the expected region is small. What still overflows is divided in blocks, and pairs of
-blocks are joined, again in parallel.
+"""Near-duplicate records: an exact Jaccard join by prefix filtering.
+
+The method asked for puts records into Voronoi regions around pivots drawn from them and
+replicates those near a border by the triangle inequality. ``pivot_windows`` measures what
+that would cost: unlike texts lie at a distance of 0.9 or more from each other, so
+the window of twice the threshold covers nearly every region and each record would be
+copied into nearly all of them (figures in the README). So it is not used here.
+
+Instead regions are keyed by words. A record A that is at least t alike another shares
+ceil(t * n) words with it, so in any fixed order of words its partner holds one of A's first
+n - ceil(t * n) + 1 words: prefix filtering, rare words first. A record is copied into
+the regions of these words, and pairs meet in a region or nowhere. The region of a frequent
+word is divided by keys of two, three or more words, the k-th taken from one place further
+down the record, until the expected region is small; what still overflows is divided into
+blocks, each region into as many as its own size asks for, and pairs of blocks are joined.
 
 Within a region, the parity of the records' words over a fixed number of bits gives a
 lower bound of their distance (each differing word turns at most one bit), and pairs
@@ -87,25 +89,34 @@ class _Sets:
         return [self.ranks.get(x, x) for x in out] if self.ranks else out
 
 
-def _document_counts(size: int, least: int):
+#: Stands for the number of records among the counts of words.
+_RECORDS = -1
+
+
+def _document_counts(size: int, least: int, frequent: float):
+    """Records per word, and the number of records. Runs of words met once are only left out where so many records were
+    counted together that a frequent one would have been met ten times."""
+
     def run(batches):
         import pyarrow as pa
 
-        numbers, counts = _Sets(size), Counter()
+        numbers, counts, records = _Sets(size), Counter(), 0
 
         def out():
-            # a run of words met once among a task's records is not sent: it can't be a frequent one
-            sent = [x for x in counts.items() if x[1] > 1] if size > 1 else list(counts.items())
+            sent = [x for x in counts.items() if x[1] > 1] if size > 1 and records * frequent >= 10 else list(counts.items())
+            sent.append((_RECORDS, records))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int64())], names=["h", "n"])
 
         for b in batches:
             for t in b.column(1).to_pylist():
                 s = numbers(t)
+                records += 1
                 if len(s) >= least:
                     counts.update(s)
             if len(counts) > 1_000_000:
                 yield out()
                 counts.clear()
+                records = 0
         yield out()
 
     return run
@@ -356,7 +367,8 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     same set, are members of one class, however many; pairs stand between classes.
     Words are told apart by 61-bit hashes, classes by 63-bit ones.
 
-    ``frequent``: words in at least this share of the records are ordered by frequency, at
+    Texts are read three times: to count words, to place records, and, of the records that
+    may be alike, to compare words. ``frequent``: words in at least this share of the records are ordered by frequency, at
     the end; there are at most (mean words of a record) / frequent of them, which bounds
     what is broadcast. ``cap``: expected records of a region beyond which pivots get
     another word. ``overflow``: rows of a region beyond which it is joined in blocks by
@@ -369,9 +381,10 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     t = Fraction(threshold).limit_denominator(10_000)
     words = max(1, bits // 64)
     docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    counts = docs.mapInArrow(_document_counts(shingle, least), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    n = docs.count()
-    often = counts.where(F.col("n") >= max(2.0, n * frequent)).collect()
+    counts = docs.mapInArrow(_document_counts(shingle, least, frequent), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = checkpoint(counts.where("n > 1 or h = -1"))
+    n = (counts.where(F.col("h") == _RECORDS).first() or {"n": 0})["n"]
+    often = counts.where((F.col("h") != _RECORDS) & (F.col("n") >= max(2.0, n * frequent))).collect()
     often.sort(key=lambda r: (r.n, r.h))
     stats = spark.sparkContext.broadcast(({r.h: _FREQUENT + k for k, r in enumerate(often)}, [r.n / max(n, 1) for r in often], n))
 
@@ -382,13 +395,14 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     met = checkpoint(spread.mapInArrow(_region_pairs(float(t), words, overflow, False), shape))
     found = met.where("kind = 0").select("a", "b", "i", "j")
     over = met.where("kind = 2")
-    biggest = over.groupBy("a").count().agg(F.max("count").alias("m")).first().m
-    if biggest:
-        g = max(2, -(-biggest // (overflow // 2)))
-        own = F.pmod(F.xxhash64("b", F.lit(5)), F.lit(g))
-        rows = over.withColumn("g", own).select(
+    sizes = over.groupBy("a").count().select("a", F.greatest(F.lit(2), F.ceil(F.col("count") / (overflow // 2))).cast("int").alias("g"))
+    regions = over.select("a").distinct().count()
+    if regions:
+        # each overflowing region has its own number of blocks; there are at most (all entries) / overflow of them
+        with_g = over.join(F.broadcast(sizes) if regions <= broadcast_ids else sizes, "a").withColumn("own", F.pmod(F.xxhash64("b", F.lit(5)), F.col("g")).cast("int"))
+        rows = with_g.select(
             F.col("a").alias("region"), F.col("b").alias("cls"), F.col("i").alias("id"), "n", *[f"b{k}" for k in range(words)],
-            F.explode(F.transform(F.sequence(F.lit(0), F.lit(g - 1)), lambda x: F.struct(F.least(x, F.col("g")).alias("x"), F.greatest(x, F.col("g")).alias("y"), F.when(x == F.col("g"), 2).when(F.col("g") < x, 0).otherwise(1).alias("side")))).alias("p"),
+            F.explode(F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.struct(F.least(x, F.col("own")).alias("x"), F.greatest(x, F.col("own")).alias("y"), F.when(x == F.col("own"), 2).when(F.col("own") < x, 0).otherwise(1).alias("side")))).alias("p"),
         )
         rows = rows.select(F.xxhash64("region", "p.x", "p.y").alias("key"), "cls", "id", "n", *[f"b{k}" for k in range(words)], F.col("p.side").alias("side"))
         rows = rows.repartition("key").sortWithinPartitions("key")
@@ -408,20 +422,71 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     return members, pairs
 
 
-def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All pairs of records (id_a < id_b): those of linked classes, and those within a class."""
-    a, b = members.select(F.col("cls").alias("a"), F.col("id").alias("x")), members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+def record_pairs(members: DataFrame, pairs: DataFrame, block: int = 2000) -> DataFrame:
+    """All pairs of records (id_a < id_b): those of linked classes, and those within a class.
+
+    Classes are dealt into blocks of about ``block`` members by a hash of the id, and pairs of
+    blocks are joined, so a class of a third of all records is many tasks; what one key
+    gives is bounded by ``block`` squared.
+    """
+    sizes = members.groupBy("cls").count().select("cls", F.ceil(F.col("count") / block).cast("int").alias("g"))
+    placed = members.join(sizes, "cls").withColumn("p", F.pmod(F.xxhash64("id", F.lit(7)), F.col("g")).cast("int"))
+    blocks = lambda g: F.sequence(F.lit(0), g - 1)
+    left = placed.select("cls", F.col("p").alias("lo"), F.explode(F.sequence("p", F.col("g") - 1)).alias("hi"), F.col("id").alias("x"))
+    right = placed.select("cls", F.explode(F.sequence(F.lit(0), "p")).alias("lo"), F.col("p").alias("hi"), F.col("id").alias("y"))
+    within = left.join(right, ["cls", "lo", "hi"]).where("lo < hi or x < y").select("x", "y")
+    side = lambda c, p, i: placed.select(F.col("cls").alias(c), F.col("p").alias(p), F.col("id").alias(i))
+    dealt = pairs.select("a", "b").join(sizes.select(F.col("cls").alias("a"), F.col("g").alias("ga")), "a").join(sizes.select(F.col("cls").alias("b"), F.col("g").alias("gb")), "b")
+    dealt = dealt.select("a", "b", "gb", F.explode(blocks(F.col("ga"))).alias("pa")).select("a", "b", "pa", F.explode(blocks(F.col("gb"))).alias("pb"))
+    across = dealt.join(side("a", "pa", "x"), ["a", "pa"]).join(side("b", "pb", "y"), ["b", "pb"]).select("x", "y")
     both = across.unionByName(within)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
+def pivot_windows(df: DataFrame, key: str, text: str, threshold: float, shingle: int, least: int, pivots: int = 64, seed: int = 3) -> dict[str, float]:
+    """What a join around record pivots would cost: a measurement, no part of the join.
+
+    ``pivots`` records are drawn by a seeded hash (the only sample here, of bounded size); every
+    record's distance to all of them is taken. Returns the mean number of regions a
+    record is replicated to when a region's window is twice the distance threshold, as the
+    triangle inequality asks, the share of pivots that takes, and the share of distances at 0.9 or more.
+    """
+    docs = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    numbers = _Sets(shingle)
+    drawn = [s for r in docs.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(pivots * 4).collect() if len(s := frozenset(numbers(r.text))) >= least][:pivots]
+    own = df.sparkSession.sparkContext.broadcast(drawn)
+    window = 2 * (1 - threshold)
+
+    def run(batches):
+        import pyarrow as pa
+
+        sets, regions, far, all_ = _Sets(shingle), 0, 0, 0
+        records = 0
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                s = set(sets(t))
+                if len(s) < least:
+                    continue
+                d = [1 - len(s & p) / len(s | p) for p in own.value]
+                near = min(d, default=1.0)
+                records += 1
+                regions += sum(x <= near + window for x in d)
+                far += sum(x >= 0.9 for x in d)
+                all_ += len(d)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (records, regions, far, all_)], names=["records", "regions", "far", "all_"])
+
+    r = docs.mapInArrow(run, "records bigint, regions bigint, far bigint, all_ bigint").agg(*[F.sum(c).alias(c) for c in ("records", "regions", "far", "all_")]).first()
+    if not r.records or not drawn:
+        return {"pivots": float(len(drawn)), "regions_per_record": 0.0, "share_of_pivots": 0.0, "share_beyond_0.9": 0.0}
+    return {"pivots": float(len(drawn)), "regions_per_record": r.regions / r.records, "share_of_pivots": r.regions / r.all_, "share_beyond_0.9": r.far / r.all_}
+
+
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components: (node, group), the group being its smallest node.
 
     Alternating large-star and small-star rounds on the links, each written to the shared
-    checkpoint; stars are aggregated by node before and after the shuffle. It ends when no
+    checkpoint; stars are aggregated by node before and after the shuffle, and joined with one
+    row per node, so a hub's links may be split over tasks (adaptive skew join). It ends when no
     link changes; a graph whose rounds don't suffice raises an error.
     """
     e = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())

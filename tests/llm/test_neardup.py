@@ -52,6 +52,24 @@ def test_large_group_of_alike_records_is_joined_in_blocks(spark):
     assert found(spark, rows, threshold=0.8, shingle=1, overflow=40, cap=10**9) == brute(rows, 0.8, 1, 1)
 
 
+@pytest.mark.parametrize("block", [1, 3, 2000])
+def test_pairs_of_large_classes_are_made_in_blocks(spark, block):
+    members = spark.createDataFrame([(c, 100 * c + k) for c, n in ((1, 12), (2, 7), (3, 1), (4, 1)) for k in range(n)], "cls bigint, id bigint")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (3, 4, 0.8)], "a bigint, b bigint, similarity double")
+    got = sorted(tuple(r) for r in neardup.record_pairs(members, pairs, block).collect())
+    own = {c: [100 * c + k for k in range(n)] for c, n in ((1, 12), (2, 7), (3, 1), (4, 1))}
+    want = [p for c in own for p in combinations(own[c], 2)] + [(x, y) for a, b in ((1, 2), (3, 4)) for x in own[a] for y in own[b]]
+    assert got == sorted(want)
+
+
+def test_pivot_windows_measure_what_pivots_would_cost(spark):
+    rng = random.Random(6)
+    unlike = [(i, " ".join(f"x{rng.randrange(4000)}" for _ in range(30))) for i in range(200)]
+    got = neardup.pivot_windows(spark.createDataFrame(unlike, "id bigint, text string"), "id", "text", 0.7, 1, 5, 20)
+    assert got["pivots"] == 20 and got["share_beyond_0.9"] > 0.9 and got["share_of_pivots"] > 0.9
+    assert neardup.pivot_windows(spark.createDataFrame([], "id bigint, text string"), "id", "text", 0.7, 1, 5)["regions_per_record"] == 0.0
+
+
 def test_nulls_blanks_copies_and_empty_tables(spark):
     long = " ".join(f"x{k}" for k in range(50_000))
     rows = [(1, None), (2, ""), (3, "a b c d e f"), (3, "a b c d e f"), (4, "A b, c d e f!"), (5, long), (6, long + " y"), (None, "a b c d e f")]
