@@ -94,8 +94,8 @@ _RECORDS = -1
 
 
 def _document_counts(size: int, least: int, frequent: float):
-    """Records per word, and the number of records. Runs of words met once are only left out where so many records were
-    counted together that a frequent one would have been met ten times."""
+    """Records per word, and the number of records. Runs of words met once are left out where so many records were counted
+    together that this takes at most half of the share of a frequent one; which are frequent decides on speed only."""
 
     def run(batches):
         import pyarrow as pa
@@ -103,7 +103,7 @@ def _document_counts(size: int, least: int, frequent: float):
         numbers, counts, records = _Sets(size), Counter(), 0
 
         def out():
-            sent = [x for x in counts.items() if x[1] > 1] if size > 1 and records * frequent >= 10 else list(counts.items())
+            sent = [x for x in counts.items() if x[1] > 1] if size > 1 and records * frequent >= 2 else list(counts.items())
             sent.append((_RECORDS, records))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in sent], pa.int64()), pa.array([x[1] for x in sent], pa.int64())], names=["h", "n"])
 
@@ -509,9 +509,12 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
 
 
 def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per record: (id, group, links): the component of its class, named by its smallest class, and its class's links."""
-    classes = members.select(F.col("cls").alias("node")).distinct()
-    part = components(classes, pairs.select("a", "b"))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    one = part.join(degree, "node", "left").select(F.col("node").alias("cls"), "group", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(one, "cls").select("id", "group", "links")
+    """One row per record: (id, group, links): the component of its class, named by the smallest id in it, and the number of other classes its class is linked to."""
+    names = checkpoint(members.groupBy("cls").agg(F.min("id").alias("rep")))
+    name = lambda c: names.select(F.col("cls").alias(c), F.col("rep").alias(f"rep_{c}"))
+    links = pairs.select("a", "b").join(name("a"), "a").join(name("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    links = checkpoint(links)
+    part = components(names.select(F.col("rep").alias("node")), links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    one = names.join(part.join(degree, "node", "left").select(F.col("node").alias("rep"), "group", F.coalesce("links", F.lit(0)).alias("links")), "rep")
+    return members.join(one.select("cls", "group", "links"), "cls").select("id", "group", "links")

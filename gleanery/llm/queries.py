@@ -119,6 +119,25 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return not_prose(_statistics(spark, d)).select("doc_id").dropDuplicates()
 
 
+@query(
+    """
+with common as (select list(distinct lower(word)) as ws from common_words where word is not null),
+d as (select distinct doc_id, coalesce(text, '') as t from documents),
+x as (select doc_id, t, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]')) as lines,
+  length(regexp_replace(t, '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+', '', 'g')) as solid from d)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(lines) as bigint) as n_lines, round(case when len(lines) > 0 and len(w) > 0 then length(array_to_string(w, '')) / len(w) end, 6) as mean_word_length,
+  round(case when len(lines) > 0 then (solid - length(array_to_string(w, ''))) / solid end, 6) as symbol_ratio, round(case when len(lines) > 0 and len(w) > 0 then len(list_distinct(w)) / len(w) end, 6) as distinct_share,
+  round(case when len(lines) > 0 then len(list_filter(lines, lambda l: regexp_matches(l, '[.!?…。！？:;]["'')\\]»”’ \\t\\r]*$'))) / len(lines) end, 6) as end_punct_share,
+  round(case when len(lines) > 0 and len(w) > 0 then len(list_filter(w, lambda y: list_contains(ws, y))) / len(w) end, 6) as common_share
+from x, common
+"""
+)
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document that don't depend on labels."""
+    shares = ("mean_word_length", "symbol_ratio", "distinct_share", "end_punct_share", "common_share")
+    return _statistics(spark, d).select("doc_id", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in shares]).distinct()
+
+
 @query()
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of every document."""
@@ -238,7 +257,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query()
+_RUNS = """
+{0}b as (select distinct {1} as id, regexp_extract_all(lower({2}), '[\\p{{L}}\\p{{N}}]+') as w from {3} where {2} is not null and {1} is not null),
+{0}s as (select id, list_sort(list_distinct(list_transform(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) end, lambda x: hash(x)))) as s from {0}b where len(w) > 0),
+{0}c as (select s, len(s) as n, min(id) as rep from {0}s group by s),
+{0}p as (select a.rep as a, b.rep as b, a.n + b.n as total, len(list_intersect(a.s, b.s)) as shared from {0}c a join {0}c b on a.rep < b.rep and a.n >= 0.8 * b.n and b.n >= 0.8 * a.n),
+{0}e as (select a, b from {0}p where 10 * shared >= 8 * (total - shared)), {0}l as (select a, b from {0}e union select b, a from {0}e),
+{0}r as (select rep as start, rep as node from {0}c union select r.start, l.b from {0}r r join {0}l l on l.a = r.node),
+{0}g as (select start as rep, min(node) as grp from {0}r group by start), {0}d as (select a as rep, count(*) as links from {0}l group by a)
+"""
+_RUN_ROWS = "select '{2}' as field_name, i.id as record_id, g.grp as group_id, coalesce(d.links, 0) as links from (select distinct {1} as id from {3} where {1} is not null) i left join {0}s s on s.id = i.id left join {0}c c on c.s = s.s left join {0}g g on g.rep = c.rep left join {0}d d on d.rep = c.rep"
+
+
+@query("with recursive " + ", ".join(_RUNS.format(a, key, field, name) for a, (field, name, key, _) in zip("xy", FIELDS)) + " union all ".join(_RUN_ROWS.format(a, key, field, name) for a, (field, name, key, _) in zip("xy", FIELDS)))
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of records whose five-word runs are 0.8 alike or more, one row per record with its number of links; a text of one to four words is one run, one without words has no group."""
     from gleanery.llm.neardup import groups
