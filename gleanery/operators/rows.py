@@ -36,55 +36,64 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     Both sides meet in one sorted pass: a union and a running last value, so no pairs are
     made and the shuffle is by key only. Right rows at the same place come first; of right
     rows at one place the greatest value counts. With ``coarse``, which maps a place to a
-    stretch in order (a day, a range of pages), a key is divided into its stretches, and
-    what stands at the end of the stretches before is carried in: a key of a third of all
-    rows is then as many tasks as it has stretches.
+    stretch in order (a day, a range of pages), a key is divided into its stretches: what the
+    right side has at the end of each stretch, one row, is carried into the next stretch that
+    has any row. A key of a third of all rows is then as many tasks as it has stretches.
     """
     extra = [c for c in left.columns if c not in keys and c != at]
     l = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in extra]).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))  # noqa: E741
     r = right.select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
     both, parts = l.unionByName(r), list(keys)
     if coarse:
+        # the ends of stretches come from the right side alone, and go to the start of every stretch of the left side after them
         both, parts = both.withColumn("_part", coarse(F.col("_at"))), [*keys, "_part"]
-    run = Window.partitionBy(*parts).orderBy("_at", "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        ends = r.where("_v is not null").groupBy(*keys, coarse(F.col("_at")).alias("_part")).agg(F.max_by("_v", F.struct("_at", "_v")).alias("_end"))
+        starts = l.select(*keys, coarse(F.col("_at")).alias("_part"), F.lit(None).cast(right.schema[value].dataType).alias("_end")).distinct()
+        before = Window.partitionBy(*keys).orderBy("_part", F.col("_end").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.unionByName(starts).withColumn("_c", F.last("_end", ignorenulls=True).over(before)).where("_end is null and _c is not null")
+        both = both.unionByName(carried.select(*keys, F.lit(None).cast(l.schema["_at"].dataType).alias("_at"), F.lit(-1).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col("_c").alias("_v"), "_part"))
+    run = Window.partitionBy(*parts).orderBy(F.col("_at").asc_nulls_first(), "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     own = both.withColumn(name, F.last("_v", ignorenulls=True).over(run)).where("_side = 1")
-    if coarse:
-        ends = both.groupBy(*parts).agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_at", "_v"))).alias("_end"))
-        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.select(*parts, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-        own = own.join(carried, parts, "left").withColumn(name, F.coalesce(name, "_carried"))
     return own.select(*keys, F.col("_at").alias(at), *[F.col(f"_row.{c}").alias(c) for c in extra], name)
 
 
-def nearest_above(df: DataFrame, keys: list[str], order: str, level: str, name: str, depth: int = 8) -> DataFrame:
+def nearest_above(df: DataFrame, keys: list[str], order: str, level: str, name: str, most: int = 200) -> DataFrame:
     """For every row the place of the nearest earlier row of a smaller level, its parent in an outline; null at the top.
 
-    One running maximum per level (levels are few: 0 to ``depth``), all in the same sort.
+    One running maximum per level, all in the same sort. The levels are read from the data
+    first; an outline of more than ``most`` different levels raises ValueError.
     """
+    levels = sorted(r[0] for r in df.select(level).where(F.col(level).isNotNull()).distinct().limit(most + 1).collect())
+    if len(levels) > most:
+        raise ValueError(f"more than {most} levels in {level}")
     run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col(level) == d, F.col(order))).over(run).alias(f"_l{d}") for d in range(depth)]
-    wide = df.select("*", *last)
-    above = F.array_max(F.array(*[F.when(F.lit(d) < F.col(level), F.col(f"_l{d}")) for d in range(depth)]))
-    return wide.withColumn(name, above).drop(*[f"_l{d}" for d in range(depth)])
+    last = [F.max(F.when(F.col(level) == d, F.col(order))).over(run).alias(f"_l{k}") for k, d in enumerate(levels)]
+    above = F.array_max(F.array(*[F.when(F.lit(d) < F.col(level), F.col(f"_l{k}")) for k, d in enumerate(levels)], F.lit(None).cast(df.schema[order].dataType)))
+    return df.select("*", *last).withColumn(name, above).drop(*[f"_l{k}" for k in range(len(levels))])
+
+
+def evict(store: DataFrame, gone: DataFrame, document: str) -> DataFrame:
+    """A chunk store without the documents named; the names are joined, so their number doesn't matter."""
+    return store.join(gone.select(document).distinct(), document, "left_anti")
 
 
 def closure(edges: DataFrame, keys: list[str], child: str, parent: str, rounds: int = 40) -> DataFrame:
     """All (ancestor, descendant) pairs of trees within keys, every node with itself, by doubling.
 
-    The paths known so far are joined with themselves, so depth d takes log2(d) rounds; each
-    round is written to the shared checkpoint. A cycle adds no new pair and so ends.
+    Each round joins the pairs found last with all pairs known, so depth d takes about log2(d)
+    rounds and no pair is extended twice from the same side; pairs keep their distance, which
+    makes the new ones of a round those beyond the last. Each round is written to the shared
+    checkpoint. A cycle adds no new pair and so ends.
     """
     e = edges.select(*keys, F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).where("ancestor is not null and ancestor <> '' and ancestor <> descendant").distinct()
-    known = checkpoint(e)
-    n = known.count()
+    known = fresh = checkpoint(e)
     for _ in range(rounds):
-        left, right = known.withColumnRenamed("descendant", "_mid"), known.withColumnRenamed("ancestor", "_mid")
-        more = left.join(right, [*keys, "_mid"]).select(*keys, "ancestor", "descendant")
-        known = checkpoint(known.unionByName(more).distinct())
-        m = known.count()
-        if m == n:
+        more = fresh.withColumnRenamed("descendant", "_mid").join(known.withColumnRenamed("ancestor", "_mid"), [*keys, "_mid"]).select(*keys, "ancestor", "descendant").distinct()
+        # renamed, so that the two sides of the union below are told apart
+        fresh = checkpoint(more.join(known, [*keys, "ancestor", "descendant"], "left_anti").select(*[F.col(c).alias(c) for c in (*keys, "ancestor", "descendant")]))
+        if fresh.isEmpty():
             break
-        n = m
+        known = checkpoint(known.unionByName(fresh))
     nodes = edges.select(*keys, F.col(child).alias("ancestor"), F.col(child).alias("descendant")).distinct()
     return known.unionByName(nodes).distinct()
 

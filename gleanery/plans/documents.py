@@ -32,7 +32,7 @@ def scan_rollup(spark: SparkSession, d: str) -> DataFrame:
 with f as (select distinct fetch_id, content_type, octet_length(encode(body)) as n from cached_fetches),
 m as (select fetch_id, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) as mime, coalesce(n, 0) as n from f)
 select mime, count(*) as n_pages, count(*) filter (where n <= 5242880) as n_within,
-  bool_and(mime = '' or starts_with(mime, 'text/') or mime in ('application/json', 'application/xml', 'application/xhtml+xml', 'application/pdf')) as allowed
+  bool_and(mime = '' or regexp_matches(mime, '^(text/|application/(json|xml|xhtml))')) as allowed
 from m group by mime
 """
 )
@@ -62,9 +62,9 @@ def url_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-select provider, count(*) as n, count(*) filter (where regexp_matches(lower(url), '^https?://') and not regexp_matches(lower(url),
-  '^https?://(localhost|127[.]|10[.]|192[.]168[.]|169[.]254[.]|0[.]|172[.](1[6-9]|2[0-9]|3[01])[.]|22[4-9][.]|23[0-9][.]|24[0-9][.]|25[0-9][.]|\\[)')) as n_safe
-from (select distinct result_id, provider, url from search_results) group by provider
+with r as (select distinct result_id, provider, url from search_results),
+h as (select provider, regexp_extract(lower(url), '^(https?)://(?:[^/@]*@)?([^/:?#]+)', 1) as scheme, regexp_extract(lower(url), '^(https?)://(?:[^/@]*@)?([^/:?#]+)', 2) as host from r)
+select provider, count(*) as n, count(*) filter (where scheme <> '' and host <> 'localhost' and not ends_with(host, '.localhost') and regexp_matches(host, '[g-wyz]')) as n_safe from h group by provider
 """
 )
 def url_safety(spark: SparkSession, d: str) -> DataFrame:
@@ -87,19 +87,21 @@ def html_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("fetch_id", F.sha2(fx.html_text(F.col("body")), 256).alias("text_hash")).distinct()
 
 
+_HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
+
+
 @query(
-    """
+    f"""
 with b as (select distinct fetch_id, body from cached_fetches where body is not null),
-h as (select fetch_id, unnest(regexp_extract_all(body, '<h([1-6])[^>]*>([^<]*)</h[1-6]>', 1, 'i')) as lvl, unnest(regexp_extract_all(body, '<h([1-6])[^>]*>([^<]*)</h[1-6]>', 2, 'i')) as heading, unnest(range(len(regexp_extract_all(body, '<h([1-6])[^>]*>([^<]*)</h[1-6]>', 2, 'i')))) as pos from b)
-select fetch_id, cast(pos as int) as position, cast(lvl as int) as level, trim(heading) as heading from h
+h as (select fetch_id, unnest(regexp_extract_all(body, '{_HEADING}', 1)) as lvl, unnest(regexp_extract_all(body, '{_HEADING}', 2)) as heading, unnest(range(len(regexp_extract_all(body, '{_HEADING}', 2)))) as pos from b)
+select fetch_id, cast(pos as int) as position, cast(lvl as int) as level, trim(regexp_replace(regexp_replace(heading, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as heading from h
 """
 )
 def html_headings(spark: SparkSession, d: str) -> DataFrame:
-    """Headings of every page in order, with their level."""
-    p = r"(?i)<h([1-6])[^>]*>([^<]*)</h[1-6]>"
-    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", F.regexp_extract_all("body", F.lit(p), F.lit(1)).alias("l"), F.regexp_extract_all("body", F.lit(p), F.lit(2)).alias("h")).distinct()
+    """Headings of every page in order, with their level; markup within them goes."""
+    t = table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", F.regexp_extract_all("body", F.lit(_HEADING), F.lit(1)).alias("l"), F.regexp_extract_all("body", F.lit(_HEADING), F.lit(2)).alias("h")).distinct()
     x = t.select("fetch_id", F.posexplode(F.arrays_zip("l", "h")).alias("position", "z"))
-    return x.select("fetch_id", "position", F.col("z.l").cast("int").alias("level"), F.trim("z.h").alias("heading"))
+    return x.select("fetch_id", "position", F.col("z.l").cast("int").alias("level"), F.trim(F.regexp_replace(F.regexp_replace("z.h", "<[^>]*>", " "), r"\s+", " ")).alias("heading"))
 
 
 @query()
@@ -136,9 +138,10 @@ def line_sections(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
 with c as (select distinct chunk_id, content, chunk_type from chunks where content is not null),
-k as (select chunk_type, case when len(regexp_extract_all(content, '(?m)(^[^|\\n]*\\|[^\\n]*\\|?[^\\n]*$)')) >= 2 or len(regexp_extract_all(content, '(?m)(^[^\\t\\n]*\\t[^\\n]*$)')) >= 2
-  or (regexp_matches(content, '(?m)^[ |:+\\-]*-{3,}[ |:+\\-]*$') and len(regexp_extract_all(content, '(?m)(^[^|\\n]*\\|[^\\n]*\\|?[^\\n]*$)')) >= 1) then 'table' else 'text' end as kind from c)
-select chunk_type, kind, count(*) as n from k group by all
+l as (select chunk_id, chunk_type, string_split(content, chr(10)) as ls from c),
+n as (select chunk_type, len(list_filter(ls, lambda x: x[1] = '|' and instr(substr(x, 3), '|') > 0)) as barred, len(list_filter(ls, lambda x: instr(substr(x, 2), chr(9)) > 0 and instr(substr(x, 2), chr(9)) < length(x) - 1)) as tabbed,
+  len(list_filter(ls, lambda x: trim(x, ' ' || chr(9)) <> '' and replace(replace(replace(replace(trim(x, ' ' || chr(9)), '|', ''), ':', ''), '-', ''), ' ', '') = '')) as rules from l)
+select chunk_type, case when barred >= 2 or tabbed >= 2 or (rules >= 1 and barred >= 1) then 'table' else 'text' end as kind, count(*) as n from n group by all
 """
 )
 def text_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -351,14 +354,18 @@ def table_codec(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-select assessment_id, cast(len(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}')) as int) as emails,
-  substr(text, 1, 500) as excerpt from (select distinct assessment_id, text from cached_assessments where text is not null)
+with t as (select distinct assessment_id, text from cached_assessments where text is not null),
+a as (select assessment_id, text, list_transform(regexp_extract_all(text, '\\b[A-Z]{2}\\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b'), lambda x: replace(x, ' ', '')) as accounts from t),
+d as (select assessment_id, text, list_filter(list_transform(accounts, lambda x: list_transform(string_split(array_to_string(list_transform(string_split(substr(x, 5) || substr(x, 1, 4), ''), lambda c: case when c between 'A' and 'Z' then cast(ascii(c) - 55 as varchar) else c end), ''), ''), lambda c: cast(c as int))), lambda ds: list_reduce(ds, lambda s, c: (s * 10 + c) % 97) = 1) as good from a)
+select assessment_id, cast(len(regexp_extract_all(text, '[\\p{L}\\p{N}._+%-]+@(?:[\\p{L}\\p{N}-]+\\.)+\\p{L}{2,}')) as int) as emails, cast(len(good) as int) as accounts,
+  cast(len(list_filter(regexp_extract_all(text, '\\b[A-Z]{2}(?: ?\\d{2}){3} ?[A-D]\\b'), lambda x: regexp_matches(x, '^[^DFIQUV][^DFIQUVO]') and substr(x, 1, 2) not in ('BG', 'GB', 'KN', 'NK', 'NT', 'TN', 'ZZ'))) as int) as insurance_numbers, substr(text, 1, 500) as excerpt from d
 """
 )
 def detail_scan(spark: SparkSession, d: str) -> DataFrame:
-    """E-mail addresses by pattern, and the excerpt of every assessed text."""
+    """E-mail addresses, account and insurance numbers by form, and the excerpt of every assessed text."""
     t = rows.once(table(spark, d, "cached_assessments").where("text is not null"), "assessment_id", "text")
-    return t.select("assessment_id", fx.detail_counts(F.col("text"))[0].alias("emails"), F.left("text", F.lit(500)).alias("excerpt"))
+    mails, accounts, insurance = fx.detail_counts(F.col("text"))
+    return t.select("assessment_id", mails.alias("emails"), accounts.alias("accounts"), insurance.alias("insurance_numbers"), F.left("text", F.lit(500)).alias("excerpt"))
 
 
 @query(

@@ -26,9 +26,16 @@ def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder every executor can reach: spark.checkpoint.dir, or a local one where that is unset."""
+    """The checkpoint folder every executor can reach: spark.checkpoint.dir.
+
+    Only where all executors run in one machine's process (a local master), a folder of our
+    own stands in for it; on a cluster without the setting this raises, since a
+    machine-local folder would be lost or unreadable there.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file:///tmp/gleanery-checkpoints-{os.getuid()}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)

@@ -38,7 +38,7 @@ def test_html_text(spark, html, text):
     assert one(spark, fx.html_text(F.col("h")), h=html) == text
 
 
-@pytest.mark.parametrize("text,kind", [("a | b\nc | d", "table"), ("a\tb\nc\td", "table"), ("---\na | b", "table"), ("a | b", "text"), ("plain", "text")])
+@pytest.mark.parametrize("text,kind", [("| a | b |\n| c | d |", "table"), ("a | b\nc | d", "text"), ("a\tb\nc\td", "table"), ("| a | b |\n|---|:-:|", "table"), ("---\n| a | b", "table"), ("--- x\n| a | b |", "text"), ("| a |", "text"), ("plain", "text")])
 def test_text_table_kind(spark, text, kind):
     from gleanery.operators.parsing import text_kind
 
@@ -46,7 +46,8 @@ def test_text_table_kind(spark, text, kind):
     assert text_kind(text) == kind
 
 
-@pytest.mark.parametrize("url,safe", [("https://a.test/x", True), ("ftp://a.test", False), ("http://127.0.0.1/", False), ("http://172.20.1.1/", False), ("http://172.40.1.1/", True), ("http://localhost:8/", False), ("x", False)])
+@pytest.mark.parametrize("url,safe", [("https://a.test/x", True), ("ftp://a.test", False), ("http://127.0.0.1/", False), ("http://172.20.1.1/", False), ("http://172.40.1.1/", True), ("http://localhost:8/", False), ("x", False), ("http://2130706433/", False), ("http://0x7f.1/", False), ("http://0177.0.0.1/", False), ("http://8.8.8.8/", True), ("http://134744072/", True), ("http://100.64.0.1/", False), ("http://192.0.2.9/", False), ("http://198.19.255.1/", False), ("http://1.2.3.4.5/", False), ("http://256.1.1.1/", False),
+        ("http://[::1]/", False), ("http://[2606:4700::1111]/", True), ("http://[2001:db8::1]/", False), ("http://[fe80::1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("http://[2002:7f00:1::]/", False), ("http://a.localhost/", False), ("http://239.1.1.1/", False)])
 def test_url_safe(spark, url, safe):
     assert one(spark, fx.url_safe(F.col("u")), u=url) is safe
 
@@ -74,6 +75,10 @@ def test_small_ones(spark):
     assert one(spark, fx.content_type_allowed(F.col("v")), v="image/png") is False
     assert one(spark, fx.detail_counts(F.col("v"))[0], v="a@b.test, c@d.test") == 2
     assert one(spark, fx.detail_counts(F.col("v"))[2], v="AB123456C") == 1
+    assert one(spark, fx.detail_counts(F.col("v"))[2], v="AB 12 34 56 C, GB123456A, QQ123456C") == 1
+    assert one(spark, fx.detail_counts(F.col("v"))[1], v="GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, not GB82 WEST 1234 5698 7654 33") == 2
+    assert one(spark, fx.similarity(F.col("a"), F.col("b")), a=[1.0, 0.0], b=[-1.0, 0.0]) == 0.0
+    assert one(spark, fx.content_type_allowed(F.col("v")), v="application/json-seq") is True and one(spark, fx.content_type_allowed(F.col("v")), v="application/pdf") is False and one(spark, fx.content_type_allowed(F.col("v"), "application/pdf"), v="application/pdf") is True
     assert len(one(spark, fx.short_id(F.col("v")), v="x")) == 16
 
 
