@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import checkpoint
+from gleanery.sources.tables import written
 
 
 def once(df: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -82,20 +82,22 @@ def closure(edges: DataFrame, keys: list[str], child: str, parent: str, rounds:
 
     Each round joins the pairs found last with all pairs known, so depth d takes about log2(d)
     rounds and no pair is extended twice from the same side; pairs keep their distance, which
-    makes the new ones of a round those beyond the last. Each round is written to the shared
-    checkpoint. A cycle adds no new pair and so ends.
+    makes the new ones of a round those beyond the last. Each round is a table in the shared
+    folder. A cycle adds no new pair and so ends.
     """
+    names = [*keys, "ancestor", "descendant"]
     e = edges.select(*keys, F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).where("ancestor is not null and ancestor <> '' and ancestor <> descendant").distinct()
-    known = fresh = checkpoint(e)
+    parts = [written(e)]
+    read = lambda *paths: edges.sparkSession.read.schema(e.schema).parquet(*paths)
     for _ in range(rounds):
-        more = fresh.withColumnRenamed("descendant", "_mid").join(known.withColumnRenamed("ancestor", "_mid"), [*keys, "_mid"]).select(*keys, "ancestor", "descendant").distinct()
-        # renamed, so that the two sides of the union below are told apart
-        fresh = checkpoint(more.join(known, [*keys, "ancestor", "descendant"], "left_anti").select(*[F.col(c).alias(c) for c in (*keys, "ancestor", "descendant")]))
-        if fresh.isEmpty():
+        known, fresh = read(*parts), read(parts[-1])
+        more = fresh.withColumnRenamed("descendant", "_mid").join(known.withColumnRenamed("ancestor", "_mid"), [*keys, "_mid"]).select(*names).distinct()
+        path = written(more.join(known, names, "left_anti"))
+        if read(path).isEmpty():
             break
-        known = checkpoint(known.unionByName(fresh))
+        parts.append(path)
     nodes = edges.select(*keys, F.col(child).alias("ancestor"), F.col(child).alias("descendant")).distinct()
-    return known.unionByName(nodes).distinct()
+    return read(*parts).unionByName(nodes).distinct()
 
 
 def prefix_closure(df: DataFrame, keys: list[str], path: str, node: str) -> DataFrame:

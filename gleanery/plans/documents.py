@@ -254,7 +254,7 @@ def region_closure(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "region").select(node("r", "r_regionkey").alias("child"), F.lit("world").alias("parent"))
     for name, child, parent in (("nation", ("n", "n_nationkey"), ("r", "n_regionkey")), ("supplier", ("s", "s_suppkey"), ("n", "s_nationkey")), ("customer", ("c", "c_custkey"), ("n", "c_nationkey"))):
         e = e.unionByName(table(spark, d, name).select(node(*child).alias("child"), node(*parent).alias("parent")))
-    t = rows.closure(e.withColumn("tree", F.lit(0)), ["tree"], "child", "parent").where("ancestor <> descendant")
+    t = rows.closure(e, [], "child", "parent").where("ancestor <> descendant")
     return t.groupBy("ancestor").agg(F.count("*").alias("n_below"))
 
 
