@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import short_id
+from gleanery.operators.rows import closure
 
 
 def _stretch(text: str, at: int, size: int) -> int:
@@ -119,6 +120,31 @@ def section_chunks(blocks: DataFrame, keys: list[str], order: str, content: str,
     return rows.groupBy(*keys).applyInArrow(run, shape)
 
 
+def section_walk(nodes: DataFrame) -> DataFrame:
+    """Sections of every document in pre-order: (document_url, section_id, walk, depth, n_own, n_children, navigation_hash).
+
+    ``nodes``: document_url, section_id, parent, first (place of its first block), path, n_own. A
+    section comes before those below it, these in the order of their places: the list of the
+    places of a section's ancestors, itself last, sorts that way. It is made from the closure of
+    the tree, so no step goes from node to node. A parent that is no section of the document
+    makes its child a root; the sections of a cycle are in no walk. The navigation text is the
+    heading path and the headings of the children, here as a hash.
+    """
+    own = nodes.select("document_url", "section_id", "first", "path", "n_own", "parent")
+    known = own.select("document_url", F.col("section_id").alias("parent"), F.lit(True).alias("_known"))
+    tree = own.join(known, ["document_url", "parent"], "left").withColumn("parent", F.when(F.col("_known") & (F.col("parent") != F.col("section_id")), F.col("parent"))).drop("_known")
+    pairs = closure(tree, ["document_url"], "section_id", "parent")
+    depth = pairs.groupBy("document_url", F.col("descendant").alias("section_id")).agg((F.count("*") - 1).cast("int").alias("depth"))
+    above = pairs.join(depth.withColumnRenamed("section_id", "ancestor").withColumnRenamed("depth", "_d"), ["document_url", "ancestor"]).join(own.select("document_url", F.col("section_id").alias("ancestor"), F.col("first").alias("_f")), ["document_url", "ancestor"])
+    place = above.groupBy("document_url", F.col("descendant").alias("section_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_d", "_f"))), lambda x: x["_f"]).alias("_place"))  # as long as the tree is deep
+    heading = F.coalesce(F.nullif(F.element_at(F.split("path", r"\|"), -1), F.lit("")), F.col("section_id"))
+    heads = tree.where("parent is not null").groupBy("document_url", F.col("parent").alias("section_id")).agg(F.count("*").alias("n_children"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", heading.alias("h")))), lambda x: F.concat(F.lit("• "), x["h"])), "\n").alias("_heads"))
+    prefix = F.when(F.coalesce("path", F.lit("")) != "", F.concat(F.replace("path", F.lit("|"), F.lit(" > ")), F.lit("\n\n"))).otherwise("")
+    out = own.join(place, ["document_url", "section_id"]).join(depth, ["document_url", "section_id"]).join(heads, ["document_url", "section_id"], "left")
+    walk = F.row_number().over(Window.partitionBy("document_url").orderBy("_place"))
+    return out.select("document_url", "section_id", walk.alias("walk"), "depth", "n_own", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.md5(F.concat(prefix, F.col("_heads")).cast("binary")).alias("navigation_hash"))
+
+
 def reassemble(chunks: DataFrame, document: str, order: str, content: str) -> DataFrame:
     """The chunks of every document in order, joined by a blank line, with their number."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct(order, content))), lambda s: s[content])

@@ -90,6 +90,29 @@ def two_stage(hits: DataFrame, chunks: DataFrame, descendants: DataFrame, query:
     return top_k(both, [query], k, F.col(score).desc(), F.col(item)).select(query, "rank", item, "stage")
 
 
+def sectioned(hits: DataFrame, descendants: DataFrame, query: str, item: str, k: int = 5, section_k: int = 3, least: float = 0.25, weights: tuple[float, ...] = SECTIONED) -> DataFrame:
+    """Two-stage ranking within documents: (query, document_url, rank, item, score, stage).
+
+    ``hits``: query, item, document_url, section_id, chunk_role and the scores v, k and b (vector,
+    keyword, table). Of each query and document the summaries choose sections; each of
+    these and of those below gives 2 k candidates by vector score; a document without any
+    gives 2 k of its own. They are ranked by the weighted sum of the three scores and
+    the bonus of their role (a tenth for summaries, a twentieth for tables). Ties go to the
+    smaller item.
+    """
+    keys = [query, "document_url"]
+    best = [F.col("v").desc(), F.col(item)]
+    chosen = select_sections(hits.where("chunk_role = 'section_summary'"), keys, "section_id", "v", F.col(item), section_k, least)
+    wide = chosen.withColumnRenamed("section_id", "ancestor").join(descendants, ["document_url", "ancestor"]).select(*keys, F.col("descendant").alias("section_id")).distinct()
+    inside = top_k(hits.join(wide, [*keys, "section_id"], "left_semi"), [*keys, "section_id"], 2 * k, *best, name="_p").drop("_p")
+    outside = top_k(hits.join(inside.select(*keys).distinct(), keys, "left_anti"), keys, 2 * k, *best, name="_p").drop("_p")
+    both = inside.withColumn("stage", F.lit("section")).unionByName(outside.withColumn("stage", F.lit("document")))
+    a, b, c, d, e = checked(weights)
+    bonus = F.when(F.col("chunk_role") == "section_summary", 0.1 * d).when(F.col("chunk_role") == "table", 0.05 * e).otherwise(0.0)
+    scored = both.withColumn("score", F.round(F.col("v") * a + F.col("k") * b + F.col("b") * c + bonus, 6))
+    return top_k(scored, keys, k, F.col("score").desc(), F.col(item)).select(*keys, "rank", item, "score", "stage")
+
+
 def refine(queries: DataFrame, query_id: str, text: str, search, least: float, rounds: int, suffixes: tuple[str, ...]) -> DataFrame:
     """Search, score and refine up to ``rounds`` times; only queries below ``least`` go on, each keeps its best round.
 

@@ -10,6 +10,28 @@ from gleanery.operators import chunking, parsing, rows
 from gleanery.plans.registry import query
 from gleanery.sources.tables import spread, table
 
+#: White space as Python's strip reads it, for RE2.
+_BLANK = r"[\t\n\x{0b}\f\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _windows_sql(source: str, size: str, overlap: str, least: int = 80) -> str:
+    """Windows of the texts of ``source`` (document, kind, text) as common table expressions: v has (document, kind, k, piece).
+
+    A window ends at the last space within its size, else at its full size; the next one
+    begins ``overlap`` before that end, or at it where that would not be further on.
+    """
+    end = "case when {b} + size >= n then n when instr(substr(text, cast({b} + 2 as bigint), size - 1), ' ') > 0 then {b} + 1 + length(regexp_extract(substr(text, cast({b} + 2 as bigint), size - 1), '(?s)^(.*) ', 1)) else {b} + size end"
+    following = "case when e - overlap > b then e - overlap else e end"
+    return f"""
+s as (select document, kind, text, cast(length(text) as bigint) as n, cast({size} as bigint) as size, cast({overlap} as bigint) as overlap from ({source}) where length(text) > 0),
+w as (select document, kind, text, n, size, overlap, cast(0 as bigint) as b, cast({end.format(b="0")} as bigint) as e from s
+  union all select document, kind, text, n, size, overlap, {following}, cast({end.format(b=f"({following})")} as bigint) from w where e < n),
+p as (select document, kind, b, regexp_replace(substr(text, cast(b + 1 as bigint), cast(e - b as bigint)), '^{_BLANK}|{_BLANK}$', '', 'g') as piece from w),
+v as (select document, kind, row_number() over (partition by document, kind order by b) - 1 as k, piece from p where length(piece) >= {least})
+"""
+
+
+_CHUNK_ROWS = "select document, cast(k as int) as index, piece as content, case when kind = 'table' then 'table' else 'text' end as chunk_type, substr(sha256(document || '|' || k || '|' || sha256(piece)), 1, 16) as chunk_id from v"
 _SPACE = r"[\s  - 　]+"
 
 
@@ -270,21 +292,37 @@ def prefix_closure(spark: SparkSession, d: str) -> DataFrame:
     return rows.prefix_closure(t, ["document_url"], "section_path_str", "section_id")
 
 
-@query()
+@query("with recursive " + _windows_sql("select distinct cast(doc_id as varchar) as document, 'text' as kind, text from documents where text is not null", "1500", "200") + _CHUNK_ROWS)
 def flat_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Overlapping windows of every document."""
     t = spread(rows.once(table(spark, d, "documents"), "doc_id", "text"))
     return chunking.flat_chunks(t, "doc_id", "text")
 
 
-@query()
+@query("with recursive " + _windows_sql("select distinct block_id as document, coalesce(block_type, '') as kind, content as text from content_blocks where content is not null", "case when kind = 'table' then 4000 else 1500 end", "case when kind = 'table' then 0 else 200 end") + _CHUNK_ROWS)
 def block_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of every block, tables whole or cut without overlap."""
     t = spread(rows.once(table(spark, d, "content_blocks"), "block_id", "content", "block_type"))
     return chunking.flat_chunks(t, "block_id", "content", "block_type")
 
 
-@query()
+@query(
+    """
+with recursive c as (select distinct chunk_id, coalesce(document_url, '') as document_url, coalesce(section_id, '') as section_id, index, coalesce(content, '') as txt, coalesce(chunk_type, '') = 'table' as tab, section_path_str as path from chunks),
+b as (select *, row_number() over (partition by document_url, section_id order by index) as r, cast(length(txt) // 4 as bigint) as s from c),
+h as (select document_url, section_id, case when coalesce(arg_min(path, r), '') <> '' then replace(arg_min(path, r), '|', ' > ') || chr(10) || chr(10) else '' end as head, string_agg(txt, chr(10) || chr(10) order by r) as whole, bool_or(txt <> '') as any_text from b group by all),
+w as (select document_url, section_id, cast(0 as bigint) as r, cast(1 as bigint) as num, cast(0 as bigint) as used, true as vacant, cast(-1 as bigint) as pack from h
+  union all select document_url, section_id, r, case when tab then pack + 1 when txt = '' then num when now >= 400 then pack + 1 else pack end, case when tab then 0 when txt = '' then used when now >= 400 then 0 else now end, case when tab then true when txt = '' then vacant else now >= 400 end, pack
+  from (select b.document_url, b.section_id, b.r, b.tab, b.txt, w.num, w.used, w.vacant,
+    case when b.tab then case when w.vacant then w.num else w.num + 1 end when b.txt = '' then -1 when not w.vacant and w.used + b.s > 800 then w.num + 1 else w.num end as pack,
+    case when not w.vacant and w.used + b.s > 800 then b.s else w.used + b.s end as now
+    from w join b on b.document_url = w.document_url and b.section_id = w.section_id and b.r = w.r + 1)),
+g as (select w.document_url, w.section_id, w.pack, bool_or(b.tab) as tab, string_agg(b.txt, chr(10) || chr(10) order by b.r) as txt from w join b on b.document_url = w.document_url and b.section_id = w.section_id and b.r = w.r where w.pack > 0 group by all),
+o as (select document_url, section_id, cast(0 as bigint) as pack, 'section_summary' as chunk_role, head || substr(whole, 1, 803) as content from h where any_text
+  union all select g.document_url, g.section_id, g.pack, case when g.tab then 'table' else 'content' end, case when g.tab then g.txt else h.head || g.txt end from g join h on h.document_url = g.document_url and h.section_id = g.section_id where not g.tab or regexp_matches(g.txt, '\\S'))
+select document_url, section_id, cast(row_number() over (partition by document_url, section_id order by pack) - 1 as int) as ordinal, chunk_role, content, cast(length(content) // 4 as int) as token_count from o
+"""
+)
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Summary, table and packed content chunks of every section."""
     t = rows.once(table(spark, d, "chunks"), "chunk_id", "document_url", "section_id", "index", "content", "chunk_type", "section_path_str")
@@ -383,7 +421,11 @@ def hash_vectors(spark: SparkSession, d: str) -> DataFrame:
     return t.select("chunk_id", F.round(F.element_at("v", 1), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
-@query()
+@query(
+    "with recursive c as (select distinct chunk_id, document_url, index, content from chunks where content is not null), o as (select document_url as document, 'text' as kind, count(*) as n_chunks, string_agg(content, chr(10) || chr(10) order by index, content) as text from c group by document_url), "
+    + _windows_sql("select document, kind, text from o", "1600", "320")
+    + "select o.document as document_url, o.n_chunks, coalesce(m.n_new, 0) as n_new from o left join (select document, count(*) as n_new from v group by document) m on m.document = o.document"
+)
 def migration(spark: SparkSession, d: str) -> DataFrame:
     """Every document's chunks joined and cut anew: chunks before and after."""
     t = rows.once(table(spark, d, "chunks").where("content is not null"), "chunk_id", "document_url", "index", "content")

@@ -600,7 +600,24 @@ def claim_rows(spark: SparkSession, d: str) -> DataFrame:
 SUFFIXES = ("group results year", "plant town region supplier", "court notice board members")
 
 
-@query()
+def _refined_sql(rounds: int) -> str:
+    """The rounds of refinement one after the other: qN has the open queries of a round, sN their quality."""
+    words = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+    parts = [
+        "t as (select distinct result_id, entity_id, title, snippet from search_results where entity_id is not null and title is not null)",
+        r"x as (select entity_id, regexp_extract_all(lower(snippet), '[\p{L}\p{N}_]+') as w from t where snippet is not null)",
+        "q0 as (select entity_id, arg_min(title, result_id) as query from t group by entity_id)",
+    ]
+    for k in range(rounds):
+        q = words.format("q.query")
+        parts.append(f"s{k} as (select q.entity_id, q.query, {k} as round, coalesce(round(avg(case when x.w is not null then len(list_intersect({q}, x.w)) / len({q}) end), 6), 0) as quality from q{k} q left join x on x.entity_id = q.entity_id group by q.entity_id, q.query)")
+        more = "[" + ", ".join(f"'{w}'" for w in SUFFIXES[k % len(SUFFIXES)].split(" ")) + "]"
+        parts.append(f"q{k + 1} as (select entity_id, query || ' ' || array_to_string(list_filter({more}, lambda z: not list_contains(string_split(lower(query), ' '), z)), ' ') as query from s{k} where quality < 0.4)")
+    union = " union all ".join(f"select * from s{k}" for k in range(rounds))
+    return f"with {', '.join(parts)}, a as ({union}), r as (select *, row_number() over (partition by entity_id order by quality desc, round) as best, count(*) over (partition by entity_id) as rounds from a) select entity_id as query_id, query, quality, round as best_round, rounds from r where best = 1"
+
+
+@query(_refined_sql(3))
 def refine_loop(spark: SparkSession, d: str) -> DataFrame:
     """Queries of titles refined up to three times against their entity's snippets, each with its best round."""
     t = rows.once(table(spark, d, "search_results").where("entity_id is not null and title is not null"), "result_id", "entity_id", "title", "snippet")

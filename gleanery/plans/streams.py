@@ -15,7 +15,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query("select cast(epoch_us(date_trunc('day', ts)) as bigint) as start_us, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Daily counts and totals by event type."""
-    return ev.run_available(ev.windowed(_events(spark, d)), "complete")
+    return ev.run_available(ev.windowed(_events(spark, d)), "update", ("start_us", "event_type"))
 
 
 @query(
@@ -33,9 +33,9 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """
 with g as (select event_id, cast(epoch_us(ts) as bigint) as t, lag(cast(epoch_us(ts) as bigint)) over (partition by user_id, event_type order by ts, event_id) as p from events)
-select event_id, case when p is null then 'miss' when t - p > 604800000000 then 'expired' when t - p > 259200000000 then 'stale' else 'hit' end as status from g
+select event_id, case when p is null or t - p > 604800000000 then 'miss' when t - p > 259200000000 then 'stale' else 'hit' end as status from g
 """
 )
 def stream_access(spark: SparkSession, d: str) -> DataFrame:
-    """Status of every cached access from keyed state."""
+    """Status of every cached access from keyed state that ends after seven days."""
     return ev.run_available(ev.access_status(_events(spark, d), 259_200_000_000, 604_800_000_000), "append")
