@@ -28,17 +28,23 @@ def hybrid(vector: Column, keyword: Column, boost: Column, weights: tuple[float,
     return v * a + k * b + t * c
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, scope: str, query_id: str, item_id: str, vector: str, k: int, block: int = 50_000) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, scope: str, query_id: str, item_id: str, vector: str, k: int, block: int = 50_000, query_block: int = 10_000) -> DataFrame:
     """The k items nearest to each query within its scope, by cosine in double arithmetic: exact, of all items.
 
-    The items of a scope are dealt into blocks of about ``block`` (their number is counted
-    first), so a scope of a third of all rows is many tasks; each block meets the scope's
-    queries once, as one matrix product that keeps k per query. A window picks the k best
-    of the blocks. Null vectors are left out; a vector without length has cosine 0.
+    Each scope's items are dealt into blocks of about ``block`` and its queries into blocks of
+    about ``query_block``, as many as its own numbers ask for (both are counted first), so a
+    scope of a third of all rows is many tasks of bounded size and a small one is a single
+    task; each pair of blocks is one matrix product that keeps k per query. A window picks
+    the k best of the blocks. Null vectors are left out; a vector without length has cosine 0.
     """
-    blocks = max(1, -(-items.count() // block))
-    q = queries.where(F.col(vector).isNotNull()).select(scope, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("_v"))
-    i = items.where(F.col(vector).isNotNull()).select(scope, F.pmod(F.xxhash64(item_id), F.lit(blocks)).cast("int").alias("_block"), F.col(item_id).cast("bigint").alias("item_id"), F.col(vector).cast("array<double>").alias("_v"))
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(scope).alias("_s"), F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).cast("array<double>").alias("_v"))
+    i = items.where(F.col(vector).isNotNull()).select(F.col(scope).alias("_s"), F.col(item_id).cast("bigint").alias("item_id"), F.col(vector).cast("array<double>").alias("_v"))
+    blocks = lambda df, n, name: df.groupBy("_s").agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    sizes = blocks(q, query_block, "_gq").join(blocks(i, block, "_gi"), "_s")  # scopes with both; one row each
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda c, g: F.pmod(F.xxhash64(c), F.col(g)).cast("int")
+    q = q.join(sizes, "_s").select("_s", own("query_id", "_gq").alias("_bq"), upto("_gi").alias("_bi"), "query_id", "_v")
+    i = i.join(sizes, "_s").select("_s", upto("_gq").alias("_bq"), own("item_id", "_gi").alias("_bi"), "item_id", "_v")
 
     def nearest(left, right):
         import numpy as np
@@ -64,7 +70,7 @@ def vector_topk(queries: DataFrame, items: DataFrame, scope: str, query_id: str,
                     scores += x[top].tolist()
         return pa.table({"query_id": pa.array([f[0] for f in found], pa.int64()), "item_id": pa.array([f[1] for f in found], pa.int64()), "score": pa.array(scores, pa.float64())})
 
-    best = q.groupBy(scope, "_block").cogroup(i.groupBy(scope, "_block")).applyInArrow(nearest, "query_id bigint, item_id bigint, score double")
+    best = q.groupBy("_s", "_bq", "_bi").cogroup(i.groupBy("_s", "_bq", "_bi")).applyInArrow(nearest, "query_id bigint, item_id bigint, score double")
     return top_k(best, ["query_id"], k, F.col("score").desc(), F.col("item_id"))
 
 

@@ -57,19 +57,47 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, since: st
     return own.select(*keys, F.col("_at").alias(at), *[F.col(f"_row.{c}").alias(c) for c in extra], name)
 
 
-def nearest_above(df: DataFrame, keys: list[str], order: str, level: str, name: str, most: int = 200) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left rows with what the right side has for their keys; nulls are equal."""
+    other = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(other, on, "left").drop(*[f"_r_{k}" for k in keys])
+
+
+def nearest_above(df: DataFrame, keys: list[str], order: str, level: str, name: str, most: int = 200, coarse: Column | None = None) -> DataFrame:
     """For every row the place of the nearest earlier row of a smaller level, its parent in an outline; null at the top.
 
     One running maximum per level, all in the same sort. The levels are read from the data
-    first; an outline of more than ``most`` different levels raises ValueError.
+    first; an outline of more than ``most`` different levels raises ValueError. With
+    ``coarse`` (stretches in the order of the rows) a key is divided into its stretches, and
+    the last place of each level before a stretch is carried in.
     """
     levels = sorted(r[0] for r in df.select(level).where(F.col(level).isNotNull()).distinct().limit(most + 1).collect())
     if len(levels) > most:
         raise ValueError(f"more than {most} levels in {level}")
-    run = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col(level) == d, F.col(order))).over(run).alias(f"_l{k}") for k, d in enumerate(levels)]
-    above = F.array_max(F.array(*[F.when(F.lit(d) < F.col(level), F.col(f"_l{k}")) for k, d in enumerate(levels)], F.lit(None).cast(df.schema[order].dataType)))
-    return df.select("*", *last).withColumn(name, above).drop(*[f"_l{k}" for k in range(len(levels))])
+    rows, parts = (df, list(keys)) if coarse is None else (df.withColumn("_part", coarse), [*keys, "_part"])
+    at = lambda d: F.when(F.col(level) == d, F.col(order))
+    run = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    wide = rows.select("*", *[F.max(at(d)).over(run).alias(f"_l{k}") for k, d in enumerate(levels)])
+    last = [F.col(f"_l{k}") for k in range(len(levels))]
+    if coarse is not None and levels:
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        ends = rows.groupBy(*parts).agg(*[F.max(at(d)).alias(f"_e{k}") for k, d in enumerate(levels)])
+        wide = _joined(wide, ends.select(*parts, *[F.max(f"_e{k}").over(before).alias(f"_c{k}") for k in range(len(levels))]), parts)
+        last = [F.coalesce(c, F.col(f"_c{k}")) for k, c in enumerate(last)]
+    above = F.array_max(F.array(*[F.when(F.lit(d) < F.col(level), c) for d, c in zip(levels, last)], F.lit(None).cast(df.schema[order].dataType)))
+    return wide.withColumn(name, above).select(*df.columns, name)
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, name: str, coarse: Column) -> DataFrame:
+    """The value of the row before each row of its key, null for the first. A key is divided into stretches; the last value before a stretch is carried in."""
+    rows, parts = df.withColumn("_part", coarse), [*keys, "_part"]
+    own = rows.withColumn("_own", F.lag(F.struct(value)).over(Window.partitionBy(*parts).orderBy(*order)))
+    ends = rows.groupBy(*parts).agg(F.max_by(F.struct(value), F.struct(*order)).alias("_end"))
+    carried = ends.select(*parts, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part")).alias("_before"))
+    return _joined(own, carried, parts).withColumn(name, F.coalesce("_own", "_before")[value]).select(*df.columns, name)
 
 
 def evict(store: DataFrame, gone: DataFrame, document: str) -> DataFrame:
@@ -124,16 +152,21 @@ def running_before(df: DataFrame, keys: list[str], order: list[str], value: str,
     own = F.sum(value).over(Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     carried = rows.groupBy(*parts).agg(F.sum(value).alias("_sum")).select(*parts, before.alias("_before"))
-    both = rows.withColumn("_own", own).join(carried, parts)
+    both = _joined(rows.withColumn("_own", own), carried, parts)
     total = F.when(F.col("_own").isNull() & F.col("_before").isNull(), None).otherwise(F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0)))
     return both.withColumn(name, total).drop("_part", "_own", "_before")
 
 
-def within_budget(df: DataFrame, keys: list[str], order: list, size: str, budget: int) -> DataFrame:
-    """Each row's share of a budget spent in order: (used before, taken, left)."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = F.greatest(F.lit(0), F.least(F.col(size), F.lit(budget) - before))
-    return df.withColumn("used_before", before).withColumn("taken", taken).withColumn("budget_left", F.greatest(F.lit(0), F.lit(budget) - before - F.col("taken")))
+def within_budget(df: DataFrame, keys: list[str], order: list, size: str, budget: int, coarse: Column | None = None) -> DataFrame:
+    """Each row's share of a budget spent in order: (used before, taken, left). With ``coarse`` a key is divided into stretches as in ``running_before``."""
+    if coarse is not None:
+        rows = running_before(df, keys, order, size, "_sum_before", coarse)
+        before = F.coalesce(F.col("_sum_before"), F.lit(0))
+    else:
+        rows = df
+        before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.greatest(F.lit(0), F.least(F.col(size), F.lit(budget) - F.col("used_before")))
+    return rows.withColumn("used_before", before).withColumn("taken", taken).withColumn("budget_left", F.greatest(F.lit(0), F.lit(budget) - F.col("used_before") - F.col("taken"))).drop("_sum_before")
 
 
 def upsert_documents(store: DataFrame, new: DataFrame, document: str, key: str) -> DataFrame:

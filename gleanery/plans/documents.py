@@ -198,7 +198,7 @@ select a.chunk_id, (select max(b.index) from c b where b.document_url = a.docume
 def outline_parents(spark: SparkSession, d: str) -> DataFrame:
     """For every chunk the nearest earlier chunk of a smaller level in its document."""
     t = rows.once(table(spark, d, "chunks"), "chunk_id", "document_url", "index", "section_level")
-    return rows.nearest_above(t, ["document_url"], "index", "section_level", "parent_index").select("chunk_id", "parent_index")
+    return rows.nearest_above(t, ["document_url"], "index", "section_level", "parent_index", coarse=F.floor(F.col("index") / 64)).select("chunk_id", "parent_index")
 
 
 @query(

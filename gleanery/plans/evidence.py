@@ -475,7 +475,7 @@ select chunk_id, cast(before as bigint) as used_before, cast(greatest(0, least(n
 def char_budget(spark: SparkSession, d: str) -> DataFrame:
     """Characters each chunk gets of its document's budget, in order."""
     t = table(spark, d, "chunks").where("content is not null").select("chunk_id", "document_url", "index", F.char_length("content").cast("bigint").alias("n")).distinct()
-    return rows.within_budget(t, ["document_url"], ["index", "chunk_id"], "n", 6000).select("chunk_id", "used_before", F.col("taken").cast("bigint").alias("taken"), "budget_left")
+    return rows.within_budget(t, ["document_url"], ["index", "chunk_id"], "n", 6000, F.floor(F.col("index") / 64)).select("chunk_id", "used_before", F.col("taken").cast("bigint").alias("taken"), "budget_left")
 
 
 @query(
@@ -499,9 +499,8 @@ select event_id, case when p is null then 'miss' when t - p > 604800000000 then
 )
 def cache_status(spark: SparkSession, d: str) -> DataFrame:
     """Each access as a hit, stale after three days, expired after seven, or a first miss."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    g = table(spark, d, "events").select("event_id", (t - F.lag(t).over(w)).alias("gap"))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    g = rows.previous(e, ["user_id", "event_type"], ["t", "event_id"], "t", "p", F.floor(F.col("t") / 604_800_000_000)).select("event_id", (F.col("t") - F.col("p")).alias("gap"))
     return g.select("event_id", F.when(F.col("gap").isNull(), "miss").when(F.col("gap") > 604800000000, "expired").when(F.col("gap") > 259200000000, "stale").otherwise("hit").alias("status"))
 
 
@@ -511,9 +510,10 @@ select event_id, coalesce(max(case when event_type = 'error' then 1 else 0 end)
 """
 )
 def circuit_breaker(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a user's circuit was open at each event: after the first error it stays open."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.max(F.col("event_type") == "error").over(w), F.lit(False)).alias("broken"))
+    """Whether a user's circuit was open at each event: after the first error it stays open. The first error is one row per user, found by a partial aggregate; no sort."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    first = e.where("event_type = 'error'").groupBy("user_id").agg(F.min("at").alias("first"))
+    return e.join(first, "user_id", "left").select("event_id", F.coalesce(F.col("at") > F.col("first"), F.lit(False)).alias("broken"))
 
 
 @query(

@@ -31,6 +31,12 @@ def test_as_of_equals_brute_force(spark):
 
 def test_nearest_above(spark):
     d = spark.createDataFrame([("u", 0, 0), ("u", 1, 1), ("u", 2, 2), ("u", 3, 1), ("u", 4, 3), ("w", 5, 2)], "u string, i int, level int")
+    rng = random.Random(5)
+    flat = [(rng.choice("uv"), k, rng.choice([0, 1, 2, 3, 9, None])) for k in range(80)]
+    df = spark.createDataFrame(flat, "u string, i int, level int")
+    want = {i: max((j for v, j, m in flat if v == u and j < i and m is not None and level is not None and m < level), default=None) for u, i, level in flat}
+    for coarse in (None, F.floor(F.col("i") / 7), F.col("i")):
+        assert {r.i: r.p for r in rows.nearest_above(df, ["u"], "i", "level", "p", coarse=coarse).collect()} == want
     assert out(rows.nearest_above(d, ["u"], "i", "level", "p").select("i", "p")) == [(0, None), (1, 0), (2, 1), (3, 0), (4, 3), (5, None)]
 
 
@@ -46,6 +52,7 @@ def test_closures(spark):
 def test_budget_and_upsert(spark):
     d = spark.createDataFrame([("k", 1, 40), ("k", 2, 70), ("k", 3, 5)], "k string, o int, n int")
     assert out(rows.within_budget(d, ["k"], ["o"], "n", 100).select("o", "used_before", "taken", "budget_left")) == [(1, 0, 40, 60), (2, 40, 60, 0), (3, 110, 0, 0)]
+    assert out(rows.within_budget(d, ["k"], ["o"], "n", 100, F.col("o")).select("o", "used_before", "taken", "budget_left")) == [(1, 0, 40, 60), (2, 40, 60, 0), (3, 110, 0, 0)]
     old = spark.createDataFrame([("d1", 1), ("d1", 2), ("d2", 3)], "doc string, id int")
     new = spark.createDataFrame([("d1", 2), ("d1", 9)], "doc string, id int")
     assert out(rows.upsert_documents(old, new, "doc", "id"), "id") == [("d1", 2), ("d2", 3), ("d1", 9)]
@@ -131,8 +138,8 @@ def test_vector_topk_equals_brute_force(spark):
     vectors = [(i, int(i % 3 == 0), rng.normal(size=5).round(1).tolist()) for i in range(80)] + [(90, 0, None), (91, 0, [0.0] * 5)]
     items = spark.createDataFrame(vectors, "id bigint, s int, v array<double>")
     unit = {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in vectors if v}
-    for block in (1000, 9):
-        got = retrieval.vector_topk(items.where("id % 10 = 0"), items, "s", "id", "id", "v", 4, block)
+    for block, of in ((1000, 1000), (9, 1000), (9, 2), (1000, 3)):
+        got = retrieval.vector_topk(items.where("id % 10 = 0"), items, "s", "id", "id", "v", 4, block, of)
         want = []
         for i, s, v in vectors:
             if i % 10 == 0 and v:
@@ -164,3 +171,16 @@ def test_running_before_equals_brute_force(spark):
     for r in got.collect():
         earlier = [v for i, k, t, v in data if k == r.k and (t, i) < (r.t, r.id) and v is not None]
         assert r.before == (sum(earlier) if earlier else None)
+
+
+def test_previous_values_over_stretches(spark):
+    rng = random.Random(8)
+    data = [(i, rng.choice(["a", "b", None]), rng.randint(0, 30), rng.choice([None, i])) for i in range(90)]
+    df = spark.createDataFrame(data, "id int, k string, t int, v int")
+    for width in (1, 7, 1000):
+        got = {r.id: r.p for r in rows.previous(df, ["k"], ["t", "id"], "v", "p", F.floor(F.col("t") / width)).collect()}
+        want = {}
+        for k in ("a", "b", None):
+            mine = sorted(((t, i, v) for i, kk, t, v in data if kk == k), key=lambda x: x[:2])
+            want |= {i: (mine[n - 1][2] if n else None) for n, (_, i, _) in enumerate(mine)}
+        assert got == want
