@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -69,7 +70,13 @@ class ItemIndex:
         self.upper = np.array([max(v) for v in self.impacts] or [0.0])
 
     def search(self, terms: set[int]) -> list[int]:
-        """Items whose score for a set of words is 1 or more: WAND, the pivot checked against the blocks' maxima before it is scored."""
+        """Items whose score for a set of words is 1 or more, by block-max WAND.
+
+        Lists are kept by their next item. The pivot is the first item at which the largest
+        impacts of the lists up to it reach 1. If the maxima of the blocks it would stand in
+        don't, none of the items up to the end of the first of these blocks (or to the next
+        list's item) can: the lists go on behind it, by binary search.
+        """
         lists = [[self.items[t][0], 0, t] for t in terms]
         found, size = [], self.block
         while lists:
@@ -85,27 +92,25 @@ class ItemIndex:
             item = lists[pivot][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
-            tight = sum(self.block_max[t][self._seek(t, a, item) // size] for _, a, t in lists[: pivot + 1] if self._seek(t, a, item) < len(self.items[t]))
-            score = 0.0
+            tight, end = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else 1 << 62
+            for x in lists[: pivot + 1]:
+                p = self.items[x[2]]
+                x[1] = bisect_left(p, item, x[1])
+                if x[1] < len(p):
+                    tight += self.block_max[x[2]][x[1] // size]
+                    end = min(end, p[min((x[1] // size + 1) * size, len(p)) - 1] + 1)
             if tight >= 1 - _EPS:
-                for _, a, t in lists[: pivot + 1]:
-                    p = self._seek(t, a, item)
-                    if p < len(self.items[t]) and self.items[t][p] == item:
-                        score += self.impacts[t][p]
+                score = sum(self.impacts[t][a] for _, a, t in lists[: pivot + 1] if a < len(self.items[t]) and self.items[t][a] == item)
                 if score >= 1 - _EPS:
                     found.append(item)
+                end = item + 1
             for x in lists[: pivot + 1]:
-                x[1] = self._seek(x[2], x[1], item + 1)
-                x[0] = self.items[x[2]][x[1]] if x[1] < len(self.items[x[2]]) else -1
+                p = self.items[x[2]]
+                x[1] = bisect_left(p, end, x[1])
+                x[0] = p[x[1]] if x[1] < len(p) else -1
             lists = [x for x in lists if x[0] >= 0]
         return found
 
-    def _seek(self, t: int, at: int, item: int) -> int:
-        p = self.items[t]
-        while at < len(p) and p[at] < item:
-            at += 1
-        return at
-
     def leaks(self, run: list[str]) -> set[int]:
         """Items of which ``span`` consecutive words stand in a run of words.
 

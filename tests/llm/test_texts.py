@@ -41,6 +41,21 @@ def test_leaks_equal_brute_force(spark, block_chars):
     assert leakage.find_leaks(d, "doc_id", "text", e.limit(0), "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 5, 32])
+def test_block_max_search_equals_scoring_all_items(block):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(30)]
+    items = [(i, " ".join(rng.choice(words[: rng.choice((8, 30))]) for _ in range(rng.randint(6, 30)))) for i in range(120)]
+    ix = leakage.ItemIndex(items, 6, block)
+    for _ in range(200):
+        terms = {rng.randrange(len(ix.items)) for _ in range(rng.randint(1, 12))}
+        score: dict = {}
+        for t in terms:
+            for k, v in zip(ix.items[t], ix.impacts[t]):
+                score[k] = score.get(k, 0.0) + v
+        assert ix.search(set(terms)) == sorted(k for k, v in score.items() if v >= 1 - 1e-9)
+
+
 def test_long_text_is_read_whole():
     text = "filler word " * 3000 + "one two three four five six seven eight nine ten eleven twelve" + " tail" * 3000
     runs = list(leakage.word_runs(text, 11, size=997))
