@@ -249,6 +249,12 @@ def detail_counts(text: Column) -> tuple[Column, Column, Column]:
     return mails, accounts, F.regexp_count(text, F.lit(_INSURANCE)) - F.regexp_count(text, F.lit(_NO_PREFIX))
 
 
+def cut(text: Column, most: int, mark: str = "") -> Column:
+    """The first ``most`` characters of a text, with a mark where more were there."""
+    head = F.left(text, F.lit(most))
+    return F.concat(head, F.when(F.char_length(text) > most, mark).otherwise("")) if mark else head
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Cosine held to 0 and above, as a score."""
     return F.greatest(F.lit(0.0), cosine(a, b))

@@ -42,6 +42,12 @@ def message_kinds(messages: Column, kinds: list[tuple[str, str]]) -> Column:
     return F.transform(messages, kind)
 
 
+def gate(kinds: Column, hard: tuple[str, ...], cost: float) -> tuple[Column, Column]:
+    """Whether an array of message kinds fails (one is hard), and the score it leaves: 0 where it fails, else 1 less a cost for each, at least 0."""
+    failed = F.exists(kinds, lambda k: k.isin(*hard))
+    return failed, F.when(failed, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - F.size(kinds) * cost))
+
+
 def tagged(df: DataFrame, tag: str, value: str, schemas: dict[str, str]) -> DataFrame:
     """JSON values of several shapes as one column per shape, only that of the row's tag filled."""
     cols = [F.when(F.col(tag) == name, typed(F.col(value), schema)).alias(name) for name, schema in schemas.items()]

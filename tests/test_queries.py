@@ -1,7 +1,7 @@
 import pytest
 from conftest import compare
 
-from gleanery.plans import documents, evidence, pipeline, registry, streams  # noqa: F401
+from gleanery.plans import documents, evidence, pipeline, registry, reports, streams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
