@@ -34,7 +34,8 @@ MESSAGE = (
 )
 #: Furniture of pages that may read like sentences.
 NOTICE = r"cookies?\b|privacy|newsletter|rights reserved|all rights|sign up|subscribe|reproduction|consent\b|adverts?\b|advertis|liability for|no advice|forward-looking|may prove wrong|terms of use|continue reading|read more|maybe you meant|try one of these|browse now|©|\(c\) \d|copyright"
-#: What filler is made of.
+#: What filler is made of: letters of which some stand in every phrase, and the phrases.
+FILLER_LETTERS = ("lorem ipsum", "dolor sit amet", "sample text", "xxx", "text goes here")
 FILLER = r"lorem ipsum|dolor sit amet|(?:sample text\W+){2}|(?:\bxxx\W*){2}|text goes here"
 
 
@@ -157,15 +158,19 @@ class _Filler:
         self.words, self.known = words, {}
 
     def __call__(self, line: str) -> bool:
-        if _FILL.search(line):
-            return True
+        low = line.lower()
+        for letters in FILLER_LETTERS:  # a plain search is far faster than that for the phrases
+            if letters in low:
+                if _FILL.search(line):
+                    return True
+                break
         if not self.words:
             return False
         import xxhash
 
         if len(self.known) > 200_000:
             self.known.clear()
-        known, hit, own = self.known, 0, set(_WORDS.findall(line.lower()))
+        known, hit, own = self.known, 0, set(_WORDS.findall(low))
         for w in own:
             k = known.get(w)
             if k is None:
