@@ -126,14 +126,43 @@ def html_headings(spark: SparkSession, d: str) -> DataFrame:
     return x.select("fetch_id", "position", F.col("z.l").cast("int").alias("level"), F.trim(F.regexp_replace(F.regexp_replace("z.h", "<[^>]*>", " "), r"\s+", " ")).alias("heading"))
 
 
-@query()
+#: Blocks of pages in SQL: scripts go, tables and headings are cut out, the rest falls into paragraphs that are joined until they have 80 characters.
+_BLOCKS_SQL = r"""
+b as (select distinct cast(fetch_id as varchar) as id, regexp_replace(body, '(?is)<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'g') as body from cached_fetches where body is not null),
+c as (select id, string_split(regexp_replace(body, '(?is)(<table\b.*?</table>|<h[1-6]\b[^>]*>.*?</h[1-6]>)', chr(1) || '\1' || chr(1), 'g'), chr(1)) as cs from b),
+u as (select id, unnest(cs) as piece, unnest(range(1, len(cs) + 1)) as no from c),
+k as (select id, no, piece, no % 2 = 0 as whole, regexp_matches(piece, '(?i)^<table') and no % 2 = 0 as tab from u),
+flat as (select id, no, tab, trim(regexp_replace(regexp_replace(piece, '<[^>]+>', ' ', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g')) as txt, piece from k where whole),
+cells as (select id, no, txt, tab, list_filter(list_transform(regexp_extract_all(piece, '(?is)<tr\b[^>]*>(.*?)</tr>', 1), lambda r: array_to_string(list_transform(regexp_extract_all(r, '(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'))), ' | ')), lambda r: r <> '') as trs from flat),
+fixed as (select id, no, 0 as sub, case when tab then 'table' else 'heading' end as block_type, case when tab and len(trs) > 0 then array_to_string(trs, chr(10)) else txt end as content from cells),
+loose as (select id, no, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(piece, '(?i)</?(?:p|div|br|li|ul|ol|section|article|header|footer|blockquote|pre|hr)\b[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', ' ', 'g'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') as txt from k where not whole),
+lines as (select id, no, list_filter(list_transform(regexp_split_to_array(txt, '\r\n|[\n\x{0b}\f\r\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(regexp_replace(x, ' {2,}', ' ', 'g'), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') as ps from loose),
+fold as (select id, no, ps, 1 as i, 1 as sub, cast(length(ps[1]) as bigint) as used from lines where len(ps) > 0
+  union all select id, no, ps, i + 1, case when used >= 80 then sub + 1 else sub end, case when used >= 80 then length(ps[i + 1]) else used + 2 + length(ps[i + 1]) end from fold where i < len(ps)),
+joined as (select id, no, sub, string_agg(ps[i], chr(10) || chr(10) order by i) as content from fold group by all),
+kinds as (select id, no, sub, content, string_split(content, chr(10)) as ls from joined),
+made as (select id, no, sub, case when len(list_filter(ls, lambda x: x[1] = '|' and instr(substr(x, 3), '|') > 0)) >= 2 or len(list_filter(ls, lambda x: instr(substr(x, 2), chr(9)) > 0 and instr(substr(x, 2), chr(9)) < length(x) - 1)) >= 2
+    or (len(list_filter(ls, lambda x: x[1] = '|' and instr(substr(x, 3), '|') > 0)) >= 1 and len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[|:\-][|: \-]*$'))) >= 1) then 'table' else 'text' end as block_type, content from kinds
+  union all select id, no, sub, block_type, content from fixed where content <> ''),
+blocks as (select id, cast(row_number() over (partition by id order by no, sub) - 1 as int) as position, block_type, content from made)
+"""
+
+
+@query("with recursive " + _BLOCKS_SQL + "select id as fetch_id, position, block_type, content from blocks")
 def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every page: headings, tables and joined paragraphs in order."""
     t = spread(rows.once(table(spark, d, "cached_fetches"), "fetch_id", "body"))
     return parsing.extract_blocks(t, "fetch_id", "body").withColumnRenamed("url", "fetch_id")
 
 
-@query()
+@query(
+    "with recursive "
+    + _BLOCKS_SQL
+    + """, o as (select *, sum(case when block_type = 'heading' then 1 else 0 end) over (partition by id order by position) as section from blocks),
+g as (select id as url, cast(section as bigint) as section, max(case when block_type = 'heading' then content end) as heading, count(*) filter (where block_type <> 'heading') as n_blocks from o group by all)
+select url, section, heading, case when section = 0 then 0 else 1 end as level, n_blocks, substr(sha256(url || '|' || section || '|' || coalesce(heading, '')), 1, 16) as section_id from g
+"""
+)
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     """Section tree of every page."""
     t = spread(rows.once(table(spark, d, "cached_fetches"), "fetch_id", "body"))
