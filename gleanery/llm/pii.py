@@ -358,7 +358,7 @@ def _generated(rng: random.Random):
         # other details
         lambda: ["Call ", T, " for more."], lambda: ["tel ", T], lambda: ["tel ", T, f" {rng.randint(11, 999)} {stem().lower()} people came, and {d(2)} left."], lambda: ["Send it to ", S, f", {town()}, or to ", E, "."], lambda: ["Mail ", E, " or ring ", T, "."], lambda: [f"{rng.choice(('Card', 'ID', 'Document', 'SSN', 'Person no.', 'Owner'))} ", N, rng.choice((" was found.", "; home ", " is valid, says the clerk."))], lambda: [f"{stem().title()} {stem().lower()}, ID ", N, ", phone ", T, "."], lambda: ["The number ", N, " is that of a person; home ", S, "."], lambda: ["Goods go to ", S, " only."], lambda: ["Residence: ", S, ". ", f"{stem()} stayed."], lambda: ["They live at ", S, "."], lambda: ["Passport ", N, " and tax number ", N, "."], lambda: ["Contact: ", E, " / ", T, "."],
         # none
-        lambda: [f"{firm()} {did()} {thing()}."] , lambda: [f"{firm()} {did()} {thing()} near {place()}."], lambda: [f"{firm()} {did()} {d(3)} {stem().lower()} units in {rng.choice(months)} {year()} for {d(3)}.{d(1)} million."], lambda: [f"In {rng.choice(months)} {year()}, {firm()} moved to {place()}, where {d(3)} people work."], lambda: [f"About {firm()}\n"], lambda: [f"{place()}: {stem().lower()} sold\n"], lambda: [f"{stem().title()} {stem().lower()} for {firm()}\n"], lambda: [f"Why the {stem().lower()} of {place()} matters\n"], lambda: [f"The talks in {place()} with {firm()} ended."], lambda: [f"{rng.choice(('Since', 'Under', 'While', 'After', 'Once'))} {firm()} {did()} {thing()}, {firm()} {did()} {thing()}."], lambda: [f"The {place()} {stem().lower()} and the {stem()} {stem()} {rng.choice(('line', 'plant', 'index', 'fund', 'prize'))} grew."], lambda: [f"It was made by {firm()} for {firm()}, a maker in {place()}, {place()}."], lambda: [f"{firm()}, {rng.choice(('a', 'the'))} {rng.choice(('maker', 'firm', 'lender', 'grower'))} of {thing()}, {did()} {thing()}."],
+        lambda: [f"{firm()} {did()} {thing()}."] , lambda: [f"{firm()} {did()} {thing()} near {place()}."], lambda: [f"{firm()} {did()} {d(3)} {stem().lower()} units in {rng.choice(months)} {year()} for {d(3)}.{d(1)} million."], lambda: [f"In {rng.choice(months)} {year()}, {firm()} moved to {place()}, where {d(3)} people work."], lambda: [f"About {firm()}\n"], lambda: [f"{place()}: {stem().lower()} sold\n"], lambda: [f"{stem().title()} {stem().lower()} for {firm()}\n"], lambda: [f"Why the {stem().lower()} of {place()} matters\n"], lambda: [f"The talks in {place()} with {firm()} ended."], lambda: [f"{rng.choice(('Since', 'Under', 'While', 'After', 'Once'))} {firm()} {did()} {thing()}, {firm()} {did()} {thing()}."], lambda: [f"The {place()} {stem().lower()} and the {stem()} {stem()} {rng.choice(('line', 'plant', 'index', 'fund', 'prize'))} grew."], lambda: [f"It was made by {firm()} for {firm()}, a maker in {place()}, {place()}."], lambda: [f"{rng.choice(('Earlier', 'Later', 'Today', 'Elsewhere', 'Overall', 'Recently', 'Instead', 'Abroad'))}, {firm()} {did()} {thing()}."], lambda: [f"{rng.choice(('By', 'From', 'Witness', 'Signature', 'Name'))}: ", title(), P, f" {rng.choice(('Money', 'Work', 'Talks', 'Prices', 'Rent', 'Repairs', 'Letters', 'Nothing', 'Plans', 'Goods', 'Trade'))} {rng.choice(('on', 'in', 'for', 'with', 'came', 'from', 'was'))} {stem().lower()} {thing()}."], lambda: [f"{firm()}, {rng.choice(('a', 'the'))} {rng.choice(('maker', 'firm', 'lender', 'grower'))} of {thing()}, {did()} {thing()}."],
         lambda: [f"The ship {ship()} left {place()}; the {ship()} is late."], lambda: [f"{listed()} is the name of the {stem()} vessel."], lambda: [f"{listed()} {rng.choice(('Holdings', 'Foods', 'Shipping', 'Road', 'Bank', 'Street', 'Bridge', 'Island'))} met {firm()} in {place()}."], lambda: [f"{listed()} {stem()} {trade()} {did()} {thing()}."], lambda: [f"The {stem()} Street index closed at {d(4)}.{d(2)} points."], lambda: [f"Between {d(2)} and {d(3)} cars use the {stem()} Road bypass."], lambda: [f"They met at the {stem()} Mill on {stem()} Lane, then went home."], lambda: [f"The {rng.choice(('Ministry', 'Institute', 'University', 'Court', 'Port'))} of {place()} {did()} {thing()}."], lambda: [f"{stem()} {rng.choice(('University', 'Institute', 'Court', 'Council', 'Hospital'))} {did()} {thing()}."],
         lambda: [f"Invoice {d(3)}-{d(3)}-{d(5)} was paid in {year()}."], lambda: [f"Filing no. {d(4)}-{d(3)}-{d(2)} covers {d(1)},{d(3)},{d(3)} shares."], lambda: [f"Order {d(8)} left on {year()}-0{rng.randint(1, 9)}-{d(2)}."], lambda: [f"It ended on {year()}-0{rng.randint(1, 9)}-{d(2)}."], lambda: [f"Output rose from {d(2)} {d(4)} to {d(2)} {d(4)} tonnes."], lambda: [f"Version {d(1)}.{d(2)}.{d(1)} runs at {d(3)}.{d(3)}.{d(2)}.{d(1)}."], lambda: [f"The handle @{stem().lower()} was given up."], lambda: [f"ISBN 978-{d(1)}-{d(2)}-{d(6)}-{d(1)} sold {d(3)},{d(3)} copies."], lambda: [f"Account {d(4)} {d(4)} {d(4)} {d(4)} was closed; see table {d(1)}.{d(2)}."], lambda: [f"{firm()} {rng.choice(('bid', 'sold', 'made', 'shipped', 'held'))} {d(3)} {d(3)} {d(3)} {rng.choice(('units', 'shares', 'parts', 'tonnes', 'bottles'))}."], lambda: [f"Sales came to {d(3)} {d(3)} {d(3)} in {year()}."], lambda: [f"Batch {up()}{up()}{d(5)} of {stem()} No. {d(6)} was tested."],
     )
