@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleanery.functions import text as fx
 from gleanery.operators import chunking, folds, parsing, rows
 from gleanery.operators import retrieval as rt
-from gleanery.plans.evidence import _ROUTED, _hits
+from gleanery.plans.documents import _BLOCKS_SQL
+from gleanery.plans.evidence import _hits
 from gleanery.plans.registry import query
 from gleanery.sources.responses import response_rows
 from gleanery.sources.tables import spread, table
@@ -381,7 +382,29 @@ def violation_set(spark: SparkSession, d: str) -> DataFrame:
     return t.where("blocked or audited").select("fetch_id", "blocked", "audited").distinct()
 
 
-@query()
+#: Paragraphs of plain texts parted by empty lines and joined until they have 80 characters, in SQL, after the blocks of pages.
+_PLAIN_SQL = r"""
+pb as (select distinct cast(fetch_id as varchar) as id, body from cached_fetches where body is not null and not regexp_matches(lower(trim(split_part(coalesce(content_type, ''), ';', 1))), '^(text/html|application/xhtml)')),
+pl as (select id, list_filter(list_transform(regexp_split_to_array(body, '\n[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]*\n'), lambda x: regexp_replace(x, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '') as ps from pb),
+pf as (select id, ps, 1 as i, 1 as sub, cast(length(ps[1]) as bigint) as used from pl where len(ps) > 0
+  union all select id, ps, i + 1, case when used >= 80 then sub + 1 else sub end, case when used >= 80 then length(ps[i + 1]) else used + 2 + length(ps[i + 1]) end from pf where i < len(ps)),
+pj as (select id, sub, string_agg(ps[i], chr(10) || chr(10) order by i) as content from pf group by all),
+pk as (select id, sub, content, string_split(content, chr(10)) as ls from pj),
+pm as (select id, sub, content, case when len(list_filter(ls, lambda x: x[1] = '|' and instr(substr(x, 3), '|') > 0)) >= 2 or len(list_filter(ls, lambda x: instr(substr(x, 2), chr(9)) > 0 and instr(substr(x, 2), chr(9)) < length(x) - 1)) >= 2
+    or (len(list_filter(ls, lambda x: x[1] = '|' and instr(substr(x, 3), '|') > 0)) >= 1 and len(list_filter(ls, lambda x: regexp_matches(x, '^[ \t]*[|:\-][|: \-]*$'))) >= 1) then 'table' else 'text' end as block_type from pk)
+"""
+
+
+@query(
+    "with recursive "
+    + _BLOCKS_SQL
+    + ","
+    + _PLAIN_SQL
+    + """, m as (select distinct cast(fetch_id as varchar) as id, regexp_extract(lower(trim(split_part(coalesce(content_type, ''), ';', 1))), '^(text/html|application/xhtml)', 1) as parser from cached_fetches)
+select b.id as fetch_id, m.parser, b.position, b.block_type, b.content from blocks b join m on m.id = b.id where m.parser <> ''
+union all select id, '', cast(row_number() over (partition by id order by sub) - 1 as int), block_type, content from pm
+"""
+)
 def parsed_documents(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every fetch by the parser its type selects."""
     t = spread(rows.once(table(spark, d, "cached_fetches"), "fetch_id", "content_type", "body"))
