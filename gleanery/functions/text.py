@@ -164,6 +164,29 @@ def url_safe(url: Column) -> Column:
     return F.coalesce(scheme.isin("http", "https") & public, F.lit(False))
 
 
+def hops_safe(hops: Column, most: int = 10) -> Column:
+    """Whether a request and its redirects, an array of addresses in order, may be followed: at most ``most`` redirects, every address safe; nulls are left out, an empty list is not safe."""
+    return F.coalesce((F.size(hops) > 0) & (F.size(hops) <= most + 1) & F.forall(F.filter(hops, lambda u: u.isNotNull()), url_safe), F.lit(False))
+
+
+#: Character sets that are read, by the names pages give them; others are read as UTF-8.
+CHARSETS = {"utf-8": "UTF-8", "utf8": "UTF-8", "us-ascii": "US-ASCII", "ascii": "US-ASCII", "iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "utf-16": "UTF-16"}
+
+
+def charset(content_type: Column) -> Column:
+    """The character set a type of content names, UTF-8 where it names none that is known."""
+    named = F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), "(?i)charset\\s*=\\s*[\"']?([\\w-]+)", 1))
+    out = F.lit("UTF-8")
+    for name, known in CHARSETS.items():
+        out = F.when(named == name, known).otherwise(out)
+    return out
+
+
+def decoded(body: Column, content_type: Column) -> Column:
+    """The bytes of a body as text, by the character set of its type."""
+    return F.call_function("decode", body, charset(content_type))
+
+
 def short_id(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-256 of parts joined by pipes."""
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)

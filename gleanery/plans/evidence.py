@@ -164,23 +164,33 @@ def first_match(spark: SparkSession, d: str) -> DataFrame:
     return a.join(f, "url", "left").select("assessment_id", "fetch_id", F.col("fetch_id").isNotNull().alias("fetched"))
 
 
+# Authority of known domains and of all others; then those of the test tables' own domains.
+AUTHORITY = {"microsoft.com": 0.95, "sec.gov": 0.98, "reuters.com": 0.85, "wikipedia.org": 0.45}
+OTHERS = 0.3
+TEST_AUTHORITY = {"example": 0.6, "test": 0.5}
+
+
+def authority_of(rows_: DataFrame, key: str, url: str, known: dict[str, float], others: float = OTHERS) -> DataFrame:
+    """(key, authority): that of the longest known domain that is the address's host or a parent of it, by equality joins on the host's own suffixes."""
+    listed = rows_.sparkSession.createDataFrame(list(known.items()), "domain string, authority double")  # a fixed table
+    c = rows_.select(key, F.split(fx.host(F.col(url)), r"\.").alias("p"))
+    n = F.size("p")
+    suffix = c.select(key, F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice("p", k, n), "."))).alias("domain"))
+    hit = suffix.join(F.broadcast(listed), "domain").groupBy(key).agg(F.max_by("authority", F.length("domain")).alias("authority"))
+    return rows_.select(key).join(hit, key, "left").select(key, F.coalesce("authority", F.lit(others)).alias("authority"))
+
+
 @query(
     """
 with c as (select distinct claim_id, source_url from fact_claims),
-h as (select claim_id, regexp_replace(regexp_extract(lower(source_url), '^[a-z]+://([^/:?#]*)', 1), '^www[.]', '') as host from c)
-select claim_id, cast(case when host = 'sec.gov' or ends_with(host, '.sec.gov') then 0.98 when host = 'reuters.com' or ends_with(host, '.reuters.com') then 0.85 when host = 'wikipedia.org' or ends_with(host, '.wikipedia.org') then 0.45
-  when ends_with(host, '.example') then 0.6 when ends_with(host, '.test') then 0.5 else 0.3 end as double) as authority from h
+h as (select claim_id, regexp_replace(regexp_extract(lower(source_url), '^[a-z]+://([^/:?#]*)', 1), '^www[.]', '') as host from c),
+k as (select * from (values ('microsoft.com', 0.95), ('sec.gov', 0.98), ('reuters.com', 0.85), ('wikipedia.org', 0.45), ('example', 0.6), ('test', 0.5)) t(domain, authority))
+select h.claim_id, cast(coalesce(arg_max(k.authority, length(k.domain)), 0.3) as double) as authority from h left join k on h.host = k.domain or ends_with(h.host, '.' || k.domain) group by h.claim_id
 """
 )
 def source_authority(spark: SparkSession, d: str) -> DataFrame:
-    """Authority of every claim's source: the longest listed domain that is its host or a parent of it, by equality joins on the host's own suffixes."""
-    # Authority of known domains.
-    known = spark.createDataFrame([("sec.gov", 0.98), ("reuters.com", 0.85), ("wikipedia.org", 0.45), ("example", 0.6), ("test", 0.5)], "domain string, authority double")
-    c = rows.once(table(spark, d, "fact_claims"), "claim_id", "source_url").select("claim_id", F.split(fx.host(F.col("source_url")), r"\.").alias("p"))
-    n = F.size("p")
-    suffix = c.select("claim_id", F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice("p", k, n), "."))).alias("domain"))
-    hit = suffix.join(F.broadcast(known), "domain").groupBy("claim_id").agg(F.max_by("authority", F.length("domain")).alias("authority"))
-    return c.select("claim_id").join(hit, "claim_id", "left").select("claim_id", F.coalesce("authority", F.lit(0.3)).alias("authority"))
+    """Authority of every claim's source."""
+    return authority_of(rows.once(table(spark, d, "fact_claims"), "claim_id", "source_url"), "claim_id", "source_url", {**AUTHORITY, **TEST_AUTHORITY})
 
 
 @query(

@@ -180,3 +180,33 @@ def trace_summary(spark: SparkSession, d: str) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_type", "n"))), lambda x: F.concat(x["event_type"], F.lit(": "), x["n"].cast("string"))), ", ")
     g = kinds.groupBy("day").agg(F.sum("n").alias("n_spans"), F.count("*").alias("n_kinds"), F.min("a").alias("began_us"), (F.max("b") - F.min("a")).alias("took_us"), F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.col("n"))), F.lit(0)).alias("n_errors"), F.round(F.max("v"), 4).alias("longest"), listed.alias("by_kind"))
     return g.select(F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("trace"), "n_spans", "n_kinds", "began_us", "took_us", "n_errors", "longest", "by_kind")
+
+
+@query(
+    """
+with f as (select distinct fetch_id, url, final_url, content_type, octet_length(encode(body)) as n from cached_fetches),
+h as (select *, list_filter([url, final_url], lambda u: u is not null) as hops, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) as mime from f),
+s as (select *, len(hops) > 0 and len(list_filter(hops, lambda u: not coalesce(regexp_matches(lower(u), '^https?://([^/@]*@)?[^/:?#]*[g-wyz][^/:?#]*'), false) or regexp_matches(lower(u), '^https?://([^/@]*@)?([^/:?#]*[.])?localhost[.]?([/:?#]|$)'))) = 0 as safe, regexp_matches(mime, '^(|text/.*|application/(json|xml|xhtml).*)$') as readable from h)
+select fetch_id, safe, readable, coalesce(n, 0) <= 5242880 as within, safe and readable and coalesce(n, 0) <= 5242880 as allowed from s
+"""
+)
+def fetch_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each fetch keeps the rules: every address on its way safe, a type that is read, a size within five megabytes."""
+    safe, readable = fx.hops_safe(F.array_compact(F.array("url", "final_url"))), fx.content_type_allowed(F.col("content_type"))
+    within = F.coalesce(F.octet_length("body"), F.lit(0)) <= 5_242_880
+    return table(spark, d, "cached_fetches").select("fetch_id", safe.alias("safe"), readable.alias("readable"), within.alias("within"), (safe & readable & within).alias("allowed"), "url", "final_url", "content_type", F.xxhash64("body").alias("_h")).distinct().drop("url", "final_url", "content_type", "_h")
+
+
+@query(
+    """
+with d as (select distinct assessment_id, title, assessment_id % 4 as kind from cached_assessments where title is not null)
+select assessment_id, case kind when 1 then 'ISO-8859-1' when 2 then 'UTF-16' else 'UTF-8' end as charset, case when kind = 1 then array_to_string(list_transform(string_split(title, ''), lambda c: case when unicode(c) < 256 then c else '?' end), '') else title end as title from d
+"""
+)
+def charsets(spark: SparkSession, d: str) -> DataFrame:
+    """Titles written in the character set of a type of content and read again by it; what a set lacks is a question mark."""
+    t = rows.once(table(spark, d, "cached_assessments").where("title is not null"), "assessment_id", "title")
+    kind = F.when(F.col("assessment_id") % 4 == 1, "text/html; charset=ISO-8859-1").when(F.col("assessment_id") % 4 == 2, 'text/plain;charset="utf-16"').otherwise("text/html")
+    fits = F.when(F.col("assessment_id") % 4 == 1, F.regexp_replace("title", "[^\\x00-\\xff]", "?")).otherwise(F.col("title"))
+    sent = t.select("assessment_id", kind.alias("kind"), fits.alias("title")).withColumn("body", F.call_function("encode", F.col("title"), fx.charset(F.col("kind"))))
+    return sent.select("assessment_id", fx.charset(F.col("kind")).alias("charset"), fx.decoded(F.col("body"), F.col("kind")).alias("title"))

@@ -52,6 +52,25 @@ def test_url_safe(spark, url, safe):
     assert one(spark, fx.url_safe(F.col("u")), u=url) is safe
 
 
+@pytest.mark.parametrize("hops,safe", [(["https://a.test/", None, "https://b.test/"], True), (["https://a.test/", "http://10.0.0.1/"], False), ([], False), (None, False), (["https://a.test/"] * 11, True), (["https://a.test/"] * 12, False)])
+def test_hops_safe(spark, hops, safe):
+    assert spark.createDataFrame([(hops,)], "h array<string>").select(fx.hops_safe(F.col("h"))).first()[0] is safe
+
+
+@pytest.mark.parametrize("kind,name", [("text/html; charset=Latin-1", "ISO-8859-1"), ("text/html;charset='utf-16'", "UTF-16"), ("text/html", "UTF-8"), (None, "UTF-8"), ("text/html; charset=nonsense", "UTF-8")])
+def test_charset(spark, kind, name):
+    assert spark.createDataFrame([(kind,)], "k string").select(fx.charset(F.col("k"))).first()[0] == name
+
+
+def test_cut_and_gate(spark):
+    from gleanery.operators import validation
+
+    assert one(spark, fx.cut(F.col("v"), 3, "..."), v="abcd") == "abc..." and one(spark, fx.cut(F.col("v"), 4, "..."), v="abcd") == "abcd" and one(spark, fx.cut(F.col("v"), 2), v="abcd") == "ab"
+    kinds = lambda *k: F.array(*map(F.lit, k)) if k else F.array().cast("array<string>")
+    got = lambda *k: tuple(spark.range(1).select(*[c.alias(n) for n, c in zip("ab", validation.gate(kinds(*k), ("hard",), 0.15))]).first())
+    assert got() == (False, 1.0) and got("hard", "x") == (True, 0.0) and got("x", "unknown") == (False, pytest.approx(0.7)) and got(*["x"] * 9) == (False, 0.0)
+
+
 def test_unit_raises_for_what_is_not_finite(spark):
     assert one(spark, fx.unit(F.col("x")), x=1.5) == 1.0
     assert one(spark, fx.unit(F.col("x")), x=-0.5) == 0.0
