@@ -150,7 +150,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 def _excluded(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.llm.residue import residue
 
-    return residue(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body")
+    return residue(table(spark, d, "cached_fetches").select("fetch_id", "url", "body"), "fetch_id", "url", "body")
 
 
 @query()
@@ -207,7 +207,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from gleanery.llm.residue import read_pages, residue_of
 
     known = _labeller(spark, d)
-    pages = read_pages(spread(table(spark, d, "cached_fetches").select("fetch_id", "url", "body")), "fetch_id", "url", "body", lambda text: boilerplate_lines(text, *known.value))
+    pages = read_pages(table(spark, d, "cached_fetches").select("fetch_id", "url", "body"), "fetch_id", "url", "body", lambda text: boilerplate_lines(text, *known.value))
     fetches = pages.select(F.col("k").alias("fetch_id"), F.explode("also").alias("line_no")).join(residue_of(pages, "fetch_id").select("fetch_id"), "fetch_id", "left_anti")
     fetches = fetches.select(F.lit("body").alias("field_name"), F.col("fetch_id").alias("record_id"), "line_no")
     texts = label_lines(spread(table(spark, d, "cached_assessments").select("assessment_id", "full_text")), "assessment_id", "full_text", known)

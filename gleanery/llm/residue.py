@@ -5,11 +5,12 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import checkpoint
+from gleanery.sources.tables import checkpoint, spread
 
 #: Fields a template engine or an author leaves where a value belongs.
 PLACEHOLDER = (
@@ -108,7 +109,7 @@ def filler_words(df: DataFrame, url: str, body: str, sources: int = 3, share: fl
     A word counts if it stands in lines with a filler phrase at ``sources`` hosts or more and
     in at least ``share`` of such lines, four times as often as in the other lines of the
     same pages, so words of articles that mention filler drop out. The JVM finds the pages
-    with such a phrase; their words are counted per task before they are shuffled. At most
+    that may hold such a phrase; their words are counted per task before they are shuffled. At most
     (mean words of such a line) / share come to the driver.
     """
 
@@ -124,6 +125,8 @@ def filler_words(df: DataFrame, url: str, body: str, sources: int = 3, share: fl
         counts: dict[tuple[int, str], list[int]] = {}
         for b in batches:
             for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not _FILL.search(text):
+                    continue
                 for line, _ in sentences(_BLOCK.sub(" ", text)):
                     mine = 0 if _FILL.search(line) else 1
                     for h in [0, *(xxhash.xxh64_intdigest(w) >> 1 for w in set(_WORDS.findall(line.lower())))]:
@@ -133,7 +136,9 @@ def filler_words(df: DataFrame, url: str, body: str, sources: int = 3, share: fl
                 counts = {}
         yield out(counts)
 
-    pages = df.where(F.col(body).rlike("(?i)" + FILLER)).select(_host(url).alias("host"), F.col(body).alias("body")).distinct()
+    held = lambda low: reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in FILLER_LETTERS])
+    # the text is lowered once, and plain searches are faster than a pattern; the pages that are left are tried for the phrases
+    pages = df.where(F.exists(F.array(F.lower(body)), held)).select(_host(url).alias("host"), F.col(body).alias("body")).distinct()
     seen = pages.mapInArrow(count, "h bigint, host string, f bigint, o bigint").groupBy("h", "host").agg(F.sum("f").alias("f"), F.sum("o").alias("o"))
     words = checkpoint(seen.groupBy("h").agg(F.count_if(F.col("f") > 0).alias("hosts"), F.sum("f").alias("f"), F.sum("o").alias("o")).where(F.col("hosts") >= sources))
     lines = words.where("h = 0").first()
@@ -223,21 +228,21 @@ def read_pages(df: DataFrame, key: str, url: str, body: str, also: Callable[[str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["k", "host", "blank", "template", "sure", "own", "also"])
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), _host(url).alias("host"), F.col(body).cast("string").alias("body")).where("k is not null")
-    rows = rows.mapInArrow(run, "k bigint, host string, blank boolean, template boolean, sure bigint, own array<struct<m:string,n:int>>, also array<bigint>")
+    rows = spread(rows).mapInArrow(run, "k bigint, host string, blank boolean, template boolean, sure bigint, own array<struct<m:string,n:int>>, also array<bigint>")
     return checkpoint(rows.withColumn("own", F.transform("own", lambda s: F.struct(F.xxhash64(s["m"]).alias("h"), s["n"].alias("n")))))
 
 
 def residue_of(pages: DataFrame, key: str, least_words: int = 8, sources: int = 5) -> DataFrame:
     """The records to exclude among pages read by ``read_pages``: (key, reason)."""
-    done = pages.where(F.col("blank") | F.col("template")).select("k", F.when(F.col("blank"), "blank").otherwise("template").alias("reason"))
-    # decided pages need no look at the hashes, but their lines count towards a message's hosts
-    open_pages = pages.where(~F.col("blank") & ~F.col("template") & (F.col("sure") < least_words)).dropDuplicates(["k"])
-    lines = open_pages.select("k", "sure", F.explode_outer("own").alias("s")).select("k", "sure", F.col("s.n").alias("n"), F.col("s.h").alias("h"))
-    seen = pages.select("host", F.explode(F.transform("own", lambda s: s["h"])).alias("h"))
-    often = seen.join(lines.where("h is not null").select("h").distinct(), "h", "left_semi").distinct().groupBy("h").count().where(F.col("count") >= sources).select("h", F.lit(True).alias("often"))
+    one = pages.dropDuplicates(["k"])
+    done = one.where("blank or template").select("k", F.when(F.col("blank"), "blank").otherwise("template").alias("reason"))
+    # only pages that aren't decided look at the hashes, but the lines of all pages count towards a message's hosts
+    lines = one.where(~F.col("blank") & ~F.col("template") & (F.col("sure") < least_words)).select("k", "sure", F.explode_outer("own").alias("s")).select("k", "sure", F.col("s.n").alias("n"), F.col("s.h").alias("h"))
+    seen = pages.select("host", F.explode(F.transform("own", lambda s: s["h"])).alias("h")).distinct()
+    often = seen.groupBy("h").count().where(F.col("count") >= sources).select("h", F.lit(True).alias("often"))
     left = lines.join(often, "h", "left").groupBy("k").agg(F.max("sure").alias("sure"), F.sum(F.when(F.col("often"), 0).otherwise(F.coalesce("n", F.lit(0)))).alias("own"))
     poor = left.where(F.col("sure") + F.col("own") < least_words).select("k", F.lit("no_article").alias("reason"))
-    return done.unionByName(poor).groupBy("k").agg(F.min("reason").alias("reason")).withColumnRenamed("k", key)
+    return done.unionByName(poor).withColumnRenamed("k", key)
 
 
 def residue(df: DataFrame, key: str, url: str, body: str, least_words: int = 8, sources: int = 5) -> DataFrame:
