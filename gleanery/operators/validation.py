@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.sources.tables import checkpoint
+
 
 def typed(text: Column, schema: str) -> Column:
     """A JSON text as a typed value; a field that doesn't fit its type is null, the others stay. Fences and words around the object go."""
@@ -52,3 +56,24 @@ def tagged(df: DataFrame, tag: str, value: str, schemas: dict[str, str]) -> Data
     """JSON values of several shapes as one column per shape, only that of the row's tag filled."""
     cols = [F.when(F.col(tag) == name, typed(F.col(value), schema)).alias(name) for name, schema in schemas.items()]
     return df.select("*", *cols)
+
+
+def repair(df: DataFrame, key: str, text: str, valid: Callable[[Column], Column], mend: Callable[[DataFrame, int], DataFrame], rounds: int = 2) -> DataFrame:
+    """Answers that are valid as they are, and those mended within ``rounds`` tries: (key, value, tries, chars_sent, error).
+
+    ``mend`` takes (key, text) rows and the number of the try and gives (key, value); it always gets the
+    text as it first was. Only what is still invalid goes on, kept at the shared
+    checkpoint between tries. What no try mends is an error row without value, with the
+    characters of all tries; a row for which ``mend`` gives nothing counts as not mended.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    ok = lambda c: F.coalesce(valid(F.col(c)), F.lit(False))
+    done = rows.where(ok("_t")).select("_k", F.col("_t").alias("value"), F.lit(0).alias("tries"), F.lit(0).cast("bigint").alias("chars_sent"))
+    failing, sent = rows.where(~ok("_t")), F.coalesce(F.char_length("_t"), F.lit(0)).cast("bigint")
+    for k in range(1, rounds + 1):
+        tried = mend(failing.select(F.col("_k").alias(key), F.col("_t").alias(text)), k).select(F.col(key).alias("_k"), "value")
+        step = checkpoint(failing.join(tried, "_k", "left"))
+        done = done.unionByName(step.where(ok("value")).select("_k", "value", F.lit(k).alias("tries"), (sent * k).alias("chars_sent")))
+        failing = step.where(~ok("value")).select("_k", "_t")
+    lost = failing.select("_k", F.lit(None).cast("string").alias("value"), F.lit(rounds).alias("tries"), (sent * rounds).alias("chars_sent"), F.lit("not mended").alias("error"))
+    return done.withColumn("error", F.lit(None).cast("string")).unionByName(lost).withColumnRenamed("_k", key)

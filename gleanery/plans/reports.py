@@ -210,3 +210,42 @@ def charsets(spark: SparkSession, d: str) -> DataFrame:
     fits = F.when(F.col("assessment_id") % 4 == 1, F.regexp_replace("title", "[^\\x00-\\xff]", "?")).otherwise(F.col("title"))
     sent = t.select("assessment_id", kind.alias("kind"), fits.alias("title")).withColumn("body", F.call_function("encode", F.col("title"), fx.charset(F.col("kind"))))
     return sent.select("assessment_id", fx.charset(F.col("kind")).alias("charset"), fx.decoded(F.col("body"), F.col("kind")).alias("title"))
+
+
+@query(
+    """
+with s as (select distinct synthesis_id, normalized_value as t from synthesis_results),
+m as (select synthesis_id, t, trim(upper(t)) as a, substr(regexp_replace(upper(t), '[^A-Z]', '', 'g'), 1, 3) as b from s),
+r as (select synthesis_id, case when regexp_full_match(t, '[A-Z]{3}') then 0 when regexp_full_match(a, '[A-Z]{3}') then 1 when regexp_full_match(b, '[A-Z]{3}') then 2 else 3 end as k, t, a, b from m)
+select synthesis_id, case k when 0 then t when 1 then a when 2 then b end as value, cast(least(k, 2) as int) as tries, cast(coalesce(length(t), 0) * least(k, 2) as bigint) as chars_sent, case when k = 3 then 'not mended' end as error from r
+"""
+)
+def repair_loop(spark: SparkSession, d: str) -> DataFrame:
+    """Values that are to be three-letter codes: mended in at most two tries, by case and blanks, then by letters alone; what fails is kept as an error with what it cost."""
+    t = rows.once(table(spark, d, "synthesis_results"), "synthesis_id", "normalized_value")
+
+    def mend(open_rows, k):
+        v = F.upper("normalized_value")
+        return open_rows.select("synthesis_id", (F.trim(v) if k == 1 else F.substring(F.regexp_replace(v, "[^A-Z]", ""), 1, 3)).alias("value"))
+
+    return validation.repair(t, "synthesis_id", "normalized_value", lambda c: F.rlike(c, F.lit("^[A-Z]{3}$")), mend)
+
+
+#: What a provider must have to be asked: each setting and whether it has to be filled.
+SETTINGS = {"serper": ("key",), "tavily": ("key", "region"), "replay": ()}
+
+
+@query(
+    """
+with p as (select distinct provider from search_results where provider is not null), c as (select * from (values ('serper', 'key', 'x'), ('tavily', 'key', 'y'), ('tavily', 'region', '')) t(provider, setting, value)),
+n as (select * from (values ('serper', 'key'), ('tavily', 'key'), ('tavily', 'region')) t(provider, setting))
+select provider, not exists (select 1 from n where n.provider = p.provider and not exists (select 1 from c where c.provider = n.provider and c.setting = n.setting and c.value <> '')) as ready from p
+"""
+)
+def provider_ready(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each provider has every setting it needs filled."""
+    config = spark.createDataFrame([("serper", "key", "x"), ("tavily", "key", "y"), ("tavily", "region", "")], "provider string, setting string, value string")
+    have = config.where("value <> ''").groupBy("provider").agg(F.collect_set("setting").alias("have"))  # a few settings
+    need = spark.createDataFrame([(n, list(v)) for n, v in SETTINGS.items()], "provider string, need array<string>")
+    p = table(spark, d, "search_results").select("provider").where("provider is not null").distinct()
+    return p.join(need, "provider", "left").join(have, "provider", "left").select("provider", F.coalesce(F.size(F.array_except("need", F.coalesce("have", F.array().cast("array<string>")))) == 0, F.lit(False)).alias("ready"))
