@@ -115,13 +115,13 @@ def closure(edges: DataFrame, keys: list[str], child: str, parent: str, rounds:
     """
     names = [*keys, "ancestor", "descendant"]
     e = edges.select(*keys, F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).where("ancestor is not null and ancestor <> '' and ancestor <> descendant").distinct()
-    parts = [written(e)]
+    parts = [written(e)[0]]
     read = lambda *paths: edges.sparkSession.read.schema(e.schema).parquet(*paths)
     for _ in range(rounds):
         known, fresh = read(*parts), read(parts[-1])
         more = fresh.withColumnRenamed("descendant", "_mid").join(known.withColumnRenamed("ancestor", "_mid"), [*keys, "_mid"]).select(*names).distinct()
-        path = written(more.join(known, names, "left_anti"))
-        if read(path).isEmpty():
+        path, n = written(more.join(known, names, "left_anti"))
+        if not n:
             break
         parts.append(path)
     nodes = edges.select(*keys, F.col(child).alias("ancestor"), F.col(child).alias("descendant")).distinct()

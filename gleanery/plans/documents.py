@@ -105,7 +105,7 @@ select fetch_id, sha256(trim(regexp_replace(t, '[\\s  - 　]+', ' ', 'g')))
 )
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible text of every page, as a hash."""
-    t = table(spark, d, "cached_fetches").where("body is not null")
+    t = spread(table(spark, d, "cached_fetches").where("body is not null").select("fetch_id", "body"))
     return t.select("fetch_id", F.sha2(fx.html_text(F.col("body")), 256).alias("text_hash")).distinct()
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,8 +51,17 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def written(df: DataFrame) -> str:
-    """Write rows to a table of their own in the shared folder and give its path: lineage ends there, and several such tables are read as one."""
+def written(df: DataFrame) -> tuple[str, int]:
+    """Write rows to a table of their own in the shared folder and give its path and number of rows: lineage ends there, and several such tables are read as one. The rows are counted as they are written."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return path, seen.get["n"]
+
+
+def together(*steps):
+    """Run steps that each start jobs of their own side by side, so that one's last tasks don't leave the cluster idle; gives their results in order."""
+    session = SparkSession.getActiveSession()
+    own = inheritable_thread_target(session) if session else lambda f: f
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(own(s)) for s in steps]]
