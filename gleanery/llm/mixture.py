@@ -142,14 +142,16 @@ def mix(docs: DataFrame, key: str, text: str, source: str, targets: DataFrame, t
     quota = apportion(shares, caps, largest_total(shares, caps))
     repeats = {s: r for s, (_, r) in goal.items()}
 
-    def deal(pdf):
+    def deal(key, sizes_of):
         """A source's quota over its shards: one row per ``shard_tokens`` tokens, so a group stays small."""
-        s = pdf["source"].iloc[0]
-        own = dict(zip(pdf["shard"].tolist(), pdf["n"].tolist()))
+        import pyarrow as pa
+
+        s = key[0].as_py()
+        own = dict(zip(sizes_of.column("shard").to_pylist(), sizes_of.column("n").to_pylist()))
         got = apportion({k: Fraction(n) for k, n in own.items()}, {k: n * repeats[s] for k, n in own.items()}, quota[s])
-        return pdf.assign(quota=[got[k] for k in pdf["shard"]], blocks=pdf["n"])[["source", "shard", "quota", "blocks"]]
+        return pa.table({"source": pa.array([s] * len(own), pa.string()), "shard": pa.array(list(own), pa.int64()), "quota": pa.array([got[k] for k in own], pa.int64()), "blocks": pa.array(list(own.values()), pa.int64())})
 
-    quotas = sizes.groupBy("source").applyInPandas(deal, "source string, shard bigint, quota bigint, blocks bigint")
+    quotas = sizes.groupBy("source").applyInArrow(deal, "source string, shard bigint, quota bigint, blocks bigint")
     # all blocks by number, also those in which no document begins: the mean of all is the block size
     pick = quotas.select("source", "shard", "quota", F.col("blocks").alias("n_blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
     rank = Window.partitionBy("source", "shard").orderBy(F.xxhash64("block", F.lit(seed + 2)), "block")

@@ -19,7 +19,20 @@ _DIGIT = re.compile(r"\d+")
 _BULLET = re.compile(r"\s*(?:[-*•·–+o]|\(?\d{1,3}[.)]|\(?[a-z][.)])\s")
 _LEADERS = ("....", ". . . .", "____")
 _RECORD = re.compile(r"[{\[\"<].*[:=].*[}\]\">],?\s*$|[\w.\-]{1,30}\s*=\s*\S+\s*$|\w+(?:\.\w+)+/\S*$")
-_ODD = re.compile(r"\b(?:[b-df-hj-np-tv-xz]{4,}|\w{21,}|[^\W\d_]+\d\w*|\d+[^\W\d_]\w*)\b")
+_ODD_WORD = re.compile(r"[b-df-hj-np-tv-xz]{4,}|\w{21,}|[^\W\d_]+\d\w*|\d+[^\W\d_]\w*")
+
+
+class _Odd(dict):
+    """Whether a word is odd: consonants only, very long, or letters and digits mixed. Emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 400_000:
+            self.clear()
+        out = self[word] = _ODD_WORD.fullmatch(word) is not None
+        return out
+
+
+_ODD = _Odd()
 _MOJI = re.compile(r"[�\x00-\x08\x0b-\x1f\x7f-\x9f]|Ã.|Â.|â€|Ð.|ï»")
 _SEGMENT = 320
 #: Runs of letters of scripts written without spaces; two of them are read as a word.
@@ -93,7 +106,7 @@ def observe(line: str, common: frozenset, seen: dict) -> tuple[int, ...]:
     fresh = len([g for g in grams if g not in seen])
     seen.update(dict.fromkeys(grams, 1))
     stale = 1 - fresh / len(grams) if grams else 0.0
-    odd = len(_ODD.findall(low)) / n if n else 1.0
+    odd = sum(map(_ODD.__getitem__, w)) / n if n else 1.0
     last = line.rstrip(_CLOSING)[-1:]
     return (
         _bin(share, 0, 0.08, 0.2) if share or n < 7 else 4 if n < 12 else 5,
@@ -274,12 +287,12 @@ def text_statistics(df: DataFrame, key: str, text: str, common: set[str]) -> Dat
     shares. Rows with a null key are kept, copies too. Lines of any length are labelled
     whole, in segments.
     """
-    words = frozenset(common)
+    known = df.sparkSession.sparkContext.broadcast((frozenset(common), fit(frozenset(common))))
 
     def run(batches):
         import pyarrow as pa
 
-        model = fit(words)
+        words, model = known.value
         for b in batches:
             rows = [(i, *describe(t or "", words, model)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             cols = list(zip(*rows)) if rows else [()] * 12

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.sources.tables import spread, table
+from gleanery.sources.tables import spread, table, together
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,10 +205,11 @@ def _labeller(spark: SparkSession, d: str):
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines that show text but are no main content; excluded fetches are left out. Fetches are labelled and summarised for that in one pass."""
     from gleanery.llm.boilerplate import boilerplate_lines, label_lines
-    from gleanery.llm.residue import read_pages, residue_of
+    from gleanery.llm.residue import filler_words, read_pages, residue_of
 
-    known = _labeller(spark, d)
-    pages = read_pages(table(spark, d, "cached_fetches").select("fetch_id", "url", "body"), "fetch_id", "url", "body", lambda text: boilerplate_lines(text, *known.value))
+    fetched = table(spark, d, "cached_fetches").select("fetch_id", "url", "body")
+    known, words = together(lambda: _labeller(spark, d), lambda: filler_words(fetched, "url", "body"))
+    pages = read_pages(fetched, "fetch_id", "url", "body", lambda text: boilerplate_lines(text, *known.value), words)
     fetches = pages.select(F.col("k").alias("fetch_id"), F.explode("also").alias("line_no")).join(residue_of(pages, "fetch_id").select("fetch_id"), "fetch_id", "left_anti")
     fetches = fetches.select(F.lit("body").alias("field_name"), F.col("fetch_id").alias("record_id"), "line_no")
     texts = label_lines(spread(table(spark, d, "cached_assessments").select("assessment_id", "full_text")), "assessment_id", "full_text", known)
@@ -220,8 +222,9 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     """Each fetched page with its main body only."""
     from gleanery.llm.boilerplate import main_bodies
 
-    pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body", _labeller(spark, d))
-    return pages.join(_excluded(spark, d).select("fetch_id"), "fetch_id", "left_anti").dropDuplicates(["fetch_id"])
+    known, excluded = together(lambda: _labeller(spark, d), lambda: _excluded(spark, d))
+    pages = main_bodies(spread(table(spark, d, "cached_fetches").select("fetch_id", "body")), "fetch_id", "body", known)
+    return pages.join(excluded.select("fetch_id"), "fetch_id", "left_anti").dropDuplicates(["fetch_id"])
 
 
 # --- 1: near-duplicates
@@ -253,7 +256,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records of which 0.7 of all their words are shared, of at least 20 words each."""
     from gleanery.llm.neardup import record_pairs
 
-    parts = [record_pairs(*_similar(spark, d, name, key, field, bits, 0.7, 1, 20)).select(F.lit(field).alias("field_name"), "id_a", "id_b") for field, name, key, bits in FIELDS]
+    def part(field, name, key, bits):
+        return record_pairs(*_similar(spark, d, name, key, field, bits, 0.7, 1, 20)).select(F.lit(field).alias("field_name"), "id_a", "id_b")
+
+    parts = together(*[partial(part, *f) for f in FIELDS])
     return parts[0].unionByName(parts[1])
 
 
@@ -274,11 +280,12 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of records whose five-word runs are 0.8 alike or more, one row per record with its number of links; a text of one to four words is one run, one without words has no group."""
     from gleanery.llm.neardup import groups
 
-    parts = []
-    for field, name, key, _ in FIELDS:
+    def part(field, name, key, _):
         own = groups(*_similar(spark, d, name, key, field, 256, 0.8, 5, 1))
         every = table(spark, d, name).select(F.col(key).alias("id")).where("id is not null").distinct()
-        parts.append(every.join(own, "id", "left").select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links")))
+        return every.join(own, "id", "left").select(F.lit(field).alias("field_name"), F.col("id").alias("record_id"), F.col("group").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+    parts = together(*[partial(part, *f) for f in FIELDS])
     return parts[0].unionByName(parts[1])
 
 

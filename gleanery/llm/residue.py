@@ -205,13 +205,14 @@ def summaries(bodies: list[str | None], filler: _Filler) -> list[tuple[bool, boo
     return [(blank, template, n, own) for (blank, template, _, own), n in zip(out, sure)]
 
 
-def read_pages(df: DataFrame, key: str, url: str, body: str, also: Callable[[str], list[int]] | None = None) -> DataFrame:
+def read_pages(df: DataFrame, key: str, url: str, body: str, also: Callable[[str], list[int]] | None = None, words: frozenset[int] | None = None) -> DataFrame:
     """What ``residue`` needs of every page, without its text: (k, host, blank, template, sure, own, also).
 
     ``also``: a function of the text whose numbers are kept beside, so that another step
-    reads the pages in the same pass. Written to the shared checkpoint.
+    reads the pages in the same pass. ``words``: the filler words where they were learnt
+    before. Written to the shared checkpoint.
     """
-    filler = df.sparkSession.sparkContext.broadcast(filler_words(df, url, body))
+    filler = df.sparkSession.sparkContext.broadcast(filler_words(df, url, body) if words is None else words)
 
     def run(batches):
         import pyarrow as pa
