@@ -83,7 +83,8 @@ def section_chunks(blocks: DataFrame, keys: list[str], order: str, content: str,
     """Chunks of every section: a summary of its first ``summary`` tokens, tables whole, texts packed in order.
 
     A section's blocks are gathered per section (keys), which is bounded by a page's own
-    size. Token counts are a quarter of the characters, rounded down. Chunks begin with
+    size; blocks without a document (a null first key) belong to none and are sections of
+    their own. Token counts are a quarter of the characters, rounded down. Chunks begin with
     the heading path.
     """
 
@@ -112,12 +113,13 @@ def section_chunks(blocks: DataFrame, keys: list[str], order: str, content: str,
         flush()
         n = len(out)
         names = [*keys, "ordinal", "chunk_role", "content", "token_count"]
-        arrays = [pa.array([k.as_py()] * n, pa.string()) for k in key] + [pa.array(range(n), pa.int32()), pa.array([r for r, _ in out], pa.string()), pa.array([c for _, c in out], pa.string()), pa.array([len(c) // 4 for _, c in out], pa.int32())]
+        arrays = [pa.array([k.as_py()] * n, pa.string()) for k in key[: len(keys)]] + [pa.array(range(n), pa.int32()), pa.array([r for r, _ in out], pa.string()), pa.array([c for _, c in out], pa.string()), pa.array([len(c) // 4 for _, c in out], pa.int32())]
         return pa.Table.from_arrays(arrays, names=names)
 
-    rows = blocks.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], order, content, kind, path)
+    own = F.when(F.col(keys[0]).isNull(), F.xxhash64(order, content)).otherwise(F.lit(0)).alias("_own")
+    rows = blocks.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], own, order, content, kind, path)
     shape = ", ".join(f"`{k}` string" for k in keys) + ", ordinal int, chunk_role string, content string, token_count int"
-    return rows.groupBy(*keys).applyInArrow(run, shape)
+    return rows.groupBy(*keys, "_own").applyInArrow(run, shape)
 
 
 def section_walk(nodes: DataFrame) -> DataFrame:
