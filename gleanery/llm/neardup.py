@@ -358,7 +358,7 @@ def _token_arrays(size: int):
     return run
 
 
-def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, least: int = 1, bits: int = 256, frequent: float = 0.001, cap: int = 16384, overflow: int = 65536, broadcast_ids: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle: int = 5, least: int = 1, bits: int = 256, frequent: float = 0.001, cap: int = 16384, overflow: int = 65536, broadcast_ids: int = 1_000_000, ranked: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal word sets, and the pairs of classes whose Jaccard similarity reaches the threshold. Exact.
 
     Sets are of the different words of the lower-cased text (maximal runs of letters and
@@ -369,7 +369,8 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
 
     Texts are read three times: to count words, to place records, and, of the records that
     may be alike, to compare words. ``frequent``: words in at least this share of the records are ordered by frequency, at
-    the end; there are at most (mean words of a record) / frequent of them, which bounds
+    the end, the ``ranked`` most frequent of them (any order of words gives the same pairs, so
+    this bounds what is broadcast and nothing else); there are at most (mean words of a record) / frequent of them, which bounds
     what is broadcast. ``cap``: expected records of a region beyond which pivots get
     another word. ``overflow``: rows of a region beyond which it is joined in blocks by
     other tasks. ``broadcast_ids``: number of records to verify up to which their ids are
@@ -384,7 +385,7 @@ def similar(df: DataFrame, key: str, text: str, threshold: float = 0.8, shingle:
     counts = docs.mapInArrow(_document_counts(shingle, least, frequent), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     counts = checkpoint(counts.where("n > 1 or h = -1"))
     n = (counts.where(F.col("h") == _RECORDS).first() or {"n": 0})["n"]
-    often = counts.where((F.col("h") != _RECORDS) & (F.col("n") >= max(2.0, n * frequent))).collect()
+    often = counts.where((F.col("h") != _RECORDS) & (F.col("n") >= max(2.0, n * frequent))).orderBy(F.col("n").desc(), "h").limit(ranked).collect()
     often.sort(key=lambda r: (r.n, r.h))
     stats = spark.sparkContext.broadcast(({r.h: _FREQUENT + k for k, r in enumerate(often)}, [r.n / max(n, 1) for r in often], n))
 

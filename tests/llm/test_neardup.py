@@ -38,7 +38,7 @@ def found(spark, rows, **kw):
     return {tuple(r) for r in neardup.record_pairs(m, p).collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"cap": 2}, {"cap": 4, "overflow": 6, "bits": 64}, {"broadcast_ids": 0, "frequent": 0.2}, {"cap": 10**9, "overflow": 20}])
+@pytest.mark.parametrize("kw", [{}, {"cap": 2}, {"cap": 4, "overflow": 6, "bits": 64}, {"broadcast_ids": 0, "frequent": 0.2}, {"cap": 10**9, "overflow": 20}, {"ranked": 3, "cap": 4}, {"ranked": 0}])
 @pytest.mark.parametrize("t,size,least", [(0.7, 1, 5), (0.8, 5, 1)])
 def test_equals_all_pairs(spark, kw, t, size, least):
     rows = texts(7, 160)
