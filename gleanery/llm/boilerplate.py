@@ -30,8 +30,12 @@ _BARS = r"\s*[|•·›»/>]\s*|\s{2,}|\s+[–—]\s+"
 _CELLS, _SPLIT = re.compile(_BARS), re.compile(_BARS + r"|(?<=[.!?:;])\s+")
 _NUMBER = re.compile(r"^[\d\s.,%€$£+\-–/]*\d[\d\s.,%€$£+\-–/]*$|^n/?a$", re.I)
 _NOTHING = re.compile(r"[\s0#~@]*")
-#: Words beyond which a line is a paragraph, whose recurrence says nothing.
+#: Words beyond which a line is a paragraph.
 PARAGRAPH = 30
+#: Words of the head of a form, and what stands for a form that is known not to recur.
+HEAD, _ONCE = 8, -1
+#: A head of words that no mask touches.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ][a-zß-öø-ÿ]*)" + r"[ ,;-]+([a-zß-öø-ÿ]+)" * (HEAD - 1) + r"(?=[,;]* )")
 
 
 class Line:
@@ -111,7 +115,12 @@ def distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
 
 def _parts(text: str, at: re.Pattern = _SPLIT) -> list[str]:
     bullet = _BULLET.match(text)
-    return [p for p in at.split(text[bullet.end() :] if bullet else text) if p]
+    text = text[bullet.end() :] if bullet else text
+    if at is _SPLIT and not any(c in text for c in "|•·›»/>–—") and " ".join(text.split()) == text:
+        for c in ".!?:;":  # only single spaces after a mark are left to split at, which needs no pattern
+            text = text.replace(f"{c} ", f"{c}\n")
+        return [p for p in text.split("\n") if p]
+    return [p for p in at.split(text) if p]
 
 
 def _code(form: str) -> int:
@@ -120,41 +129,84 @@ def _code(form: str) -> int:
     return xxhash.xxh64_intdigest(form) >> 1
 
 
-class _Forms(dict):
-    """Line to the hashes of its masked form and of its masked parts. Emptied when it has grown large: most lines met again are furniture."""
+def _head(text: str) -> str:
+    """The first words of ``masked(text)``, from no more of the text than they need: no mask reaches over a space, but for names in a row, which are one sign however many."""
+    plain = _PLAIN.match(text)
+    if plain:
+        return " ".join(plain.groups()).lower()
+    n = HEAD + 1
+    while True:
+        words = text.split(None, n)
+        whole = len(words) <= n
+        head = masked(text if whole else text[: len(text) - len(words[n])]).split()[:HEAD]
+        if whole or len(head) == HEAD:
+            return " ".join(head)
+        n *= 2
+
+
+def _form(text: str, heads: frozenset[int] | None) -> int | None:
+    """Hash of a masked text; None for numbers and names alone, ``_ONCE`` where its head isn't among ``heads``."""
+    if heads is not None:
+        head = _head(text)
+        if _code(head) not in heads and not _NOTHING.fullmatch(head):
+            return _ONCE
+    form = masked(text)
+    return None if _NOTHING.fullmatch(form) else _code(form)
+
+
+def _read(text: str, heads: frozenset[int] | None = None) -> tuple[int | None, list[int]]:
+    own, parts = _form(text, heads), _parts(text)
+    if len(parts) < 2:
+        return own, [own] if own is not None else []
+    return own, [h for h in (_form(p, heads) for p in parts) if h is not None]
+
 
-    def __missing__(self, text: str) -> tuple[int | None, list[int]]:
+class _Memory(dict):
+    """What ``read`` makes of a line, remembered. Emptied when it has grown large: most lines met again are furniture."""
+
+    def __init__(self, read):
+        self.read = read
+
+    def __missing__(self, text: str):
         if len(self) > 100_000:
             self.clear()
-        whole = masked(text)
-        own = None if _NOTHING.fullmatch(whole) else _code(whole)
-        parts = _parts(text)
-        if len(parts) < 2:
-            out = own, [own] if own is not None else []
-        else:
-            out = own, [_code(m) for m in map(masked, parts) if not _NOTHING.fullmatch(m)]
-        self[text] = out
+        out = self[text] = self.read(text)
         return out
 
 
-_FORMS = _Forms()
+def _heads(text: str) -> set[int]:
+    return {_code(_head(t)) for t in (text, *_parts(text))}
 
 
-def forms(line: Line, words: int) -> tuple[int | None, list[int]]:
-    """Hashes of the masked line and of its masked parts (those between bars or sentences); none for paragraphs, numbers and names alone."""
-    return (None, []) if words > PARAGRAPH else _FORMS[line.text]
+_FORMS, _HEADS = _Memory(_read), _Memory(_heads)
 
 
-def recurring_forms(lines: list[Line]) -> dict[int, list[int]]:
+def forms(line: Line, words: int, heads: frozenset[int] | None = None) -> tuple[int | None, list[int]]:
+    """Hashes of the masked line and of its masked parts (those between bars or sentences), however long; none for numbers and names alone.
+
+    ``heads``: hashes of the heads of all forms that may recur. Paragraphs are masked only where they begin so; ``_ONCE`` stands for each other form of theirs.
+    """
+    return _read(line.text, heads) if words > PARAGRAPH else _FORMS[line.text]
+
+
+def recurring_heads(lines: list[Line]) -> set[int]:
+    """Hashes of the heads of all forms of a page."""
+    out: set[int] = set()
+    for line in lines:
+        out |= _heads(line.text) if len(line.text.split()) > PARAGRAPH else _HEADS[line.text]
+    return out
+
+
+def recurring_forms(lines: list[Line], heads: frozenset[int] | None = None) -> dict[int, list[int]]:
     """What a page adds to the counts of its forms: page, heading, before, between or after its paragraphs."""
     words = [len(line.text.split()) for line in lines]
     most = max(words, default=0)
     anchors = [k for k, n in enumerate(words) if n >= min(25, most)]
     out: dict[int, list[int]] = {}
     for k, line in enumerate(lines):
-        own, parts = forms(line, words[k])
+        own, parts = forms(line, words[k], heads)
         place = 2 if k < anchors[0] else 4 if k > anchors[-1] else 3
-        for h in {own, *parts} - {None}:
+        for h in {own, *parts} - {None, _ONCE}:
             c = out.setdefault(h, [1, 0, 0, 0, 0])
             c[1] |= line.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             c[place] = 1
@@ -162,10 +214,10 @@ def recurring_forms(lines: list[Line]) -> dict[int, list[int]]:
 
 
 class Recurring:
-    """Masked lines and parts of lines that recur: hash to (share of all pages, share of its pages in headings, before, between and after paragraphs)."""
+    """Masked lines and parts of lines that recur: hash to (share of all pages, share of its pages in headings, before, between and after paragraphs). ``heads``: see ``forms``."""
 
-    def __init__(self, pages: int, counts: dict[int, tuple[int, ...]]):
-        self.pages = pages
+    def __init__(self, pages: int, counts: dict[int, tuple[int, ...]], heads: frozenset[int] | None = None):
+        self.pages, self.heads = pages, heads
         self.of = {h: (c[0] / max(1, pages), *(x / c[0] for x in c[1:])) for h, c in counts.items()}
 
     @staticmethod
@@ -175,60 +227,83 @@ class Recurring:
 
 def recurring(texts: DataFrame, text: str, share: float = 0.0005) -> Recurring:
     """The forms that stand on at least ``share`` of all pages (and on three): at most (mean forms of a page) / share, so the
-    table sent to the tasks is bounded however many pages there are. Counted on every page, per task before the shuffle."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        counts: dict[int, list[int]] = {}
-        pages = 0
-
-        def out():
-            cols = [[-1, *counts], *([pages if k == 0 else 0, *(c[k] for c in counts.values())] for k in range(5))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", "n", "heads", "before", "between", "after"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                lines = visible_lines(t)
-                pages += bool(lines)
-                for h, c in recurring_forms(lines).items() if lines else ():
-                    have = counts.get(h)
-                    if have is None:
-                        counts[h] = c
-                    else:
-                        for k in range(5):
-                            have[k] += c[k]
-            if len(counts) > 500_000:
-                yield out()
-                counts, pages = {}, 0
-        yield out()
+    table sent to the tasks is bounded however many pages there are. Counted on every page, per task before the shuffle.
 
+    A form can't stand on more pages than its head does. A first pass counts the heads, which are cheap to read; the second
+    masks lines up to ``PARAGRAPH`` words, and of longer ones whatever has a head on as many pages as a form must be on."""
     rows = texts.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"))
-    names = ("n", "heads", "before", "between", "after")
-    sums = checkpoint(rows.mapInArrow(run, "h bigint, n bigint, heads bigint, before bigint, between bigint, after bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in names]).where("n >= 3 or h = -1"))
-    pages = (sums.where("h = -1").first() or {"n": 0})["n"]
-    found = sums.where((F.col("h") != -1) & (F.col("n") >= Recurring.least(pages, share))).collect()
-    return Recurring(pages, {r.h: tuple(r)[1:] for r in found})
-
 
-_N = 48
+    def sums(read, *names):
+        """Sums over all pages of what ``read`` makes of the lines of each, by hash; those of three pages or more, and the number of pages at -1."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            counts: dict[int, list[int]] = {}
+            pages = 0
+
+            def out():
+                cols = [[-1, *counts], *([pages if k == 0 else 0, *(c[k] for c in counts.values())] for k in range(len(names)))]
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h", *names])
+
+            for b in batches:
+                for t in b.column(0).to_pylist():
+                    lines = visible_lines(t)
+                    pages += bool(lines)
+                    for h, c in read(lines).items() if lines else ():
+                        have = counts.get(h)
+                        if have is None:
+                            counts[h] = c
+                        else:
+                            for k in range(len(names)):
+                                have[k] += c[k]
+                if len(counts) > 500_000:
+                    yield out()
+                    counts, pages = {}, 0
+            yield out()
+
+        columns = ", ".join(f"{c} bigint" for c in ("h", *names))
+        found = checkpoint(rows.mapInArrow(run, columns).groupBy("h").agg(*[F.sum(c).alias(c) for c in names]).where("n >= 3 or h = -1"))
+        pages = (found.where("h = -1").first() or {"n": 0})["n"]
+        return pages, found.where((F.col("h") != -1) & (F.col("n") >= Recurring.least(pages, share))).collect()
+
+    _, found = sums(lambda lines: {h: [1] for h in recurring_heads(lines)}, "n")
+    heads = frozenset(r.h for r in found)
+    known = rows.sparkSession.sparkContext.broadcast(heads)
+    pages, found = sums(lambda lines: recurring_forms(lines, known.value), "n", "heads", "before", "between", "after")
+    return Recurring(pages, {r.h: tuple(r)[1:] for r in found}, heads)
+
+
+#: Features, and those of them that say how a paragraph recurs, from ``_AGAIN`` on.
+_N, _AGAIN = 52, 48
+#: Shares of pages from which a form recurs often, and from which a paragraph's place says nothing of where an article begins and ends.
+OFTEN, NOTICE = 0.008, 0.02
 
 
 def features(lines: list[Line], seen: Recurring) -> np.ndarray:
     """What each line looks like, where it stands, whether it recurs on other pages and whether its words occur in the paragraphs of its page. No feature looks at what a word means."""
     n = len(lines)
     x = np.zeros((n, _N))
-    info, body = [], set()
+    info, body, shares = [], set(), []
     for line in lines:
         w = _WORD.findall(line.text.lower())
         m = len(w)
-        own, parts = forms(line, len(line.text.split()))
+        count = len(line.text.split())
+        own, parts = forms(line, count, seen.heads)
         rec = seen.of.get(own) if own is not None else None
         part_rec = sum(p in seen.of for p in parts) / len(parts) if parts else 0.0
         longish = (m >= 10 and bool(_END.search(line.text))) or m >= 18
         long = longish and rec is None and part_rec < 0.5
+        share = 0.0
+        if count > PARAGRAPH and longish:  # it may be a notice, or an article's and copied: how it recurs is said apart
+            if rec is not None or part_rec >= 0.5:
+                share = rec[0] if rec is not None else sorted(seen.of[p][0] if p in seen.of else 0.0 for p in parts)[len(parts) // 2]
+                share = max(share - 2 * math.sqrt(share / seen.pages), 1e-9)  # at least this: among few pages three copies are a large share
+            long, rec, part_rec = True, None, 0.0
         info.append((w, m, rec, parts, part_rec, longish, long))
-    longs = [k for k in range(n) if info[k][6]] or [k for k in range(n) if info[k][5] and (info[k][2] or (0.0,))[0] < 0.008]
+        shares.append(share if count > PARAGRAPH else None)
+    own = [k for k in range(n) if not (shares[k] or 0.0) >= NOTICE]
+    longs = [k for k in own if info[k][6]] or [k for k in own if info[k][5] and (info[k][2] or (0.0,))[0] < OFTEN]
     for k in longs:
         body.update(info[k][0])
     first, last = (longs[0], longs[-1]) if longs else (n, -1)
@@ -237,6 +312,9 @@ def features(lines: list[Line], seen: Recurring) -> np.ndarray:
         w, m, rec, parts, part_rec, longish, long = info[k]
         r, t = x[k], line.text
         r[0] = 1
+        if shares[k]:
+            r[48], r[49], r[50] = 1, min(1.0, math.log10(shares[k] / 0.0005 + 1e-9) / 3) if shares[k] > 0.0005 else 0.0, shares[k] >= OFTEN
+            r[51] = not any(s is not None and s >= shares[k] / 2 for j, s in enumerate(shares) if j != k)
         r[20] = line.tag in _FURNITURE_TAG or bool(line.attrs and _FURNITURE_CLASS.search(line.attrs))
         if long:
             marked = 0
@@ -262,7 +340,7 @@ def features(lines: list[Line], seen: Recurring) -> np.ndarray:
         rare = [a for a in w if len(a) > 3]
         hit = sum(a in body for a in rare) / len(rare) if rare else 0.0
         named = any(a[:1].isupper() for a in t.split()[1:])
-        furniture = part_rec > 0.5 and in_heads < 0.04 and not named and (rec is None or rec[0] > 0.008)
+        furniture = part_rec > 0.5 and in_heads < 0.04 and not named and (rec is None or rec[0] > OFTEN)
         head = 2 <= m <= 14 and not numbers and not _END.search(t) and len(bits) < 3 and not bullet
         r[18] = head
         r[19] = line.tag in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -279,7 +357,7 @@ def features(lines: list[Line], seen: Recurring) -> np.ndarray:
             heads += 1
         r[30] = before and heads > 0 and rec is None and not head and len(bits) < 3
         r[31] = between and rec is not None and in_heads >= 0.04
-        often = rec is not None and rec[0] >= 0.008
+        often = rec is not None and rec[0] >= OFTEN
         r[32] = between and rec is not None and in_heads < 0.04
         r[40] = often and in_heads < 0.04
         r[41] = between and often and in_heads < 0.04
@@ -287,8 +365,8 @@ def features(lines: list[Line], seen: Recurring) -> np.ndarray:
         r[46] = rec is not None and rec[0] >= 0.02 and in_heads < 0.02
         r[47] = r[46] and between
         if m >= 8 and part_rec and not numbers:
-            shares = [seen.of[p][0] if p in seen.of else 0.0 for p in parts]
-            r[43], r[44], r[45] = part_rec > 0.99, max(shares) >= 0.008, min(shares) >= 0.004
+            of_parts = [seen.of[p][0] if p in seen.of else 0.0 for p in parts]
+            r[43], r[44], r[45] = part_rec > 0.99, max(of_parts) >= OFTEN, min(of_parts) >= 0.004
         r[33] = between and rec is None and part_rec < 0.5
         near = [info[j][4] for j in (k - 2, k - 1, k + 1, k + 2) if 0 <= j < n]
         r[34] = sum(near) / len(near) if near else 0.0
@@ -407,6 +485,40 @@ def _pages(rng: random.Random, count: int):
         yield lines, labels
 
 
+def _with_notices(rng: random.Random, rows: list[tuple[list[Line], list[int]]], count: int = 24):
+    """The pages with notices of more than ``PARAGRAPH`` words on a part of them, made of the words of their own language: each notice on few pages or many. Single paragraphs of articles are copied, too."""
+    words = sorted({w for lines, _ in rows for line in lines for w in line.text.split() if w.isalpha()})
+    low = [w for w in words if w.islower()]
+
+    def sentence():
+        return " ".join([rng.choice(words).title(), *[rng.choice(low) for _ in range(rng.randint(6, 20))]]) + "."
+
+    notices = []
+    for _ in range(count):
+        text = sentence()
+        while len(text.split()) <= PARAGRAPH + 5:
+            at = text.index(" ", rng.randrange(len(text) // 2))
+            text = f"{text[:at]} {rng.choice(('{n}', '{d}', '{n}', '2{d}0'))}{text[at:]} {sentence()}"
+        notices.append((text, 0.3 * 100 ** -rng.random(), rng.choice((0, 2, 2, 2, 1))))
+    paragraphs = [line.text for lines, labels in rows for line, y in zip(lines, labels) if y and len(line.text.split()) > PARAGRAPH]
+    copied = rng.sample(paragraphs, min(len(paragraphs), max(1, len(rows) // 25)))
+    for lines, labels in rows:
+        if rng.random() < 0.2:
+            at = rng.choice([k for k, y in enumerate(labels) if y])
+            lines.insert(at + 1, Line(0, rng.choice(copied), lines[at].tag and "p", "", lines[at].path))
+            labels.insert(at + 1, 1)
+        for text, share, place in notices:
+            if rng.random() < share / 2:
+                at = (0, rng.randint(0, len(lines)), len(lines))[place]
+                near = lines[min(at, len(lines) - 1)]
+                n = f"{rng.choice(words).title()} {rng.choice(words).title()}"
+                lines.insert(at, Line(0, text.replace("{n}", n).replace("{d}", str(rng.randint(2, 99))), near.tag and rng.choice(("p", "div", "footer")), "", near.path))
+                labels.insert(at, 0)
+        for k, line in enumerate(lines, 1):
+            line.number = k
+    return rows
+
+
 class Model:
     """Weights of the line classifier and of the edges."""
 
@@ -433,34 +545,52 @@ class Model:
         return cut(self.costs(lines, seen), self.edges(lines))
 
 
-def generated(seed: int, pages: int):
-    """Labelled pages and what recurs on them."""
+def generated(seed: int, pages: int, notices: bool = False):
+    """Labelled pages and what recurs on them. ``notices``: with furniture as long as paragraphs."""
     rows = list(_pages(random.Random(seed), pages))
+    if notices:
+        rows = _with_notices(random.Random(seed), rows)
+    least = Recurring.least(len(rows), 0.0005)
+    of_heads = Counter(h for lines, _ in rows for h in recurring_heads(lines))
+    heads = frozenset(h for h, n in of_heads.items() if n >= least)
     counts: dict[int, list[int]] = {}
     for lines, _ in rows:
-        for h, c in recurring_forms(lines).items():
+        for h, c in recurring_forms(lines, heads).items():
             have = counts.setdefault(h, [0] * 5)
             for k in range(5):
                 have[k] += c[k]
-    least = Recurring.least(len(rows), 0.0005)
-    return rows, Recurring(len(rows), {h: tuple(c) for h, c in counts.items() if c[0] >= least})
+    return rows, Recurring(len(rows), {h: tuple(c) for h, c in counts.items() if c[0] >= least}, heads)
 
 
-@lru_cache(maxsize=2)
-def fit(seed: int = 11, pages: int = 1200) -> Model:
-    """Line weights by logistic regression on two corpora of ``pages`` generated labelled pages, each in a language of its own, then edge weights by least errors of the cut on two others."""
-    xs, ys = [], []
-    for k in range(2):
-        rows, seen = generated(seed + k, pages)
-        xs += [features(lines, seen) for lines, _ in rows]
-        ys += [v for _, labels in rows for v in labels]
-    x, y = np.vstack(xs), np.array(ys, float)
-    w = np.zeros(_N)
-    for _ in range(12):  # Newton steps with a small ridge
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights by Newton steps with a small ridge."""
+    w = np.zeros(x.shape[1])
+    for _ in range(12):
         p = 1 / (1 + np.exp(-x @ w))
         g = x.T @ (p - y) + 0.5 * w
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(_N)
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.5 * np.eye(len(w))
         w -= np.linalg.solve(h, g)
+    return w
+
+
+@lru_cache(maxsize=2)
+def fit(seed: int = 11, pages: int = 1200) -> Model:
+    """Line weights by logistic regression on two corpora of ``pages`` generated labelled pages, each in a language of its own, then edge weights by least errors of the cut on two others.
+
+    The weights of how a paragraph recurs are fitted last, on a corpus with long notices, beside the others.
+    """
+
+    def corpora(seeds, notices):
+        xs, ys = [], []
+        for k in seeds:
+            rows, seen = generated(k, pages, notices)
+            xs += [features(lines, seen) for lines, _ in rows]
+            ys += [v for _, labels in rows for v in labels]
+        return np.vstack(xs), np.array(ys, float)
+
+    x, y = corpora((seed, seed + 1), False)
+    w = np.zeros(_N)
+    w[:_AGAIN] = _logistic(x[:, :_AGAIN], y)
     wrong: Counter = Counter()
     for k in (2, 3):
         rows, seen = generated(seed + k, pages)
@@ -468,6 +598,10 @@ def fit(seed: int = 11, pages: int = 1200) -> Model:
         for adjacent, near in ((a, b) for a in (0.0, 0.1, 0.2, 0.4) for b in (0.0, 0.2, 0.4, 0.8)):
             model = Model(w, adjacent, near)
             wrong[adjacent, near] += sum(a != (b == 1) for c, (lines, labels) in zip(costs, rows) for a, b in zip(cut(c, model.edges(lines)), labels))
+    x, y = corpora((seed + 4,), True)
+    again = x[:, _AGAIN] == 1
+    w[_AGAIN:] = _logistic(x[again, _AGAIN:], y[again])
+    w[_AGAIN] -= w[:3].sum()  # that it is a paragraph says no more
     return Model(w, *min(wrong, key=lambda x: (wrong[x], x)))
 
 

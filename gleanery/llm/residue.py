@@ -50,21 +50,22 @@ _WORDS = re.compile(r"[^\W_]+")
 _STOP = re.compile(r"[.!?…。！？؟।։][\"')\]»”’」]*$")
 #: Letters of scripts written without spaces: two of them count as a word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
-_MASKS = (
-    (re.compile(r"\S+@\S+\.\w+|\w+://\S+|\bwww\.\S+"), "@"),
-    (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b"), "#"),
-    (re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\d+(?:[.,:]\d+)*"), "0"),
-    (re.compile(r"[^\w@~#]+"), " "),
-)
-_NAMES = re.compile(r"(?<=[\w,] )(?=[^\W\d_])\S*[A-ZÀ-ÖØ-Þ]\S*(?: \S*[A-ZÀ-ÖØ-Þ]\S*)*")
+_ADDRESS = re.compile(r"\S+@\S+\.\w+|\w+://\S+|\bwww\.\S+")
+_DIGIT = re.compile(r"\d")
+_CODE = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b")
+_FIGURE = re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\d+(?:[.,:]\d+)*")
+_UNMARKED = re.compile(r"[\w@~#]+")
+_NAMES = re.compile(r"(?<=[\w,] )(?=[^\W\d_])[^\sA-ZÀ-ÖØ-Þ]*[A-ZÀ-ÖØ-Þ]\S*(?: [^\sA-ZÀ-ÖØ-Þ]*[A-ZÀ-ÖØ-Þ]\S*)*")
 
 
 def masked(line: str) -> str:
     """A line with addresses, dates, names within it, marks and numbers masked, so one message has one form."""
     line = _NAMES.sub("~", line).lower()
-    for pattern, sign in _MASKS:
-        line = pattern.sub(sign, line)
-    return line.strip()
+    if "@" in line or "://" in line or "www." in line:  # a plain search is far faster than a pattern
+        line = _ADDRESS.sub("@", line)
+    if _DIGIT.search(line):
+        line = _FIGURE.sub("0", _CODE.sub("#", line))
+    return " ".join(_UNMARKED.findall(line))
 
 
 def unfilled(text: str) -> bool:

@@ -298,6 +298,42 @@ def test_boilerplate_operator(spark):
     assert boilerplate.label_lines(df.limit(0), "id", "body").count() == 0
 
 
+def test_heads_are_the_first_words_of_masked_forms():
+    rng = random.Random(2)
+    tokens = "the of été Straße ok; well- so,, Foo İst ΟΔΟΣ 12 3.5 a@b.co http://x.y www.x foo-bar (y) — A ~ # 漢字 é deadbe1 2020-01-02 d'Or . | end. B".split()
+    for _ in range(5000):
+        text = "".join(rng.choice(tokens) + rng.choice((" ", " ", " ", "", "  ", "\t")) for _ in range(rng.randint(0, 25)))
+        assert boilerplate._head(text) == " ".join(residue.masked(text).split()[: boilerplate.HEAD])
+        bullet = boilerplate._BULLET.match(text)
+        assert boilerplate._parts(text) == [p for p in boilerplate._SPLIT.split(text[bullet.end() :] if bullet else text) if p]
+
+
+def test_long_notices_recur_too(spark):
+    rng = random.Random(4)
+    words = [a + b for a in ("bor", "mil", "tas", "ved", "lun", "kar") for b in ("an", "et", "ig", "ol", "us", "er", "in")]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(9, 16))).capitalize() + "."
+    paragraph = lambda: " ".join(sentence() for _ in range(4))
+    notice = f"Nothing on the pages of {{}} {sentence()[:-1].lower()} 20{{}}. {paragraph()}"
+    rows = [(k, "\n".join([sentence(), *[paragraph() for _ in range(3)], *([notice.format(f"{rng.choice(words).title()} Daily", 10 + k % 80)] if k % 2 else [])])) for k in range(120)]
+    copied = paragraph()
+    rows += [(200 + k, "\n".join([sentence(), copied, paragraph()])) for k in range(3)] + [(210, None), (211, notice)]
+    df = spark.createDataFrame(rows, "id bigint, body string")
+    seen = boilerplate.recurring(df, "body", 0.01)
+    counts: dict = {}
+    for _, t in rows:
+        for h, c in boilerplate.recurring_forms(boilerplate.visible_lines(t)).items() if t else ():
+            counts[h] = [a + b for a, b in zip(counts.get(h, [0] * 5), c)]
+    pages = len(rows) - 1
+    assert seen.of == boilerplate.Recurring(pages, {h: tuple(c) for h, c in counts.items() if c[0] >= 3}).of
+    assert max(v[0] for v in seen.of.values()) == pytest.approx(61 / pages)
+    found = {(r.id, r.line_no) for r in boilerplate.label_lines(df, "id", "body").collect()}
+    assert {(k, 5) for k in range(1, 120, 2)} <= found and not {(i, n) for i, n in found if n in (2, 3, 4)}
+    rows, seen = boilerplate.generated(123, 1200, notices=True)
+    model = boilerplate.fit()
+    long = [(c, v == 1) for lines, y in rows for line, c, v in zip(lines, model.content(lines, seen), y) if len(line.text.split()) > boilerplate.PARAGRAPH]
+    assert sum(not c for c, v in long if not v) > 0.9 * sum(not v for _, v in long) and sum(c for c, v in long if v) > 0.98 * sum(v for _, v in long)
+
+
 # --- 4
 
 
